@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.packing import pack
 from millrace.llm.token_counts import token_counts
+from millrace.llm.token_files import token_files
 
 #: Vocabulary files; paths are parameters of the operators.
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,11 +18,21 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_read(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
 QUERIES = {
+    "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
+    "op5_packing": op5_packing,
 }
 ORACLES: dict[str, str] = {}
