@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.llm.line_dedup import dedup_lines
+from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
+from millrace.llm.simhash_docs import simhash_components
 from millrace.llm.token_counts import token_counts
 from millrace.llm.token_files import token_files
 
@@ -18,6 +22,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_read(spark, sf_dir, "documents"))
+    return mixed.withColumn("rate", F.round("rate", 6))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -30,9 +39,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
