@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.embedding_dedup import embedding_components
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
 from millrace.llm.simhash_docs import simhash_components
 from millrace.llm.token_counts import token_counts
 from millrace.llm.token_files import token_files
+from millrace.llm.toxicity import toxicity
 
 #: Vocabulary files; paths are parameters of the operators.
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +29,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("rate", F.round("rate", 6))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -39,6 +45,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -49,9 +59,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
 }

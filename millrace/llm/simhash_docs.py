@@ -81,7 +81,9 @@ def near(a: str, b: str) -> Column:
 
 def code_components(codes: DataFrame) -> DataFrame:
     """(node, component) over distinct codes (column code) that link to others."""
-    distinct = codes.select("code").distinct()
+    # dealt again by number: the few megabytes of codes make many rows of keys in the next step
+    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = codes.select("code").distinct().repartition(parts, "code")
     keyed = distinct.select(F.explode(ball_keys("code")).alias("key"), F.col("code").alias("node"), "code")
     return linked_components(keyed, near)
 
@@ -97,3 +99,13 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     placed = first.join(roots, "part").select("code", "component_id")
     shown = F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint")
     return marked.join(placed, "code").select("doc_id", shown, "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its component, each doc_id once.
+
+    Rows with a null doc_id can't be told apart by it and stay.
+    """
+    marked = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.where("doc_id is not null").join(marked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
