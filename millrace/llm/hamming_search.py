@@ -63,10 +63,10 @@ def search_block(codes: np.ndarray, weight: np.ndarray, queries: np.ndarray, k:
         order = np.argsort(values, kind="stable")
         tables.append((order, np.searchsorted(values[order], np.arange((1 << WIDTH) + 1))))
     probes = segments(queries)
-    open_, found = np.arange(len(queries)), [np.zeros((0, 3), np.int64)]
-    best = np.zeros((0, 3), np.int64)
+    open_, best = np.arange(len(queries)), np.zeros((0, 3), np.int64)
+    bound = np.full(len(queries), 64)  # distance of each query's k-th row so far
     for radius in range(WIDTH + 1):
-        flips = masks(radius)
+        flips, found = masks(radius), [best]
         for s, (order, begin) in enumerate(tables):
             step = max(1, ROOM // max(1, len(flips) * max(1, len(codes) >> WIDTH)))
             for lo in range(0, len(open_), step):
@@ -77,23 +77,18 @@ def search_block(codes: np.ndarray, weight: np.ndarray, queries: np.ndarray, k:
                 owner = np.repeat(np.repeat(q, len(flips))[hit], n[hit])
                 at = order[ragged(begin[value[hit]], n[hit])]
                 distance = np.bitwise_count(codes[at] ^ queries[owner]).astype(np.int64)
-                near = distance < SEGMENTS * (radius + 1)  # farther ones are found again when their turn comes
+                near = distance <= bound[owner]
                 found.append(np.stack([owner[near], distance[near], at[near]], 1))
         best = np.unique(np.concatenate(found), axis=0)  # by query, distance, code
-        # rows covered within the provable distance, by query
-        covered = np.bincount(best[:, 0], weight[best[:, 2]], len(queries))
-        open_ = open_[covered[open_] < k]
-        found = [best]
+        first = np.searchsorted(best[:, 0], np.arange(len(queries)))
+        total = np.concatenate([[0], np.cumsum(weight[best[:, 2]])])
+        enough = total[1:] - total[first[best[:, 0]]] >= k  # rows up to and with this code
+        np.minimum.at(bound, best[enough, 0], best[enough, 1])
+        best = best[best[:, 1] <= bound[best[:, 0]]]
+        # everything below SEGMENTS * (radius + 1) has been seen
+        open_ = open_[bound[open_] >= SEGMENTS * (radius + 1)]
         if not len(open_):
             break
-    starts = np.searchsorted(best[:, 0], np.arange(len(queries)))
-    total = np.cumsum(weight[best[:, 2]])
-    before = np.where(starts > 0, total[np.maximum(starts, 1) - 1], 0)
-    own = total - before[best[:, 0]]  # rows up to and with this code
-    full = np.full(len(queries), 1 << 20)
-    enough = own >= k
-    np.minimum.at(full, best[enough, 0], best[enough, 1])
-    best = best[best[:, 1] <= full[best[:, 0]]]
     return best[:, 0], best[:, 2], best[:, 1]
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.embedding_dedup import embedding_components
+from millrace.llm.hamming_search import sign_codes, top_k
+from millrace.llm.hamming_sql import OP10
+from millrace.llm.license_scan import license_scan
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
@@ -49,6 +52,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_read(spark, sf_dir, "embeddings"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -57,6 +64,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_read(spark, sf_dir, "documents"))
 
 
+def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = sign_codes(_read(spark, sf_dir, "embeddings"))
+    return top_k(codes, codes.where("id % 20 = 0"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -64,7 +76,9 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
+    "op10_hamming_top_k": op10_hamming_top_k,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_hamming_top_k": OP10}
