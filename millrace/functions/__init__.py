@@ -1 +1 @@
-
+"""Column expressions: text and arrays."""

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from millrace.plans import text_queries
+
+_PARTS = (text_queries,)
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLES: dict = {k: s for part in _PARTS for k, s in part.ORACLES.items()}

@@ -7,6 +7,7 @@ the shared store and nothing upstream is recomputed.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -43,3 +44,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files of finished jobs now, not when memory happens to run low."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
