@@ -18,12 +18,20 @@ def padded(ids: Column, block: int, end: Column) -> Column:
     return F.concat(ids, F.array_repeat(end, F.greatest(F.lit(block) - F.size(ids), F.lit(0))))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is used, inside lambdas too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shingles(ws: Column, n: int) -> Column:
     """Runs of n words joined by spaces; a shorter text is one run, an empty one none."""
-    size = F.size(ws)
-    k = F.least(F.lit(n), size)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, k), " "))
-    return F.when(size > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        k = F.least(F.lit(n), F.size(w))
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<string>"))
+
+    return let(ws, runs)
 
 
 def message_words(text: Column) -> Column:

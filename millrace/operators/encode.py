@@ -50,6 +50,16 @@ def encode_words(df: DataFrame, key: str, column: str, vocabulary: DataFrame, mo
     return coded.groupBy(key).agg(F.transform(pairs, lambda x: x["id"].cast("int")).alias("ids"), F.first("n_words").alias("n_words"))
 
 
+def encode_characters(df: DataFrame, key: str, column: str, vocabulary: DataFrame) -> DataFrame:
+    """(key, ids) by a character vocabulary (ch, id); an unknown character raises."""
+    each = df.select(F.col(key), F.posexplode(text.characters(F.col(column))).alias("pos", "ch"))
+    # Unicode bounds the number of characters, and so what is broadcast
+    coded = each.join(F.broadcast(vocabulary.select("ch", "id")), "ch", "left")
+    known = F.coalesce(F.col("id").cast("int"), F.raise_error(F.concat(F.lit("unknown character "), F.col("ch"))).cast("int"))
+    pairs = F.array_sort(F.collect_list(F.struct("pos", known.alias("id"))))
+    return coded.groupBy(key).agg(F.transform(pairs, lambda x: x["id"]).alias("ids"))
+
+
 def encoded_table(df: DataFrame, key: str, column: str, vocabulary: DataFrame, block: int, end: int) -> DataFrame:
     """(key, tokens, length, truncated): cut to block - 1 ids, closed by the end id."""
     coded = encode_words(df, key, column, vocabulary, block - 1)

@@ -59,12 +59,9 @@ def char_vocab(spark, d):
 
 
 def char_encode(spark, d):
-    vocab = _char_vocabulary(spark, d)
-    # Unicode bounds the number of characters, and so the one row that is broadcast
-    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("ch", F.col("id").cast("int").alias("id")))).alias("vocab"))
-    docs = read(spark, d, "documents").crossJoin(F.broadcast(table))
-    ids = text.char_ids(F.col("text"), F.col("vocab"))
-    return docs.select("doc_id", F.size(ids).cast("bigint").alias("n_chars"), F.md5(F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")).alias("ids_md5"))
+    coded = encode.encode_characters(read(spark, d, "documents"), "doc_id", "text", _char_vocabulary(spark, d))
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_chars"), F.md5(ids).alias("ids_md5"))
 
 
 def tag_lists(spark, d):
@@ -125,7 +122,7 @@ ORACLES = {
     "word_vocab": f"WITH {VOCABULARY} SELECT token, n, id FROM vocabulary",
     "shingles": f"SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, '|')) AS all_md5 FROM (SELECT doc_id, {sql_shingles('w', 5).replace('list_distinct', '')} AS s FROM (SELECT doc_id, {_W} AS w FROM documents))",
     "message_shingles": f"SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(list_sort(s), '|')) AS sorted_md5 FROM (SELECT doc_id, {sql_shingles('w', 5)} AS s FROM (SELECT doc_id, {sql_message_words("'Subject: ' || text")} AS w FROM documents))",
-    "encode_pad": f"WITH {ENCODED} SELECT idx, length::BIGINT AS length, truncated, md5(array_to_string(list_concat(tokens, list_transform(range({BLOCK} - len(tokens)), lambda i: (SELECT count(*) FROM vocabulary))), ',')) AS tokens_md5 FROM encoded",
+    "encode_pad": f"WITH {ENCODED} SELECT idx, length::BIGINT AS length, truncated, md5(array_to_string(list_concat(tokens, list_transform(range({BLOCK} - len(tokens)), lambda i: tokens[-1])), ',')) AS tokens_md5 FROM encoded",
     "window_starts": """WITH sized AS (SELECT doc_id, (n_chars - 1) // 8 AS n, 20 AS k FROM documents), started AS (
       SELECT doc_id, CASE WHEN n <= k THEN list_transform(range(n), lambda i: i * 8) ELSE list_transform(range(k), lambda i: (i * (n - 1) // (k - 1)) * 8) END AS s FROM sized)
       SELECT doc_id, len(s)::BIGINT AS n, array_to_string(s, ',') AS starts FROM started""",
