@@ -74,14 +74,14 @@ def ranking_metrics(df: DataFrame, max_fpr: float = MAX_FPR, by: tuple[str, ...]
     One class alone has no curve: all three are null then.
     """
     ranked = ranking(df, by)
-    totals = df.groupBy(*by).agg(F.count_if(F.col("label") == 1).alias("P"), F.count_if(F.col("label") == 0).alias("N"))
+    totals = df.groupBy(*by).agg(F.count_if(F.col("label") == 1).alias("all_p"), F.count_if(F.col("label") == 0).alias("all_n"))
     joined = ranked.join(F.broadcast(totals), list(by)) if by else ranked.crossJoin(F.broadcast(totals))  # a row for each group
-    fpr = F.col("fp") / F.col("N")
-    below = F.col("N") - F.col("fp") + F.col("n") / 2  # negatives under a positive at this score, ties half
-    out = joined.where("P > 0 and N > 0").groupBy(*by).agg(
-        (F.sum(F.col("p") * below) / F.first("P") / F.first("N")).alias("roc_auc"),
-        (F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.first("P")).alias("pr_auc"),
-        F.coalesce(F.max(F.when(fpr <= max_fpr, F.col("tp") / F.col("P"))), F.lit(0.0)).alias("recall_at_fpr"),
+    fpr = F.col("fp") / F.col("all_n")
+    below = F.col("all_n") - F.col("fp") + F.col("n") / 2  # negatives under a positive at this score, ties half
+    out = joined.where("all_p > 0 and all_n > 0").groupBy(*by).agg(
+        (F.sum(F.col("p") * below) / F.first("all_p") / F.first("all_n")).alias("roc_auc"),
+        (F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.first("all_p")).alias("pr_auc"),
+        F.coalesce(F.max(F.when(fpr <= max_fpr, F.col("tp") / F.col("all_p"))), F.lit(0.0)).alias("recall_at_fpr"),
     )
     return out
 
