@@ -47,7 +47,7 @@ def message_shingles(text: Column, n: int) -> Column:
 
 def shingle_hashes(text: Column, n: int) -> Column:
     """Distinct shingles, as 64-bit hashes in ascending order."""
-    return F.array_sort(F.array_distinct(F.transform(shingles(message_words(text), n), lambda s: F.xxhash64(s))))
+    return F.sort_array(F.array_distinct(F.transform(shingles(message_words(text), n), lambda s: F.xxhash64(s))))
 
 
 def window_starts(length: Column, block: int, most: Column) -> Column:

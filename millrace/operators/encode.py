@@ -43,10 +43,11 @@ def running_offset(df: DataFrame, name: str, size: str, order: str) -> DataFrame
 def encode_words(df: DataFrame, key: str, column: str, vocabulary: DataFrame, most: int | None = None) -> DataFrame:
     """(key, ids, n_words): the ids of the first `most` words, or of all."""
     ws = text.words(F.col(column))
-    wanted = ws if most is None else F.slice(ws, 1, most)
-    each = df.select(F.col(key), F.size(ws).alias("n_words"), F.posexplode_outer(wanted).alias("pos", "token"))
+    wanted = F.col("ws") if most is None else F.slice("ws", 1, most)
+    # counted below the generator: above it, the words would be cut again for each of them
+    each = df.select(F.col(key), F.size(ws).alias("n_words"), ws.alias("ws")).select(key, "n_words", F.posexplode_outer(wanted).alias("pos", "token"))
     coded = each.join(vocabulary.select("token", "id"), "token", "left")
-    pairs = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id"))))
+    pairs = F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id"))))
     return coded.groupBy(key).agg(F.transform(pairs, lambda x: x["id"].cast("int")).alias("ids"), F.first("n_words").alias("n_words"))
 
 
@@ -56,7 +57,7 @@ def encode_characters(df: DataFrame, key: str, column: str, vocabulary: DataFram
     # Unicode bounds the number of characters, and so what is broadcast
     coded = each.join(F.broadcast(vocabulary.select("ch", "id")), "ch", "left")
     known = F.coalesce(F.col("id").cast("int"), F.raise_error(F.concat(F.lit("unknown character "), F.col("ch"))).cast("int"))
-    pairs = F.array_sort(F.collect_list(F.struct("pos", known.alias("id"))))
+    pairs = F.sort_array(F.collect_list(F.struct("pos", known.alias("id"))))
     return coded.groupBy(key).agg(F.transform(pairs, lambda x: x["id"]).alias("ids"))
 
 
@@ -99,7 +100,7 @@ def fingerprint(df: DataFrame, *by: str) -> DataFrame:
     Rows are digested first, then ranges of a thousand indices, then those, so lists stay short.
     """
     row = F.md5(F.concat_ws("|", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ","), F.col("length").cast("string"), F.col("label").cast("string")))
-    joined = lambda key: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "digest"))), lambda x: x["digest"]), ""))
+    joined = lambda key: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "digest"))), lambda x: x["digest"]), ""))
     rows = df.select(*by, "idx", F.floor(F.col("idx") / 1000).alias("range"), row.alias("digest"))
     ranges = rows.groupBy(*by, "range").agg(joined("idx").alias("digest"))
     return ranges.groupBy(*by).agg(joined("range").alias("fingerprint"))

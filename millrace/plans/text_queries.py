@@ -85,7 +85,7 @@ def shingles(spark, d):
 
 def message_shingles(spark, d):
     s = arrays.message_shingles(F.concat(F.lit("Subject: "), F.col("text")), 5)
-    return read(spark, d, "documents").select("doc_id", F.size(s).cast("bigint").alias("n"), F.md5(F.array_join(F.array_sort(s), "|")).alias("sorted_md5"))
+    return read(spark, d, "documents").select("doc_id", F.size(s).cast("bigint").alias("n"), F.md5(F.array_join(F.sort_array(s), "|")).alias("sorted_md5"))
 
 
 def encode_pad(spark, d):
