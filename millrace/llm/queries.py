@@ -12,6 +12,7 @@ from millrace.llm.hamming_sql import OP10
 from millrace.llm.license_scan import license_scan
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.mixing import mix
+from millrace.llm.mixing_sql import OP1
 from millrace.llm.packing import pack
 from millrace.llm.simhash_docs import simhash_components
 from millrace.llm.token_counts import token_counts
@@ -81,4 +82,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_hamming_top_k": op10_hamming_top_k,
 }
-ORACLES: dict[str, str] = {"op10_hamming_top_k": OP10}
+ORACLES: dict[str, str] = {"op1_mixing": OP1, "op10_hamming_top_k": OP10}
