@@ -46,19 +46,19 @@ def encode_words(df: DataFrame, key: str, column: str, vocabulary: DataFrame, mo
     wanted = F.col("ws") if most is None else F.slice("ws", 1, most)
     # counted below the generator: above it, the words would be cut again for each of them
     each = df.select(F.col(key), F.size(ws).alias("n_words"), ws.alias("ws")).select(key, "n_words", F.posexplode_outer(wanted).alias("pos", "token"))
-    coded = each.join(vocabulary.select("token", "id"), "token", "left")
-    pairs = F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id"))))
-    return coded.groupBy(key).agg(F.transform(pairs, lambda x: x["id"].cast("int")).alias("ids"), F.first("n_words").alias("n_words"))
+    coded = each.join(vocabulary.select("token", F.col("id").alias("token_id")), "token", "left")
+    pairs = F.sort_array(F.collect_list(F.when(F.col("token_id").isNotNull(), F.struct("pos", "token_id"))))
+    return coded.groupBy(key).agg(F.transform(pairs, lambda x: x["token_id"].cast("int")).alias("ids"), F.first("n_words").alias("n_words"))
 
 
 def encode_characters(df: DataFrame, key: str, column: str, vocabulary: DataFrame) -> DataFrame:
     """(key, ids) by a character vocabulary (ch, id); an unknown character raises."""
-    each = df.select(F.col(key), F.posexplode(text.characters(F.col(column))).alias("pos", "ch"))
+    each = df.select(F.col(key), F.posexplode_outer(text.characters(F.col(column))).alias("pos", "ch"))
     # Unicode bounds the number of characters, and so what is broadcast
-    coded = each.join(F.broadcast(vocabulary.select("ch", "id")), "ch", "left")
-    known = F.coalesce(F.col("id").cast("int"), F.raise_error(F.concat(F.lit("unknown character "), F.col("ch"))).cast("int"))
-    pairs = F.sort_array(F.collect_list(F.struct("pos", known.alias("id"))))
-    return coded.groupBy(key).agg(F.transform(pairs, lambda x: x["id"]).alias("ids"))
+    coded = each.join(F.broadcast(vocabulary.select("ch", F.col("id").alias("char_id"))), "ch", "left")
+    known = F.coalesce(F.col("char_id").cast("int"), F.raise_error(F.concat(F.lit("unknown character "), F.col("ch"))).cast("int"))  # reached for a character only
+    pairs = F.sort_array(F.collect_list(F.when(F.col("ch").isNotNull(), F.struct("pos", known.alias("char_id")))))
+    return coded.groupBy(key).agg(F.transform(pairs, lambda x: x["char_id"]).alias("ids"))
 
 
 def encoded_table(df: DataFrame, key: str, column: str, vocabulary: DataFrame, block: int, end: int) -> DataFrame:
