@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import behaviour, metrics, runs
+from millrace.operators import behaviour, encode, metrics, runs
 from millrace.plans.inputs import CASES, SCORED, cases, read, scored, sql_norm, sql_score, sql_uniform, stand_in_score, uniform
 
 T = 0.5
@@ -64,10 +64,7 @@ def mcnemar(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    # labelled documents below id 200, renumbered: replicates times rows are small by design
-    from pyspark.sql import Window
-
-    rows = scored(spark, d).where("idx < 200").withColumn("idx", (F.row_number().over(Window.orderBy("idx")) - 1).cast("bigint"))
+    rows = encode.ranked(scored(spark, d), "place", F.col("idx").asc()).select(F.col("place").alias("idx"), "prob", "label")
     out = metrics.bootstrap(rows, T, REPLICATES)
     return _rounded(out.where(F.col("metric").isin("accuracy", "precision", "recall", "brier")))
 
@@ -273,8 +270,8 @@ ORACLES = {
     "wilson": f"SELECT k, n, round(lo, 9) AS lo, round(hi, 9) AS hi FROM (SELECT k, n, {_WIL} FROM (SELECT k, n, coalesce(k::DOUBLE / nullif(n, 0), 0) AS p FROM range(0, 21) t(k), (VALUES (0::BIGINT), (20), (100)) s(n) WHERE k <= n))",
     "mcnemar": f"""WITH {SCORED}, {_B}, c AS (SELECT count(*) FILTER (a AND NOT b) AS a_only, count(*) FILTER (b AND NOT a) AS b_only FROM (SELECT (s.prob >= 0.5e0) = (s.label = 1) AS a, (o.prob >= 0.5e0) = (o.label = 1) AS b FROM scored s JOIN other o USING (idx)))
       SELECT a_only, b_only, round(CASE WHEN a_only + b_only = 0 THEN 1e0 ELSE least(1e0, 2 * (SELECT sum(exp(lgamma(a_only + b_only + 1) - lgamma(k + 1) - lgamma(a_only + b_only - k + 1) - (a_only + b_only) * ln(2e0))) FROM range(0, 1000) t(k) WHERE k <= least(a_only, b_only))) END, 9) AS p FROM c""",
-    "bootstrap_ci": f"""WITH {SCORED}, numbered AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS i, prob, label FROM scored WHERE idx < 200), size AS (SELECT count(*) AS n FROM numbered),
-      draws AS (SELECT rep, CAST('0x' || substr(md5('0:' || rep::VARCHAR || ':' || draw::VARCHAR), 1, 8) AS BIGINT) % n AS i FROM range({REPLICATES}) r(rep), size, range(1000) x(draw) WHERE draw < n),
+    "bootstrap_ci": f"""WITH {SCORED}, numbered AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS i, prob, label FROM scored), size AS (SELECT count(*) AS n FROM numbered),
+      draws AS (SELECT rep, CAST('0x' || substr(md5('0:' || rep::VARCHAR || ':' || draw::VARCHAR), 1, 8) AS BIGINT) % n AS i FROM range({REPLICATES}) r(rep), size, range(100000) x(draw) WHERE draw < n),
       sample AS (SELECT rep, prob, label FROM draws JOIN numbered USING (i)), m AS (SELECT rep, accuracy, precision, recall, brier FROM {_derived(f'(SELECT rep, {_C}, avg((prob - label) * (prob - label)) AS brier FROM sample GROUP BY rep)')} WHERE tp + fn > 0 AND fp + tn > 0),
       long AS (UNPIVOT m ON accuracy, precision, recall, brier INTO NAME metric VALUE value)
       SELECT metric, round(quantile_cont(value, 0.025), 9) AS lo, round(quantile_cont(value, 0.975), 9) AS hi FROM long GROUP BY metric""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,7 +20,7 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
