@@ -136,7 +136,6 @@ def class_links(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     dealt = dealt.select("node", "copies", "embedding", "table", "keys", "own", "other", task.alias("task"))
-    # the vector is read again from its class on the other side of the shuffle only where it has company
     dealt = dealt.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.text_batches import ragged
@@ -94,8 +94,10 @@ def search_block(codes: np.ndarray, weight: np.ndarray, queries: np.ndarray, k:
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, id, distance: the k nearest rows of codes (id, code) for each row of queries (id, code)."""
-    ids = codes.groupBy("code", "id").count().groupBy("code", F.pmod(F.xxhash64("id"), F.lit(32)).alias("salt")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, k).alias("ids"))
-    ids = ids.groupBy("code").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k).alias("ids"))
+    # the rank limits a hot code to k rows in each map task, before the shuffle
+    rank = F.row_number().over(Window.partitionBy("code").orderBy("id"))
+    ids = codes.select("code", "id").distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+    ids = ids.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     ids = written(ids, "codes")
     asked = written(queries.groupBy("code").agg(F.count("*").alias("n")).select("code"), "query-codes")
     blocks = max(1, -(-ids.count() // BLOCK))
