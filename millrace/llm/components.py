@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.storage import drop_path, scratch_path, written
+from millrace.storage import drop_path, free_shuffles, scratch_path, written
 
 MOST_ROUNDS = 60
 
@@ -70,6 +70,7 @@ def linked_components(keyed: DataFrame, near: Callable[[str, str], Column], veri
     shared_path = scratch_path(spark, "keys")
     shared = keyed.select("*", F.min(F.struct("node", "code")).over(group).alias("first"), F.max("node").over(group).alias("last"))
     shared = written(shared.where("first.node != last").select("key", "node", "code", "first"), "keys", shared_path)
+    free_shuffles(spark)
     star = shared.where(F.col("node") != F.col("first.node")).where(near("code", "first.code"))
     star = star.select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
     star_path = scratch_path(spark, "stars")
