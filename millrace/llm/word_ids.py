@@ -27,7 +27,7 @@ WORD_END = "</w>"
 
 
 class WordIds:
-    """Encodes text columns; keeps the ids of up to `most` distinct chunks."""
+    """Encodes text columns; keeps the ids of up to `most` distinct chunks, and as many of the time before."""
 
     def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,9 +41,29 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
+        """Starts anew; what is asked for again is taken over from the last generation."""
+        self.old = (self.known, self.pool, self.begin) if hasattr(self, "known") else ({}, array("i"), array("q", [0]))
         self.known: dict[str, int] = {}
         self.pool, self.begin = array("i"), array("q", [0])
 
+    def _keep(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        at = len(self.pool)
+        self.pool.frombytes(ids.tobytes())
+        self.begin.frombytes((ends + at).astype(np.int64).tobytes())
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+
+    def _take_over(self, chunks: list[str]) -> list[str]:
+        """Copies chunks of the last generation; returns the others."""
+        known, pool, begin = self.old
+        again = [c for c in chunks if c in known]
+        if not again:
+            return chunks
+        rows = np.fromiter(map(known.__getitem__, again), np.int64, len(again))
+        starts = np.frombuffer(begin, dtype=np.int64)
+        lengths = starts[rows + 1] - starts[rows]
+        self._keep(again, np.frombuffer(pool, dtype=np.int32)[ragged(starts[rows], lengths)], np.cumsum(lengths))
+        return [c for c in chunks if c not in known]
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
 
@@ -53,10 +73,7 @@ class WordIds:
         ids = np.concatenate([np.array(x.ids, dtype=np.int32) for x in coded])
         pieces = np.fromiter((len(PIECES.findall(c)) for c in chunks), np.int64, len(chunks))
         ends = np.flatnonzero(self.ends_word[ids])[np.cumsum(pieces) - 1] + 1
-        at = len(self.pool)
-        self.pool.frombytes(ids.tobytes())
-        self.begin.frombytes((ends + at).astype(np.int64).tobytes())
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self._keep(chunks, ids, ends)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets): text i has ids[offsets[i]:offsets[i + 1]]."""
@@ -71,7 +88,7 @@ class WordIds:
         bounds = kept[list_offsets(split)].astype(np.int64)
         if len(self.known) + len(chunks) > self.most:
             self._forget()
-        if new := [c for c in chunks if c not in self.known]:
+        if new := self._take_over([c for c in chunks if c not in self.known]):
             self._learn(new)
         rows = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[at]
         begin = np.frombuffer(self.begin, dtype=np.int64)
