@@ -172,6 +172,41 @@ def test_fuzzy_lines_keep_the_first_of_each_group(spark):
     assert [out[i].n_dropped for i in range(3)] == [0, 1, 2] and out[1].n_chars == len(far)
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+def test_line_links_are_those_of_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice([2, 5, 8])))
+    common = [word() for _ in range(30)]
+    lines = []
+    for n in (5, 6, 8, 9, 12, 20, 40, 90) * 4:
+        line = [rng.choice(common) if rng.random() < 0.5 else word() for _ in range(n)]
+        lines.append(line)
+        for share in (0.1, 0.2, 0.2, 0.25):  # the last one goes beyond what may link
+            other = list(line)
+            for _ in range(max(1, math.floor(n * share + 1e-9))):
+                k, how = rng.randrange(len(other)), rng.randrange(3)
+                other[k : k + (how != 1)] = [] if how == 2 else [word()]
+            lines.append(other)
+    lines = [x for x in lines if len(x) >= 5]
+    rng.shuffle(lines)
+    root = list(range(len(lines)))
+    for j, b in enumerate(lines):
+        for i in range(j):
+            if edits(lines[i], b) <= math.floor(max(len(lines[i]), len(b)) * 0.2 + 1e-9):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    out = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs(spark, [" ".join(x) for x in lines])).collect()}
+    assert 60 < sum(out.values()) and out == {i: int(root[i] != i) for i in range(len(lines))}
+
+
 def test_line_dedup_edge_rows(spark):
     rows = odd_rows(spark)
     out = line_dedup.dedup_lines(rows)
