@@ -207,6 +207,20 @@ def test_line_links_are_those_of_brute_force(spark):
     assert 60 < sum(out.values()) and out == {i: int(root[i] != i) for i in range(len(lines))}
 
 
+def test_the_query_and_the_pipeline_drop_exact_repeats_of_any_length(spark, tmp_path):
+    import corpus_pipeline
+    from millrace.llm.queries import QUERIES
+
+    han = "今天天气很好我们一起去公园散步然后回家吃饭"
+    texts = [f"Short one\n{han}\n--\n\nshort two", f"short ONE!\n{han}\n--\n\nshort too", f"{han[:7]}真{han[8:]}\nother"]
+    want = [texts[0], "--\n\nshort too", "other"]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    assert [out[i].text for i in range(3)] == want and [out[i].n_dropped for i in range(3)] == [0, 2, 1]
+    stage = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs(spark, texts), str(tmp_path)).collect()}
+    assert [stage[i] for i in range(3)] == want
+
+
 def test_line_dedup_edge_rows(spark):
     rows = odd_rows(spark)
     out = line_dedup.dedup_lines(rows)
