@@ -1,6 +1,7 @@
 """Re-Pair grammars over token ids: one blob for each shard of documents.
 
-Round by round the frequent adjacent pairs of the shard become nonterminals. A pair never
+Round by round the frequent adjacent pairs of the shard become nonterminals, until none is left
+that occurs LEAST times without overlap. A pair never
 reaches over the end of a document, so each document is a run of symbols of its own, and
 the stored expansion length of each rule finds any id of it without expanding the rest.
 
@@ -20,7 +21,7 @@ from millrace.llm.text_batches import ragged
 
 HEADER = struct.Struct("<4sHHIIIQQ")
 MAGIC = b"RPG1"
-ROUNDS, PAIRS, LEAST = 4, 8192, 4
+PAIRS, LEAST = 8192, 4
 _MIX, _BITS = np.uint64(0x9E3779B97F4A7C15), 20
 
 
@@ -45,6 +46,9 @@ def _round(seq: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, n
     """(symbols, what was kept of them, new rules). last: the symbol ends its document."""
     keys = seq[:-1].astype(np.int64) << 32 | seq[1:]
     keys[last[:-1]] = -1
+    place = np.arange(len(keys))
+    begins = np.concatenate([[True], keys[1:] != keys[:-1]])
+    keys[(place - np.maximum.accumulate(np.where(begins, place, 0))) & 1 == 1] = -1  # of a run of one symbol, every other pair
     ordered = np.sort(keys)
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts, pairs = np.diff(np.append(starts, len(ordered))), ordered[starts]
@@ -76,9 +80,7 @@ def compress(ids: np.ndarray, first_id: np.ndarray, doc_ids: np.ndarray, valid:
     rules = np.zeros((0, 2), np.int32)
     last = np.zeros(len(seq), bool)
     last[first_id[1:] - 1] = True
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         out, kept, new = _round(seq, last, terminals + len(rules))
         if not len(new):
             break

@@ -181,6 +181,16 @@ def edits(a, b):
     return row[-1]
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = random.Random(3)
+    passage = [rng.randrange(5, 60_000) for _ in range(64)] + [2]
+    lists = [passage] * 3000 + [[9] * 500 + [2]]
+    ids, first = np.array(sum(lists, []), np.int32), np.cumsum([0, *map(len, lists)])
+    g = repair.compress(ids, first, np.arange(len(lists)), np.ones(len(lists), bool), 70_000)
+    assert (repair.expand(g) == ids).all() and repair.ids_at(g, 7) == passage and repair.ids_at(g, 3000, 3, 4) == [9] * 4
+    assert len(g.symbols) < 3020
+
+
 def test_line_links_are_those_of_brute_force(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice([2, 5, 8])))
