@@ -44,17 +44,18 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(totals * 2 > count, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, code): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, own: Column | None = None) -> DataFrame:
+    """(doc_id, code): the fingerprint as a signed long; and the long own, if given."""
+    more = [] if own is None else [own.alias("own")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 at, texts = (c := text_column(part).dictionary_encode()).indices.to_numpy(zero_copy_only=False), c.dictionary
                 codes = np.array([fingerprint(t.as_buffer().to_pybytes() if t.as_buffer() else b"") for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes[at])], ["doc_id", "code"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes[at]), *part.columns[2:]], ["doc_id", "code", *part.schema.names[2:]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, code long")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, "doc_id long, code long" + ", own long" * len(more))
 
 
 def _signed(x: int) -> int:
@@ -101,11 +102,19 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return marked.join(placed, "code").select("doc_id", shown, "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, by_text: bool = False) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component, each doc_id once.
 
-    Rows with a null doc_id can't be told apart by it and stay.
+    by_text: rows are told apart by their texts too, so of a doc_id one row stays for each
+    component whose least it is. Rows with a null doc_id can't be told apart by it and stay.
     """
+    if by_text:
+        own = F.xxhash64("text")
+        marked = written(fingerprints(docs, own), "fingerprints")
+        placed = marked.join(code_components(marked).withColumnRenamed("node", "code"), "code", "left").withColumn("part", F.coalesce("component", "code"))
+        kept = placed.groupBy("part").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "own"))).alias("x")).where("x is not null").select(F.col("x.doc_id").alias("doc_id"), F.col("x.own").alias("own_text"))
+        known = docs.where("doc_id is not null").withColumn("own_text", own).join(kept, ["doc_id", "own_text"], "left_semi").dropDuplicates(["doc_id", "own_text"])
+        return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
     marked = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     known = docs.where("doc_id is not null").join(marked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -128,6 +128,13 @@ def test_simhash_fingerprints_and_empty_texts(spark):
     assert kept.columns == odd_rows(spark).columns and kept.where("doc_id = 3").count() <= 1
 
 
+def test_the_pipeline_keeps_unlinked_texts_of_one_doc_id(spark):
+    import corpus_pipeline
+
+    rows = [(1, "one text of its own kind"), (2, "one text of its own kind"), (2, "quite another text under that id"), (2, "quite another text under that id"), (2, "third words nobody else has here")]
+    kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted({rows[0], rows[2], rows[4]})
+
 def test_codes_within_three_bits_are_found_and_no_others(spark):
     rng = random.Random(5)
     centres = [rng.getrandbits(64) for _ in range(12)]
