@@ -1,14 +1,14 @@
 """Connected components over an edge table, and links found through shared keys.
 
-Both are DataFrame operations alone. No group is gathered: minima are partial aggregates, and
-what belongs to a group comes back to its members by a join that can be split.
+Both are DataFrame operations alone. No group is gathered: minima are partial aggregates, written
+before what belongs to a group is joined back, so that Spark can split the join of a large group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.storage import drop_path, free_shuffles, scratch_path, written
@@ -16,20 +16,28 @@ from millrace.storage import drop_path, free_shuffles, scratch_path, written
 MOST_ROUNDS = 60
 
 
-def _lower(e: DataFrame) -> DataFrame:
+def _lower(e: DataFrame, path: str) -> DataFrame:
     """Large star: every neighbour above a node is tied to the least of the node's neighbourhood."""
     both = e.union(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", path)
+    return e.join(least, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")).distinct()
 
 
-def _gather(e: DataFrame) -> DataFrame:
+def _gather(e: DataFrame, path: str) -> DataFrame:
     """Small star: a node and all neighbours below it are tied to the least of these."""
-    least = e.groupBy("hi").agg(F.min("lo").alias("m"))
+    least = written(e.groupBy("hi").agg(F.min("lo").alias("m")), "least", path)
     tied = e.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return tied.union(least.toDF("hi", "lo")).distinct()
 
 
+def _marked(e: DataFrame, path: str) -> tuple[DataFrame, tuple]:
+    """The written edges, and what tells whether they are those of the round before."""
+    seen = Observation()
+    marks = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x"), F.sum(F.xxhash64("lo", "hi") % 1_000_003).alias("s")]
+    out = written(e.observe(seen, *marks), "edges", path)
+    return out, tuple(seen.get[k] for k in ("n", "x", "s"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is the least node reachable.
 
@@ -38,16 +46,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     path = scratch_path(spark, "edges")
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges", path)
-    mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("lo", "hi") % 1_000_003)).alias("mark")
-    seen = now.agg(mark).first()[0]
+    now, seen = _marked(edges.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), path)
     if not seen[0]:
         return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     for _ in range(MOST_ROUNDS):
-        next_path = scratch_path(spark, "edges")
-        now = written(_gather(_lower(now)), "edges", next_path)
-        drop_path(spark, path)
-        path, before, seen = next_path, seen, now.agg(mark).first()[0]
+        paths = [scratch_path(spark, "edges") for _ in range(4)]
+        lower = written(_lower(now, paths[0]), "edges", paths[1])
+        before = seen
+        now, seen = _marked(_gather(lower, paths[2]), paths[3])
+        for p in (path, *paths[:3]):
+            drop_path(spark, p)
+        path = paths[3]
         if seen == before:
             break
     else:
@@ -56,35 +65,45 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.union(roots.select("lo", "lo")).toDF("node", "component")
 
 
-def linked_components(keyed: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Components of the links between nodes that share a key.
+def linked_components(keyed: DataFrame, code: str, near: Callable[[str, str], Column], needed: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, component) of the links between nodes that share keys.
 
-    keyed: (key, node, code), a row for each key of each node. near(a, b) says whether two
-    codes may link; verify, if given, keeps the true ones of candidate rows (a, b). Two
-    passes find all that connects without listing the pairs of a group: the first links the
-    nodes of each key to its least node; the second looks only at keys whose nodes are still
-    in different components, and there only at pairs from different ones.
+    keyed: (key, node) and the column `code`, which may be the node; a row for each key of each node.
+    near(a, b) says of two columns of codes whether their nodes may link, needed(a, b) how many
+    keys they must share; verify, if given, keeps the true ones of candidate rows (a, b). Two
+    passes find all that connects without listing the pairs of a group: the first tries the nodes of
+    each key with its least node; the second looks only at keys whose nodes are still in different
+    components, and there only at pairs from different ones.
     """
     spark = keyed.sparkSession
-    group = Window.partitionBy("key")
-    shared_path = scratch_path(spark, "keys")
-    shared = keyed.select("*", F.min(F.struct("node", "code")).over(group).alias("first"), F.max("node").over(group).alias("last"))
-    shared = written(shared.where("first.node != last").select("key", "node", "code", "first"), "keys", shared_path)
+    # One shuffle serves both sides; keys of a single node, mostly the bulk, fall away as they are
+    # read. Rows of a hot key stream through their task, which holds three numbers of each key.
+    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    heads = dealt.groupBy("key").agg(F.min("node").alias("first"), F.min_by(code, "node").alias("first_code"), F.max("node").alias("last"))
+    heads = heads.where("first != last").drop("last")
+    paths = [scratch_path(spark, name) for name in ("shared-keys", "stars", "placed-keys", "mixed-keys")]
+    columns = ["key", "node"] + [code] * (code != "node")
+    shared = written(dealt.join(heads.hint("shuffle_hash"), "key").select(*columns, "first", "first_code").distinct(), "shared-keys", paths[0])
     free_shuffles(spark)
-    star = shared.where(F.col("node") != F.col("first.node")).where(near("code", "first.code"))
-    star = star.select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
-    star_path = scratch_path(spark, "stars")
-    stars = written(verify(star) if verify else star, "stars", star_path)
-    found = connected_components(stars)
 
-    placed = shared.join(found, "node", "left").select("key", "node", "code", F.coalesce("component", "node").alias("part"))
-    mixed = placed.select("*", (F.min("part").over(group) != F.max("part").over(group)).alias("mixed")).where("mixed").drop("mixed")
-    mixed_path = scratch_path(spark, "mixed")
-    mixed = written(mixed, "mixed", mixed_path)
+    def met(pairs: DataFrame) -> DataFrame:
+        """Of rows (a, b, needed) for each shared key, the pairs that share enough of them."""
+        out = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("needed").alias("needed")).where("met >= needed").select("a", "b")
+        return verify(out) if verify else out
+
+    star = shared.where(F.col("node") != F.col("first")).where(near(code, "first_code"))
+    stars = written(met(star.select(F.col("node").alias("a"), F.col("first").alias("b"), needed(code, "first_code").alias("needed"))), "stars", paths[1])
+    found = connected_components(stars)
+    placed = shared.join(found, "node", "left").select(*columns, F.coalesce("component", "node").alias("part"))
+    placed = written(placed, "placed-keys", paths[2])
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
+    mixed = written(placed.join(mixed, "key", "left_semi"), "mixed-keys", paths[3])
+    if mixed.isEmpty():
+        return found
     a, b = mixed.alias("a"), mixed.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & near("a.code", "b.code"))
-    across = across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    out = connected_components(stars.union(verify(across) if verify else across))
-    for p in (shared_path, star_path, mixed_path):
+    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & near(f"a.{code}", f"b.{code}"))
+    across = across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), needed(f"a.{code}", f"b.{code}").alias("needed"))
+    out = connected_components(stars.union(met(across)))
+    for p in paths:
         drop_path(spark, p)
     return out

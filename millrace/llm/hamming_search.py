@@ -7,8 +7,8 @@ after radius r everything below that distance has been seen and verified; a quer
 its k-th verified distance is below 4 (r + 1).
 
 Codes are dealt into blocks of about BLOCK codes, for which 16-bit segments are the right size,
-and queries into blocks as well; a task searches one block for one block of queries, and the
-k best of each block meet in a last aggregation of at most k rows for each query and block.
+and queries into blocks as well; a task searches one block for one block of queries. Of each block
+the codes that cover its k best rows, with all codes that tie with the last, meet in a last aggregation.
 Memory is bounded by the two blocks, however the codes are distributed.
 
 Rows of equal codes are one entry with its k least ids: no more of them can be in an answer.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from millrace.llm.text_batches import ragged
 from millrace.storage import written
 
-K, SEGMENTS, WIDTH, BLOCK, QUERY_BLOCK = 10, 4, 16, 1 << 16, 2048
+K, SEGMENTS, WIDTH, BLOCK, QUERY_BLOCK = 10, 4, 16, 1 << 16, 1 << 14
 #: Candidates verified at once.
 ROOM = 1 << 21
 

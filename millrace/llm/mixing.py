@@ -10,7 +10,9 @@ Given weights count relative to their sum; a source without one is left out.
 
 Defined cases: a null source is a source of its own; a null or empty text counts as one byte,
 so a source of such texts has a rate; a null doc_id hashes as "null"; rows that share a doc_id
-are repeated equally often; an empty table gives no row. Other columns pass through.
+are repeated equally often; an empty table gives no row. All columns pass through whatever their
+names are; the added rate, n_copies, copy and shuffle_key have underscores after them where the input
+has columns of these names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.naming import as_row, free_name, row_columns
+from millrace.storage import written
+
 SEED, SMOOTHING, BUDGET = "mix-1", 0.7, 1.0
 #: The table of rates is broadcast up to so many sources, else joined by a shuffle.
 MOST_SOURCES = 10_000
@@ -67,14 +72,16 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, smoothing: float = SMOOTHING, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
     """The columns of docs, with rate, n_copies, copy (from 1) and shuffle_key of each copy."""
     spark = docs.sparkSession
-    rates = source_rates(docs, weights, smoothing, budget)
+    rates = source_rates(docs.select("source", "text"), weights, smoothing, budget)
     few = docs.select("source").distinct().limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
-    rated = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("mix_source")))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    # a written table leaves the join's other side free to be split at a hot source
+    rated = as_row(docs).join(F.broadcast(rates) if few else written(rates, "rates"), F.col("row.source").eqNullSafe(F.col("mix_source")))
+    name = F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))
     draw = hashed(13, F.lit(seed), name) / F.lit(float(1 << 52))
     count = F.col("poisson.lo") + F.size(F.filter("poisson.cdf", lambda c: c <= F.col("draw")))
     counted = rated.withColumn("draw", draw).withColumn("n_copies", count).where("n_copies > 0")
-    copies = counted.select(*[F.col(c) for c in docs.columns], "rate", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
-    copies = copies.withColumn("shuffle_key", hashed(15, F.lit(seed), name, F.col("copy").cast("string")))
+    copies = counted.select("row", "rate", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    key = free_name("shuffle_key", docs)
+    copies = copies.select(*row_columns(docs), *(F.col(c).alias(free_name(c, docs)) for c in ("rate", "n_copies", "copy")), hashed(15, F.lit(seed), name, F.col("copy").cast("string")).alias(key))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies.repartition(parts, key).sortWithinPartitions(key)

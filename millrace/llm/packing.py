@@ -12,7 +12,7 @@ window, which a monotone queue gives in constant time. A window of 2^j ids isn't
 those are looked up on their own.
 
 Defined cases: a null text is empty and packs as its end id; rows that share a doc_id are
-separate documents, ordered by text; a null doc_id comes first; an empty table gives no
+separate documents, ordered by a hash of the text; a null doc_id comes first; an empty table gives no
 piece; other columns are ignored; a text longer than a window goes on in the next ones.
 """
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import linked_components
+from millrace.llm.naming import free_name
 from millrace.llm.text_batches import slices, text_column
 from millrace.storage import written
 
@@ -85,8 +86,8 @@ def code_components(codes: DataFrame) -> DataFrame:
     # dealt again by number: the few megabytes of codes make many rows of keys in the next step
     parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = codes.select("code").distinct().repartition(parts, "code")
-    keyed = distinct.select(F.explode(ball_keys("code")).alias("key"), F.col("code").alias("node"), "code")
-    return linked_components(keyed, near)
+    keyed = distinct.select(F.explode(ball_keys("code")).alias("key"), F.col("code").alias("node"))
+    return linked_components(keyed, "node", near, lambda a, b: F.lit(1))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -102,19 +103,15 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return marked.join(placed, "code").select("doc_id", shown, "component_id")
 
 
-def one_of_each(docs: DataFrame, by_text: bool = False) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component, each doc_id once.
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are the least of their component, by doc_id and then a hash of the text.
 
-    by_text: rows are told apart by their texts too, so of a doc_id one row stays for each
-    component whose least it is. Rows with a null doc_id can't be told apart by it and stay.
+    Rows are told apart by doc_id and text, so unlinked texts under one doc_id stay; of rows equal in
+    both one stays. Rows with a null doc_id can't be told apart by it and stay.
     """
-    if by_text:
-        own = F.xxhash64("text")
-        marked = written(fingerprints(docs, own), "fingerprints")
-        placed = marked.join(code_components(marked).withColumnRenamed("node", "code"), "code", "left").withColumn("part", F.coalesce("component", "code"))
-        kept = placed.groupBy("part").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "own"))).alias("x")).where("x is not null").select(F.col("x.doc_id").alias("doc_id"), F.col("x.own").alias("own_text"))
-        known = docs.where("doc_id is not null").withColumn("own_text", own).join(kept, ["doc_id", "own_text"], "left_semi").dropDuplicates(["doc_id", "own_text"])
-        return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
-    marked = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(marked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    own, name = F.xxhash64("text"), free_name("own_text", docs)
+    marked = written(fingerprints(docs, own), "fingerprints")
+    placed = marked.join(code_components(marked).withColumnRenamed("node", "code"), "code", "left").withColumn("part", F.coalesce("component", "code"))
+    kept = placed.groupBy("part").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "own"))).alias("x")).where("x is not null").select(F.col("x.doc_id").alias("doc_id"), F.col("x.own").alias(name))
+    known = docs.where("doc_id is not null").withColumn(name, own).join(kept, ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
+    return known.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where("doc_id is null"))

@@ -6,8 +6,8 @@ stream in order. Each row of the table is one shard: its place and the grammar b
 shards are written again and never twice.
 
 Defined cases: a null text is empty and has the end id alone; a null doc_id comes first; rows
-that share a doc_id are separate documents, ordered by their texts; an empty table gives no
-shard; other columns are ignored. A text of any length is encoded whole, and a shard holds
+that share a doc_id are separate documents, ordered by a hash of their texts, and may be parted into
+several ranges; an empty table gives no shard; other columns are ignored. A text of any length is encoded whole, and a shard holds
 whole documents.
 """
 
@@ -31,9 +31,10 @@ SHARD = "part long, shard long, start long, n_docs long, n_ids long, grammar bin
 
 
 def in_id_order(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) dealt by ranges of doc_id, each range in order."""
+    """(doc_id, text) dealt by ranges of doc_id, rows of one doc_id by a hash of the text; each range in order."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    placed = docs.select("doc_id", "text", F.xxhash64("text").alias("own")).repartitionByRange(parts, "doc_id", "own")
+    return placed.sortWithinPartitions("doc_id", "own", "text").select("doc_id", "text")
 
 
 def encoded(part: pa.RecordBatch, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:

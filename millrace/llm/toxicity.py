@@ -1,26 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Three transducers run one after the other over the word classes of a clause that has an insult
-or a threat: negation (a negated insult counts less), reported speech (so does a quoted one)
-and target (one aimed at somebody counts more). The clause's score is the weight of what
-matched times the weight of its path; words outside matched clauses count for nothing.
+Five transducers are composed into one machine over the word classes of a clause: insults (one
+after another they count more), threats (after a first person more), negation (a negated match
+counts less), reported speech (so does a quoted one) and target (a clause aimed at somebody counts
+more). Each matched word has a weight of its own, the lexicon's times that of its arc; a clause's
+score is their sum times the weight of the state it ends in, so that one more insult never lowers
+it. Words outside matched clauses count for nothing.
 
 The insult lexicon maps stems to weights: a fixed list, and stems learnt from labelled rows,
 which are beginnings of words that toxic rows have in many contexts and others hardly have. A
 document's score is a logistic function of its clause scores, fitted to the same rows. Only rows
 whose crc32(doc_id) mod 3 is not 1 are learnt from, at most TOXIC_ROWS + CLEAN_ROWS of them,
-those first in the order of a hash; rates are set right for the share that was taken.
+those first in the order of a hash; rates are set right for the share that was taken. All stems
+that the sample supports are kept: it bounds them.
 
 Defined cases: a null or empty text has no clause and the lowest score; without labelled rows of
 both kinds the fixed list is scored with START; rows that share a doc_id are scored each on its
-own; of several labels of one doc_id the highest counts; an empty table gives no row.
+own, and the least of their texts is learnt from; of several labels of one doc_id the highest
+counts; an empty table gives no row; a very long text is cut into clauses once, in one pass.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from millrace.llm.text_batches import slices, text_column
 from millrace.storage import written
 
-TOXIC_ROWS, CLEAN_ROWS, MOST_STEMS = 2000, 6000, 4000
+TOXIC_ROWS, CLEAN_ROWS = 2000, 6000
 #: A stem needs so many different words before it (of 64 classes), and that log ratio of rates.
 CONTEXTS, RATIO = 8, 4.0
 STEM_LENGTHS = range(4, 9)
@@ -47,6 +53,7 @@ idiota idiotas imbécil estúpido estúpida basura perdedor patético asqueroso
 THREATS = "kill kills murder strangle töten umbringen tuer assassiner matar asesinar".split()
 TARGETS = "you your yours he she they him her them his their u du dich dir ihr sie er tu toi vous il elle ils usted tú él ella ellos te".split()
 NEGATIONS = "not no never nobody isn aren wasn don doesn didn nicht kein keine nie pas jamais ni nunca jamás".split()
+FIRST = "i we ich wir je nous yo nosotros".split()
 REPORTS = "said says say wrote writes claimed claims called calls quoted reported according sagte schrieb laut dit écrit selon dijo escribió según".split()
 
 #: Weights of the logistic function where nothing can be learnt: constant, any, total, clauses.
@@ -55,58 +62,85 @@ WORD = regex.compile(r"[\p{L}\p{N}_]+")
 CLAUSE_END = regex.compile(r"[.!?;\n]")
 
 
+#: Word classes: insult, threat, target, negation, verb of saying, first person, other.
+CLASSES = "IHTNRFo"
+#: What a matched word comes out as: insult, threat, negated, reported.
+MATCHED = "ihnr"
+
+
 @dataclass
 class Transducer:
-    """Arcs (state, label) -> (state, output, log weight); a label without one goes by the arc of None."""
+    """Arcs (state, label) -> (state, output, log weight); a label without one stays as it is.
+
+    A label without an arc keeps the state, or goes to the state's place in `otherwise`.
+    """
 
-    arcs: dict[tuple[int, str | None], tuple[int, str | None, float]]
+    arcs: dict[tuple[int, str], tuple[int, str, float]]
     final: dict[int, float] = field(default_factory=dict)
+    otherwise: dict[int, int] = field(default_factory=dict)
 
-    def run(self, labels: list[str]) -> tuple[list[str], float]:
-        state, weight, out = 0, 0.0, []
-        for x in labels:
-            state, y, w = self.arcs.get((state, x)) or self.arcs[state, None]
-            out.append(x if y is None else y)
-            weight += w
-        return out, weight + self.final.get(state, 0.0)
+    def step(self, state: int, label: str) -> tuple[int, str, float]:
+        return self.arcs.get((state, label)) or (self.otherwise.get(state, state), label, 0.0)
+
+
+def insult(run: float = math.log(1.25)) -> Transducer:
+    """Insults; one right after another weighs more."""
+    return Transducer({(0, "I"): (1, "i", 0.0), (1, "I"): (1, "i", run)}, otherwise={1: 0})
+
+
+def threat(person: float = math.log(1.6)) -> Transducer:
+    """Threats; after a first person in the clause they weigh more."""
+    return Transducer({(0, "F"): (1, "F", 0.0), (0, "H"): (0, "h", 0.0), (1, "H"): (1, "h", person)})
 
 
 def negation(scope: int = 3, weight: float = math.log(0.3)) -> Transducer:
-    """An insult up to `scope` words after a negation comes out as "n"."""
-    arcs: dict = {(0, None): (0, None, 0.0)}
-    for s in range(scope + 1):
-        arcs[s, "N"] = (scope, None, 0.0)
-        if s:
-            arcs[s, None] = (s - 1, None, 0.0)
-            arcs[s, "I"] = arcs[s, "H"] = (s - 1, "n", weight)
-    return Transducer(arcs)
+    """A match up to `scope` words after a negation weighs less."""
+    arcs = {(s, "N"): (scope, "N", 0.0) for s in range(scope + 1)}
+    arcs |= {(s, x): (s - 1, "n", weight) for s in range(1, scope + 1) for x in "ih"}
+    return Transducer(arcs, otherwise={s: s - 1 for s in range(1, scope + 1)})
 
 
 def reported(weight: float = math.log(0.6)) -> Transducer:
-    """What follows a verb of saying in its clause comes out as "r"."""
-    arcs: dict = {(0, None): (0, None, 0.0), (0, "R"): (1, None, 0.0), (1, None): (1, None, 0.0)}
-    for label in ("I", "H", "n"):
-        arcs[1, label] = (1, "r", weight)
-    return Transducer(arcs)
+    """A match after a verb of saying in its clause weighs less."""
+    return Transducer({(0, "R"): (1, "R", 0.0), **{(1, x): (1, "r", weight) for x in "ihn"}})
 
 
 def targeted(weight: float = math.log(1.5)) -> Transducer:
-    """A clause that has both a target and an insult or threat, in either order, weighs more."""
-    arcs: dict = {}
-    for state in range(4):  # bit 0: target seen, bit 1: insult or threat seen
-        arcs[state, None] = (state, None, 0.0)
-        arcs[state, "T"] = (state | 1, None, 0.0)
-        for label in ("I", "H", "r", "n"):
-            arcs[state, label] = (state | 2, None, 0.0)
-    return Transducer(arcs, {3: weight})
+    """A clause that has both a target and a match, in either order, weighs more."""
+    arcs = {(s, "T"): (s | 1, "T", 0.0) for s in range(4)}  # bit 0: target seen, bit 1: match seen
+    return Transducer(arcs | {(s, x): (s | 2, x, 0.0) for s in range(4) for x in MATCHED}, {3: weight})
+
+
+def compose(first: Transducer, second: Transducer, labels: str = CLASSES) -> Transducer:
+    """The machine that feeds what the first puts out to the second, over the states that can be reached."""
+    number, todo, out = {(0, 0): 0}, [(0, 0)], Transducer({})
+    while todo:
+        a, b = todo.pop()
+        state = number[a, b]
+        if end := first.final.get(a, 0.0) + second.final.get(b, 0.0):
+            out.final[state] = end
+        for x in labels:
+            to_a, y, w = first.step(a, x)
+            to_b, z, v = second.step(b, y)
+            if (to_a, to_b) not in number:
+                number[to_a, to_b] = len(number)
+                todo.append((to_a, to_b))
+            out.arcs[state, x] = (number[to_a, to_b], z, w + v)
+    return out
+
+
+def machine() -> Transducer:
+    return reduce(compose, (insult(), threat(), negation(), reported(), targeted()))
 
 
 class Grammar:
     """Scores texts with a lexicon {stem or word: weight}; words end in "$", stems match beginnings."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.chain = (negation(), reported(), targeted())
-        self.label = dict.fromkeys(TARGETS, "T") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R")
+        whole = machine()
+        self.arcs = {k: (to, math.exp(w) if y in MATCHED else 0.0) for k, (to, y, w) in whole.arcs.items()}
+        self.final = {s: math.exp(w) for s, w in whole.final.items()}
+        self.label = dict.fromkeys(TARGETS, "T") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R") | dict.fromkeys(FIRST, "F")
         self.threats = set(THREATS)
         self.found = ahocorasick.Automaton()
         for stem, weight in lexicon.items():
@@ -132,24 +166,25 @@ class Grammar:
         """(begin, end, score) of the clauses that matched."""
         text = text.lower()
         hits = sorted(self.hits(text).items())
+        if not hits:
+            return []
+        ends = [m.start() for m in CLAUSE_END.finditer(text)]
+        starts = [at for at, _ in hits]
         out, k = [], 0
         while k < len(hits):
-            at = hits[k][0]
-            begin = max(text.rfind(c, 0, at) for c in ".!?;\n") + 1
-            end = m.start() if (m := CLAUSE_END.search(text, at)) else len(text)
-            own = {}
-            while k < len(hits) and hits[k][0] < end:
-                own[hits[k][0]] = hits[k][1]
-                k += 1
-            labels = []
+            c = bisect_left(ends, hits[k][0])
+            begin, end = ends[c - 1] + 1 if c else 0, ends[c] if c < len(ends) else len(text)
+            last = bisect_right(starts, end, k)
+            own = dict(hits[k:last])
+            state, score = 0, 0.0
             for m in WORD.finditer(text, begin, end):
-                hit = m.start() in own
-                labels.append(("H" if m.group() in self.threats else "I") if hit else self.label.get(m.group(), "o"))
-            weight = 0.0
-            for transducer in self.chain:
-                labels, w = transducer.run(labels)
-                weight += w
-            out.append((begin, end, sum(own.values()) * math.exp(weight)))
+                weight = own.get(m.start())
+                label = self.label.get(m.group(), "o") if weight is None else "H" if m.group() in self.threats else "I"
+                state, factor = self.arcs[state, label]
+                if weight is not None:
+                    score += weight * factor
+            out.append((begin, end, score * self.final.get(state, 1.0)))
+            k = last
         return out
 
     def features(self, text: str) -> tuple[float, float, float]:
@@ -169,8 +204,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict
     order = F.xxhash64("doc_id")
     taken = known.where("toxic = 1").orderBy(order, "doc_id").limit(TOXIC_ROWS).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(CLEAN_ROWS))
     # at most TOXIC_ROWS + CLEAN_ROWS ids
-    sample = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").dropDuplicates(["doc_id"])
-    return written(sample.select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), "labelled"), counts
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id")
+    return written(sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).drop("doc_id"), "labelled"), counts
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
@@ -191,14 +226,14 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     a, b = total.get(1, 0) + 1.0, total.get(0, 0) + 1.0
     counts = counts.withColumn("weight", F.log((F.col("toxic") + 0.5) / a) - F.log((F.col("clean") + 0.5) / b))
     counts = counts.where(F.col("stem").isin([f"{w}$" for w in fixed]) | ((F.col("contexts") >= CONTEXTS) & (F.col("weight") >= RATIO)))
-    rows = counts.orderBy(F.col("toxic").desc(), "stem").limit(MOST_STEMS).collect()
+    rows = counts.collect()  # stems of the bounded sample
     lexicon = {f"{w}$": 3.0 for w in fixed}
     seen = {r.stem: r for r in rows}
     for w in fixed:
         if (r := seen.get(f"{w}$")) and r.toxic + r.clean >= 5:
             lexicon[f"{w}$"] = r.weight
     lexicon = {w: x for w, x in lexicon.items() if x > 1}
-    for stem in sorted((s for s in seen if seen[s].contexts >= CONTEXTS and seen[s].weight >= RATIO), key=len):
+    for stem in sorted((s for s in seen if seen[s].contexts >= CONTEXTS and seen[s].weight >= RATIO), key=lambda x: (len(x), x)):
         if not any(stem[:n] in lexicon for n in STEM_LENGTHS if n < len(stem)):  # a shorter stem has its matches
             lexicon[stem] = min(seen[stem].weight, 8.0)
     return lexicon
