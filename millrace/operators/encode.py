@@ -71,11 +71,14 @@ def encoded_table(df: DataFrame, key: str, column: str, vocabulary: DataFrame, b
 def stratified_split(df: DataFrame, key: str, label: str, val: float = 0.1, test: float = 0.1, seed: int = 1337) -> DataFrame:
     """df with its split: test, then val, then train, each with every label's share."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    own = Window.partitionBy(label)
-    rank, size = F.row_number().over(own.orderBy(order)), F.count("*").over(own)
+    # ranks over labels and hashes together, in ranges of both, less the rows of the labels before
+    placed = ranked(df.withColumn("_order", order), "_place", F.col(label).asc(), F.col("_order").asc())
+    sizes = placed.groupBy(label).agg(F.count("*").alias("_size"), F.min("_place").alias("_start"))  # a row for each label
+    rank, size = F.col("_place") - F.col("_start") + 1, F.col("_size")
     n_test, n_val = F.bround(size * F.lit(test)), F.bround(size * F.lit(val))
-    split = F.when(F.col("_rank") <= F.col("_test"), "test").when(F.col("_rank") <= F.col("_test") + F.col("_val"), "val").otherwise("train")
-    return df.withColumns({"_rank": rank, "_test": n_test, "_val": n_val}).withColumn("split", split).drop("_rank", "_test", "_val")
+    split = F.when(rank <= n_test, "test").when(rank <= n_test + n_val, "val").otherwise("train")
+    joined = placed.join(sizes.withColumnRenamed(label, "_label"), F.col(label).eqNullSafe(F.col("_label")))
+    return joined.select(*df.columns, split.alias("split"))
 
 
 def integrity(df: DataFrame, block: int, vocab: int, end: int, labels: int = 2) -> DataFrame:
@@ -97,10 +100,15 @@ def integrity(df: DataFrame, block: int, vocab: int, end: int, labels: int = 2)
 def fingerprint(df: DataFrame, *by: str) -> DataFrame:
     """(by, fingerprint): order-sensitive digest of rows (idx, tokens, length, label).
 
-    Rows are digested first, then ranges of a thousand indices, then those, so lists stay short.
+    Rows are digested first, then ranges of a thousand indices, then a thousand of those, and so on,
+    so that no list is longer than a thousand.
     """
     row = F.md5(F.concat_ws("|", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ","), F.col("length").cast("string"), F.col("label").cast("string")))
     joined = lambda key: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "digest"))), lambda x: x["digest"]), ""))
-    rows = df.select(*by, "idx", F.floor(F.col("idx") / 1000).alias("range"), row.alias("digest"))
-    ranges = rows.groupBy(*by, "range").agg(joined("idx").alias("digest"))
-    return ranges.groupBy(*by).agg(joined("range").alias("fingerprint"))
+    digests = df.select(*by, "idx", row.alias("digest"))
+    most = df.agg(F.max("idx")).first()[0] or 0
+    while most >= 1000:
+        ranges = digests.select(*by, "idx", F.floor(F.col("idx") / 1000).alias("range"), "digest")
+        digests = ranges.groupBy(*by, "range").agg(joined("idx").alias("digest")).withColumnRenamed("range", "idx")
+        most //= 1000
+    return digests.groupBy(*by).agg(joined("idx").alias("fingerprint"))

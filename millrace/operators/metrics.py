@@ -7,6 +7,7 @@ ranges of the order and shifted by the ranges before.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,20 +128,34 @@ def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     return low, F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), centre + half))
 
 
+def _log_factorial(n: Column) -> Column:
+    """log n!: Stirling's series from 40 on, a sum of logarithms below."""
+    x = F.greatest(n, F.lit(40)).cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    few = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(40)), F.lit(1)).cast("int")), F.lit(0.0), lambda a, k: a + F.log(k.cast("double")))
+    return F.when(n < 40, few).otherwise(series)
+
+
 def mcnemar(df: DataFrame) -> DataFrame:
-    """(a_only, b_only, p) of rows (correct_a, correct_b): the exact two-sided test, in log space."""
+    """(a_only, b_only, p) of rows (correct_a, correct_b): the exact two-sided test, in log space.
+
+    Terms are added from the largest down to where they are below 1e-17 of it, which is within some
+    twelve standard deviations of the middle.
+    """
     a, b = F.col("correct_a"), F.col("correct_b")
     counts = df.agg(F.count_if(a & ~b).alias("a_only"), F.count_if(~a & b).alias("b_only"))
     n, m = F.col("a_only") + F.col("b_only"), F.least("a_only", "b_only")
-    steps = F.sequence(F.lit(0).cast("bigint"), m)
-    # log C(n, k) grows by log((n - k + 1) / k)
-    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"))
-    power = n * F.log(F.lit(2.0))
+    reach = F.least(m, F.ceil(F.sqrt(n.cast("double")) * 7 + 60)).cast("bigint")
+    # log C(n, m) by Stirling's series, exact for what is left of it; C(n, k - 1) is C(n, k) k / (n - k + 1)
+    first = _log_factorial(n) - _log_factorial(m) - _log_factorial(n - m) - n * F.log(F.lit(2.0))
+    start = F.struct(first.alias("log"), F.exp(first).alias("sum"))
 
-    def add(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.when(k > 0, F.log((n - k + 1) / F.greatest(k, F.lit(1)))).otherwise(F.lit(0.0))
-        return F.struct(log.alias("log"), (acc["sum"] + F.exp(log - power)).alias("sum"))
+    def add(acc: Column, j: Column) -> Column:
+        k = (m - j + 1).cast("double")  # the term before was that of k
+        log = acc["log"] + F.log(k / (n - k + 1))
+        return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"))
 
+    steps = F.when(reach > 0, F.sequence(F.lit(1).cast("bigint"), F.greatest(reach, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
     tail = F.aggregate(steps, start, add)["sum"]
     return counts.select("a_only", "b_only", F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p"))
 

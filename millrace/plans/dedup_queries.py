@@ -136,6 +136,16 @@ def _overlap(spark, d):
     return each.groupBy("i").agg(F.round(F.coalesce(F.avg(F.when(F.col("h").isNotNull(), F.coalesce("hit", F.lit(0)))), F.lit(0.0)), 9).alias("seen_share"))
 
 
+def by_split_sets(spark, d, n):
+    """((idx, split, label, set) of labelled documents, (h, train, val) of the others, a tenth of which are validation)."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text")
+    known = split_rows(spark, d)
+    sets = docs.join(known, "idx").select("idx", "split", "label", arrays.shingle_hashes(F.col("text"), n).alias("set"))
+    val = (F.col("idx") % 10 == 9).cast("int")
+    rest = docs.join(known, "idx", "left_anti").where(F.size(text.words(F.col("text"))) >= n)
+    return sets, rest.select(F.explode(arrays.shingle_hashes(F.col("text"), n)).alias("h"), (1 - val).alias("train"), val.alias("val"))
+
+
 def contamination(spark, d):
     items, hits = _hits(spark, d)
     return items.select("i", F.explode("set").alias("h")).join(hits, "h", "left_semi").groupBy("i").agg(F.count("*").alias("n_hits"))
@@ -162,6 +172,9 @@ _PAIRS = f"""{_SETS}, {_EACH}, pairs AS (
   SELECT a.idx AS i, b.idx AS j, count(*) AS shared, any_value(a.n + b.n) - count(*) AS total
   FROM each a JOIN each b ON a.sh = b.sh AND a.idx < b.idx GROUP BY a.idx, b.idx HAVING 5 * count(*) >= 4 * (any_value(a.n + b.n) - count(*))
 )"""
+SPLIT_SETS = f"""{SPLIT}, worded AS (SELECT doc_id AS idx, {sql_message_words('text')} AS w, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS own FROM documents),
+  messages AS (SELECT idx, split, label, {sql_shingles('w', 13)} AS s FROM worded JOIN split_rows USING (idx)),
+  corpus AS (SELECT unnest({sql_shingles('w', 13)}) AS sh, (idx % 10 <> 9)::INTEGER AS train, (idx % 10 = 9)::INTEGER AS val FROM worded ANTI JOIN split_rows USING (idx) WHERE len(own) >= 13)"""
 _MATCH = f"""{SPLIT}, {_SETS}, {_EACH}, found AS (
   SELECT q.idx AS i, r.idx AS j, count(*) AS shared, any_value(q.n + r.n) - count(*) AS total
   FROM each q JOIN each r ON q.sh = r.sh JOIN split_rows sq ON sq.idx = q.idx AND sq.split = 'test' JOIN split_rows sr ON sr.idx = r.idx AND sr.split = 'train'
@@ -216,9 +229,10 @@ ORACLES = {
         count(*) FILTER (len(list_filter(tokens, lambda t: t >= e - 499)) > 0) AS vocabulary, 0::BIGINT AS padding, count(*) FILTER (NOT label BETWEEN 0 AND 1) AS label,
         count(*) FILTER (list_contains(tokens[1:length - 1], e)) AS "inner end" FROM (SELECT *, (SELECT e FROM v) AS e FROM encoded) GROUP BY split)
       UNPIVOT rules ON "length", "end", vocabulary, padding, label, "inner end" INTO NAME rule VALUE failures""",
-    "fingerprint": f"""WITH {ENCODED}, digests AS (SELECT split, idx, idx // 1000 AS r, md5(array_to_string(tokens, ',') || '|' || length::VARCHAR || '|' || label::VARCHAR) AS d FROM encoded),
-      ranges AS (SELECT split, r, md5(string_agg(d, '' ORDER BY idx)) AS d FROM digests GROUP BY split, r)
-      SELECT split, md5(string_agg(d, '' ORDER BY r)) AS fingerprint FROM ranges GROUP BY split""",
+    "fingerprint": f"""WITH {ENCODED}, digests AS (SELECT split, idx, md5(array_to_string(tokens, ',') || '|' || length::VARCHAR || '|' || label::VARCHAR) AS d FROM encoded),
+      folded AS (SELECT split, idx // 1000 AS r, md5(string_agg(d, '' ORDER BY idx)) AS d FROM digests GROUP BY split, r),
+      top AS (SELECT split, r, d FROM folded WHERE (SELECT max(idx) FROM encoded) >= 1000 UNION ALL SELECT split, idx, d FROM digests WHERE (SELECT max(idx) FROM encoded) < 1000)
+      SELECT split, md5(string_agg(d, '' ORDER BY r)) AS fingerprint FROM top GROUP BY split""",
     "contamination": f"WITH {_HITS} SELECT i, count(*) AS n_hits FROM wanted JOIN corpus USING (sh) GROUP BY i",
     "overlap_fraction": f"WITH {_HITS} SELECT i, seen_share FROM overlap",
     "contamination_report": f"""WITH {_HITS}, parted AS (SELECT CASE WHEN i % 2 = 0 THEN 'even' ELSE 'odd' END AS part, seen_share FROM overlap),

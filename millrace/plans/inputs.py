@@ -9,10 +9,19 @@ from millrace.functions import text
 from millrace.operators import encode
 
 BLOCK = 256
+#: Tables whose rows are long texts.
+TEXTS = ("documents", "conversations")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in TEXTS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew where its files give fewer tasks than half the cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def uniform(c: Column) -> Column:

@@ -11,7 +11,7 @@ from millrace.operators import behaviour, encode, metrics, runs
 from millrace.plans.inputs import CASES, SCORED, cases, read, scored, sql_norm, sql_score, sql_uniform, stand_in_score, uniform
 
 T = 0.5
-REPLICATES = 20
+REPLICATES = 1000
 
 
 def _rounded(df, *keep):
@@ -65,8 +65,7 @@ def mcnemar(spark, d):
 
 def bootstrap_ci(spark, d):
     rows = encode.ranked(scored(spark, d), "place", F.col("idx").asc()).select(F.col("place").alias("idx"), "prob", "label")
-    out = metrics.bootstrap(rows, T, REPLICATES)
-    return _rounded(out.where(F.col("metric").isin("accuracy", "precision", "recall", "brier")))
+    return _rounded(metrics.bootstrap(rows, T, REPLICATES))
 
 
 def _exposed(spark, d):
@@ -240,14 +239,15 @@ def _text(s: str) -> str:
 _WORDLIST = "[" + ", ".join(f"'{k}'" for k in behaviour.NAMES) + "]"
 _SWAP = lambda c: f"array_to_string(list_transform(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda w: CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in behaviour.NAMES.items()) + " ELSE w END), '')"
 _PERTURB = f"""{CASES}, perturbed AS (
-  SELECT 'upper case' AS edit, case_id, label, subject, body, upper(replace(subject, 'ß', 'SS')) AS new_subject, upper(replace(body, 'ß', 'SS')) AS new_body FROM cases
-  UNION ALL SELECT 'wide spacing', case_id, label, subject, body, subject, replace(replace(body, ' ', '  '), chr(10), chr(10) || chr(10)) FROM cases
-  UNION ALL SELECT 'reply prefix', case_id, label, subject, body, 'Re: ' || subject, body FROM cases
-  UNION ALL SELECT 'swap names', case_id, label, subject, body, {_SWAP('subject')}, {_SWAP('body')} FROM cases WHERE len(list_intersect(regexp_extract_all(subject || ' ' || body, '[\\p{{L}}\\p{{N}}_]+'), {_WORDLIST})) > 0
-  UNION ALL SELECT 'signature', case_id, label, subject, body, subject, body || {_text(behaviour.SIGNATURE)} FROM cases
-  UNION ALL SELECT 'disclaimer', case_id, label, subject, body, subject, body || {_text(behaviour.DISCLAIMER)} FROM cases
-  UNION ALL SELECT 'friendly opener', case_id, label, subject, body, subject, {_text(behaviour.OPENER)} || body FROM cases WHERE label = 1
-  UNION ALL SELECT 'call to action', case_id, label, subject, body, subject, body || {_text(behaviour.CALL)} FROM cases WHERE label = 0
+  SELECT 'capitals' AS edit, case_id, label, subject, body, upper(replace(subject, 'ß', 'SS')) AS new_subject, upper(replace(body, 'ß', 'SS')) AS new_body FROM cases
+  UNION ALL SELECT 'small letters', case_id, label, subject, body, lower(subject), lower(body) FROM cases
+  UNION ALL SELECT 'double spacing', case_id, label, subject, body, subject, replace(replace(body, ' ', '  '), chr(10), chr(10) || chr(10)) FROM cases
+  UNION ALL SELECT 'subject led by ' || word, case_id, label, subject, body, word || ': ' || subject, body FROM cases, (VALUES ('Fwd'), ('Re')) w(word)
+  UNION ALL SELECT 'other names', case_id, label, subject, body, {_SWAP('subject')}, {_SWAP('body')} FROM cases WHERE len(list_intersect(regexp_extract_all(subject || ' ' || body, '[\\p{{L}}\\p{{N}}_]+'), {_WORDLIST})) > 0
+  UNION ALL SELECT 'closing lines', case_id, label, subject, body, subject, body || {_text(behaviour.SIGNATURE)} FROM cases
+  UNION ALL SELECT 'legal notice', case_id, label, subject, body, subject, body || {_text(behaviour.DISCLAIMER)} FROM cases
+  UNION ALL SELECT 'warm start', case_id, label, subject, body, subject, {_text(behaviour.OPENER)} || body FROM cases WHERE label = 1
+  UNION ALL SELECT 'appeal', case_id, label, subject, body, subject, body || {_text(behaviour.CALL)} FROM cases WHERE label = 0
 )"""
 _SEEN = lambda s, b: f"array_to_string(string_split('Subject: ' || {sql_norm(s + ' || chr(32) || ' + b)}, ' ')[1:255], ' ')"
 _PAIRED = f"{_PERTURB}, inputs AS (SELECT edit, label, {_SEEN('subject', 'body')} AS x0, {_SEEN('new_subject', 'new_body')} AS x1 FROM perturbed), pairs AS (SELECT edit, {sql_uniform('x0')} AS p0, {sql_uniform('x1')} AS p1, x0 = x1 AS same FROM inputs)"
@@ -271,9 +271,14 @@ ORACLES = {
     "mcnemar": f"""WITH {SCORED}, {_B}, c AS (SELECT count(*) FILTER (a AND NOT b) AS a_only, count(*) FILTER (b AND NOT a) AS b_only FROM (SELECT (s.prob >= 0.5e0) = (s.label = 1) AS a, (o.prob >= 0.5e0) = (o.label = 1) AS b FROM scored s JOIN other o USING (idx)))
       SELECT a_only, b_only, round(CASE WHEN a_only + b_only = 0 THEN 1e0 ELSE least(1e0, 2 * (SELECT sum(exp(lgamma(a_only + b_only + 1) - lgamma(k + 1) - lgamma(a_only + b_only - k + 1) - (a_only + b_only) * ln(2e0))) FROM range(0, 1000) t(k) WHERE k <= least(a_only, b_only))) END, 9) AS p FROM c""",
     "bootstrap_ci": f"""WITH {SCORED}, numbered AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS i, prob, label FROM scored), size AS (SELECT count(*) AS n FROM numbered),
-      draws AS (SELECT rep, CAST('0x' || substr(md5('0:' || rep::VARCHAR || ':' || draw::VARCHAR), 1, 8) AS BIGINT) % n AS i FROM range({REPLICATES}) r(rep), size, range(100000) x(draw) WHERE draw < n),
-      sample AS (SELECT rep, prob, label FROM draws JOIN numbered USING (i)), m AS (SELECT rep, accuracy, precision, recall, brier FROM {_derived(f'(SELECT rep, {_C}, avg((prob - label) * (prob - label)) AS brier FROM sample GROUP BY rep)')} WHERE tp + fn > 0 AND fp + tn > 0),
-      long AS (UNPIVOT m ON accuracy, precision, recall, brier INTO NAME metric VALUE value)
+      draws AS (SELECT rep, CAST('0x' || substr(md5('0:' || rep::VARCHAR || ':' || d.i::VARCHAR), 1, 8) AS BIGINT) % n AS i FROM range({REPLICATES}) r(rep), size, numbered d),
+      sample AS (SELECT rep, prob, label FROM draws JOIN numbered USING (i)),
+      byscore AS (SELECT rep, prob, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM sample GROUP BY rep, prob),
+      down AS (SELECT *, sum(p) OVER (PARTITION BY rep ORDER BY prob DESC)::DOUBLE AS tp, sum(n) OVER (PARTITION BY rep ORDER BY prob DESC)::DOUBLE AS fp, sum(p) OVER (PARTITION BY rep)::DOUBLE AS pp, sum(n) OVER (PARTITION BY rep)::DOUBLE AS nn FROM byscore),
+      ranking AS (SELECT rep, sum(p * (nn - fp + n / 2e0)) / any_value(pp) / any_value(nn) AS roc_auc, sum(p * tp / (tp + fp)) / any_value(pp) AS pr_auc, coalesce(max(tp / pp) FILTER (fp / nn <= 0.01e0), 0) AS recall_at_fpr FROM down GROUP BY rep),
+      calibration AS (SELECT rep, sum(abs(p - y)) / sum(n) AS ece FROM (SELECT rep, sum(prob) AS p, sum(label) AS y, count(*) AS n FROM sample GROUP BY rep, least(floor(prob * 10), 9)) GROUP BY rep),
+      m AS (SELECT rep, {', '.join(_M)}, roc_auc, pr_auc, recall_at_fpr, brier, ece FROM {_derived(f'(SELECT rep, {_C}, avg((prob - label) * (prob - label)) AS brier FROM sample GROUP BY rep)')} JOIN ranking USING (rep) JOIN calibration USING (rep) WHERE tp + fn > 0 AND fp + tn > 0),
+      long AS (UNPIVOT m ON {', '.join(_M)}, roc_auc, pr_auc, recall_at_fpr, brier, ece INTO NAME metric VALUE value)
       SELECT metric, round(quantile_cont(value, 0.025), 9) AS lo, round(quantile_cont(value, 0.975), 9) AS hi FROM long GROUP BY metric""",
     "exposure_report": f"""WITH {SCORED}, e AS (SELECT label, prob, {sql_uniform("'seen' || idx::VARCHAR")} >= 0.5e0 AS seen FROM scored), grid AS (SELECT l AS label, s AS seen FROM (VALUES (0), (1)) a(l), (VALUES (true), (false)) b(s)),
       c AS (SELECT g.label, g.seen, count(e.prob) AS n, count(*) FILTER (e.prob >= 0.5e0) AS flagged FROM grid g LEFT JOIN e ON e.label = g.label AND e.seen = g.seen GROUP BY g.label, g.seen)
@@ -288,7 +293,7 @@ ORACLES = {
     "edges_fine": f"WITH {CASES} SELECT bool_and(prob BETWEEN 0 AND 1) AS fine FROM {_cases_scored()}",
     "perturb": f"WITH {_PERTURB} SELECT edit, case_id, md5(new_subject) AS subject_md5, md5(new_body) AS body_md5 FROM perturbed",
     "invariance": f"WITH {_PAIRED}, names AS (SELECT unnest([{', '.join(chr(39) + e.name + chr(39) for e in _EDITS if not e.direction)}]) AS edit) SELECT n.edit, count(p.p0) AS n, count(*) FILTER (same) AS unchanged, count(*) FILTER ((p0 >= 0.5e0) <> (p1 >= 0.5e0) AND NOT same) AS flips FROM names n LEFT JOIN pairs p ON p.edit = n.edit GROUP BY n.edit",
-    "directional": f"WITH {_PAIRED} SELECT 'call to action' AS edit, count(*) AS n, count(*) FILTER (same) AS unchanged, count(*) FILTER (p1 - p0 < -0.05e0 AND NOT same) AS wrong_way, round(coalesce(avg(p1 - p0) FILTER (NOT same), 0), 9) AS mean_delta, count(*) FILTER (p1 >= 0.5e0 AND p0 < 0.5e0) AS now_spam FROM pairs WHERE edit = 'call to action'",
+    "directional": f"WITH {_PAIRED} SELECT 'appeal' AS edit, count(*) AS n, count(*) FILTER (same) AS unchanged, count(*) FILTER (p1 - p0 < -0.05e0 AND NOT same) AS wrong_way, round(coalesce(avg(p1 - p0) FILTER (NOT same), 0), 9) AS mean_delta, count(*) FILTER (p1 >= 0.5e0 AND p0 < 0.5e0) AS now_spam FROM pairs WHERE edit = 'appeal'",
     "run_agreement": f"WITH {_SECOND}, {_AGREE} SELECT round(agreement, 9) AS agreement, changed, round(mean_abs_dp, 9) AS mean_abs_dp, round(max_abs_dp, 9) AS max_abs_dp FROM agree",
     "challenge_changes": f"WITH {_WRONGS} SELECT case_id, change FROM changes",
     "tags_diff": f"WITH {CASES} SELECT coalesce(a.tag, b.tag) AS tag, coalesce(a.correct, 0) AS correct_a, coalesce(a.n, 0) AS n_a, coalesce(b.correct, 0) AS correct_b, coalesce(b.n, 0) AS n_b FROM {_tags(_cases_scored())} a FULL JOIN {_tags('(SELECT * FROM ' + _cases_scored(chr(39) + 'b' + chr(39)) + ' WHERE NOT list_contains(tags, ' + chr(39) + 'short' + chr(39) + '))')} b ON a.tag = b.tag",

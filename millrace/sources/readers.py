@@ -45,22 +45,28 @@ def current_checks(checks: DataFrame, saved: DataFrame, now: DataFrame) -> DataF
 
 
 def _header(block: Column, name: str) -> Column:
-    """The value of a header line; only the first colon parts it from its name."""
-    return F.trim(F.regexp_extract(block, rf"(?m)^{name}:(.*)$", 1))
+    """The value of the last such header line, null without one; only the first colon parts it from its name."""
+    values = F.regexp_extract_all(block, F.lit(rf"(?m)^[ \t]*{name}[ \t]*:(.*)$"), F.lit(1))
+    return text.squeeze(F.try_element_at(values, F.lit(-1)))
 
 
 def parse_cases(files: DataFrame) -> DataFrame:
     """(case_id, label, tags, subject, body) of whole files (value).
 
-    A line "=== id" opens a case; headers follow up to the first blank line, then the body.
-    Unknown labels and repeated ids raise.
+    A line "=== id" opens a case, and what stands before the first is a comment; headers follow up to
+    a line "---", then the body. A case without a label has a null one; without tags or a subject
+    they are empty. Unknown labels and repeated ids raise.
     """
-    blocks = files.select(F.explode(F.split("value", r"(?m)^=== ")).alias("block"), F.monotonically_increasing_id().alias("file"))
-    blocks = blocks.where(F.col("block").rlike(r"(?m)^label:"))
-    head = F.regexp_extract("block", r"(?s)^(.*?)(?:\n[ \t]*\n|\z)", 1)
-    body = F.regexp_replace("block", r"(?s)^.*?(?:\n[ \t]*\n|\z)", "")
-    parsed = blocks.select(F.trim(F.regexp_extract("block", r"^([^\n]*)", 1)).alias("case_id"), head.alias("head"), F.regexp_replace("block", "x^", "").alias("block"), body.alias("body"))
-    cases = parsed.select("case_id", text.label_code(_header(F.col("head"), "label")).alias("label"), text.tag_list(_header(F.col("head"), "tags")).alias("tags"), _header(F.col("head"), "subject").alias("subject"), text.clean_body(F.col("body")).alias("body"))
+    lines = F.replace("value", F.lit("\r\n"), F.lit("\n"))
+    blocks = files.select(F.posexplode(F.split(lines, r"(?m)^=== ")).alias("place", "block")).where("place > 0")
+    end = r"(?:\n[ \t]*---[ \t]*(?:\n|\z)|\z)"
+    head, body = F.regexp_extract("block", rf"(?s)^(.*?){end}", 1), F.regexp_replace("block", rf"(?s)^.*?{end}", "")
+    parsed = blocks.select(text.squeeze(F.regexp_extract("block", r"^([^\n]*)", 1)).alias("case_id"), F.regexp_replace(head, r"^[^\n]*", "").alias("head"), body.alias("body"))
+    label = _header(F.col("head"), "label")
+    cases = parsed.select(
+        "case_id", F.when(label.isNotNull(), text.label_code(label)).alias("label"), F.coalesce(text.tag_list(_header(F.col("head"), "tags")), F.array().cast("array<string>")).alias("tags"),
+        F.coalesce(_header(F.col("head"), "subject"), F.lit("")).alias("subject"), text.clean_body(F.col("body")).alias("body"),
+    )
     again = cases.groupBy("case_id").agg(F.count("*").alias("n"))
     fine = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated case id "), F.col("case_id"))).cast("boolean")).otherwise(F.lit(True))
     return cases.join(again.where(fine), "case_id").drop("n")
@@ -69,7 +75,7 @@ def parse_cases(files: DataFrame) -> DataFrame:
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """(prompt): lines that are neither blank nor comments; a written \\n is a line break."""
     lines = spark.read.text(path)
-    return lines.where((F.trim("value") != "") & ~F.startswith("value", F.lit("#"))).select(F.replace("value", F.lit("\\n"), F.lit("\n")).alias("prompt"))
+    return lines.where((text.squeeze(F.col("value")) != "") & ~F.startswith("value", F.lit("#"))).select(F.replace("value", F.lit("\\n"), F.lit("\n")).alias("prompt"))
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:

@@ -16,15 +16,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own.get(spark.sparkContext.applicationId)
+        if not root:
+            root = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="millrace-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return root.rstrip("/")
 
 

@@ -83,11 +83,11 @@ TEXTS = ["the quick brown fox jumps over the lazy dog again today", "something e
 def test_similar_pairs_match_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
     sets = dedup.shingle_sets(df, "id", "text", 3)
-    got = {(r.i, r.j, r.shared, r.total) for r in dedup.similar_pairs(sets, None, (7, 10)).collect()}
+    got = {(r.i, r.j, r.shared, r.total) for r in dedup.similar_pairs(sets, (7, 10)).collect()}
     own = {r.id: set(r.set) for r in sets.collect()}
     want = {(i, j, len(own[i] & own[j]), len(own[i] | own[j])) for i in own for j in own if i < j and len(own[i] & own[j]) * 10 >= 7 * len(own[i] | own[j])}
     assert got == want
-    groups = {r.id: r.group_id for r in dedup.greedy_groups(df, dedup.similar_pairs(sets, None, (7, 10))).collect()}
+    groups = {r.id: r.group_id for r in dedup.greedy_groups(df, dedup.similar_pairs(sets, (7, 10))).collect()}
     assert groups == {0: 0, 1: 1, 2: 0, 3: 0}
 
 
@@ -185,14 +185,14 @@ def test_behaviour(spark):
     cases = spark.createDataFrame([("a", 0, ["x"], "", "Alice met Bob"), ("b", 1, ["x", "y"], "Hi", "no names")], "case_id string, label int, tags array<string>, subject string, body string")
     edited = behaviour.perturb(cases)
     names = {(r.edit, r.case_id) for r in edited.collect()}
-    assert ("swap names", "a") in names and ("swap names", "b") not in names
-    assert ("friendly opener", "a") not in names and ("call to action", "b") not in names
+    assert ("other names", "a") in names and ("other names", "b") not in names
+    assert ("warm start", "a") not in names and ("appeal", "b") not in names
     pairs = behaviour.paired(edited, lambda x: F.when(x.contains("prize"), 0.9).otherwise(0.2))
     same = {r.edit for r in pairs.where("same").collect()}
-    assert same == {"upper case", "wide spacing"}
+    assert same == {"capitals", "small letters", "double spacing"}
     up = behaviour.directional(pairs, 0.5).first()
     assert (up.n, up.wrong_way, up.now_spam) == (1, 0, 1)
-    assert {r.edit: r.flips for r in behaviour.invariance(pairs, 0.5).collect()}["signature"] == 0
+    assert {r.edit: r.flips for r in behaviour.invariance(pairs, 0.5).collect()}["closing lines"] == 0
     tags = {r.tag: r.labels for r in behaviour.by_tag(cases.withColumn("prob", F.lit(0.9)), 0.5).collect()}
     assert tags == {"x": "legit/spam", "y": "spam"}
 
@@ -225,10 +225,11 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "m.csv").write_text('text,spam\n"Subject: Hello  there",0\n"Subject:",1\n"two\nlines",1\n')
     got = {r.text for r in readers.read_messages(spark, str(tmp_path / "m.csv")).collect()}
     assert got == {"Subject: hello there", "Subject: two lines"}
-    (tmp_path / "c.txt").write_text("# head\n=== one\nlabel: spam\ntags: a, b\nsubject: Re: x\n\nFirst line\n\nsecond\n=== two\nlabel: legitimate\ntags:\nsubject:\n\nbody\n")
+    (tmp_path / "c.txt").write_text("# head\n=== one\nlabel: spam\ntags: a, b\nsubject: Re: x\n---\nFirst line\n\nsecond: not a header\n=== two\nlabel: legitimate\ntags:\nsubject:\n---\nbody\n=== three\ntags : c\n\n")
     cases = {r.case_id: r for r in readers.parse_cases(readers.read_whole(spark, str(tmp_path / "c.txt"))).collect()}
-    assert cases["one"].subject == "Re: x" and cases["one"].body == "First line\n\nsecond" and cases["one"].tags == ["a", "b"]
+    assert cases["one"].subject == "Re: x" and cases["one"].body == "First line\n\nsecond: not a header" and cases["one"].tags == ["a", "b"]
     assert cases["two"].label == 0 and cases["two"].tags == []
+    assert (cases["three"].label, cases["three"].tags, cases["three"].subject, cases["three"].body) == (None, ["c"], "", "") and len(cases) == 3
     (tmp_path / "p.txt").write_text("# no\n\nOne\\nline\nTwo\n")
     assert [r.prompt for r in readers.read_prompts(spark, str(tmp_path / "p.txt")).collect()] == ["One\nline", "Two"]
     df = spark.createDataFrame([("a", 0, [1], 1, 0), ("b", 0, [2], 1, 1)], readers.SPLIT)
