@@ -68,6 +68,12 @@ def encoded_table(df: DataFrame, key: str, column: str, vocabulary: DataFrame, b
     return coded.select(key, tokens.alias("tokens"), F.size(tokens).alias("length"), (F.col("n_words") >= block).alias("truncated"))
 
 
+def fits_block(df: DataFrame, tokens: str, block: int) -> DataFrame:
+    """df, which raises when it is read if a row has more than `block` tokens."""
+    fine = F.assert_true(F.coalesce(F.size(tokens), F.lit(0)) <= block, F.lit(f"a row has more than {block} tokens"))
+    return df.where(fine.isNull())
+
+
 def stratified_split(df: DataFrame, key: str, label: str, val: float = 0.1, test: float = 0.1, seed: int = 1337) -> DataFrame:
     """df with its split: test, then val, then train, each with every label's share."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets of positions inside a window, as [from, to).
+# Buckets of positions inside a window, as [from, to).
 BUCKETS = [(0, 1), (1, 4), (4, 16), (16, 64), (64, 128), (128, 256)]
 
 
@@ -49,6 +49,26 @@ def bigram_counts(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, pairs.groupBy("a").agg(F.sum("c").alias("ca"))
 
 
+def distinct_pairs(pairs: DataFrame, *by: Column) -> DataFrame:
+    """(by, a, b, n): how often each pair occurs. A likelihood is looked up once for each, however common it is."""
+    return pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
+
+
+def random_windows(stream: DataFrame, first: int, last: int, block: int, count: int, seed: int = 0) -> DataFrame:
+    """(draw, at, a, b) of `count` windows that begin anywhere in [first, last - block), drawn by hash with replacement.
+
+    Starts are a small table, each joined to the positions it covers; no block, no window.
+    """
+    room = last - first - block - 1
+    if room < 1:
+        raise ValueError(f"a block of {block} doesn't fit into {last - first} tokens")
+    spark = stream.sparkSession
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    starts = spark.range(count).select(F.col("id").alias("draw"), (F.lit(first) + F.pmod(digest, F.lit(room))).alias("start"))
+    places = starts.select("draw", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("at")).select("draw", "at", (F.col("start") + F.col("at")).alias("pos"))
+    return with_next(stream).join(places, "pos").select("draw", "at", "a", "b")
+
+
 def pair_probabilities(pairs: DataFrame, unigram: DataFrame, counts: tuple[DataFrame, DataFrame]) -> DataFrame:
     """pairs (a, b, ...) with p_uni and p_bi; a context never counted gives p_bi 0."""
     ab, a = counts
@@ -61,17 +81,23 @@ def mixture_nll(share: Column | float) -> Column:
     return -F.log(lam * F.col("p_bi") + (1 - lam) * F.col("p_uni"))
 
 
+def weighted(value: Column | str) -> Column:
+    """The mean over rows that each stand for n."""
+    x = F.col(value) if isinstance(value, str) else value
+    return F.sum(x * F.col("n")) / F.sum("n")
+
+
 def tune_share(scored: DataFrame) -> DataFrame:
-    """(lam, loss) of the best of 0.05 ... 0.95 on scored pairs, the smallest among equals."""
+    """(lam, loss) of the best of 0.05 ... 0.95 on scored pairs (..., n), the smallest among equals."""
     names = [f"l{k}" for k in range(1, 20)]
-    losses = scored.agg(*(F.avg(mixture_nll(k / 20)).alias(n) for k, n in enumerate(names, 1)))
+    losses = scored.agg(*(weighted(mixture_nll(k / 20)).alias(n) for k, n in enumerate(names, 1)))
     best = F.array_min(F.array(*(F.struct(F.col(n).alias("loss"), F.lit(k).alias("k")) for k, n in enumerate(names, 1))))
     return losses.select(best.alias("b")).select((F.col("b.k") / 20).alias("lam"), F.col("b.loss").alias("loss"))
 
 
 def lm_table(scored: DataFrame, value: str, n_bytes: Column) -> DataFrame:
-    """loss, perplexity and bits per byte of negative log likelihoods."""
-    sums = scored.agg(F.avg(value).alias("loss"), F.sum(value).alias("total"), n_bytes.alias("n_bytes"))
+    """loss, perplexity and bits per byte of negative log likelihoods (value, n)."""
+    sums = scored.agg(weighted(value).alias("loss"), F.sum(F.col(value) * F.col("n")).alias("total"), n_bytes.alias("n_bytes"))
     return sums.select("loss", F.exp("loss").alias("perplexity"), (F.col("total") / F.log(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
@@ -84,4 +110,5 @@ def bucket_name(at: Column) -> Column:
 
 
 def loss_by_position(scored: DataFrame, value: str) -> DataFrame:
-    return scored.groupBy(bucket_name(F.col("at")).alias("bucket")).agg(F.avg(value).alias("loss"), F.count("*").alias("n"))
+    """(bucket, loss, n) of rows (bucket, value, n)."""
+    return scored.groupBy("bucket").agg(weighted(value).alias("loss"), F.sum("n").alias("n"))

@@ -50,6 +50,28 @@ def metric_deltas(a: DataFrame, b: DataFrame, ci: DataFrame) -> DataFrame:
     return both.select("metric", "value_a", "value_b", (F.col("value_b") - F.col("value_a")).alias("delta"), outside.alias("outside"))
 
 
+def error_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(error, n_a, n_b, delta) of false positives and negatives of two runs' confusion counts, a row each."""
+    long = lambda df, name: df.unpivot([], ["fp", "fn"], "error", name)
+    return long(a.select("fp", "fn"), "n_a").join(long(b.select("fp", "fn"), "n_b"), "error").select("error", "n_a", "n_b", (F.col("n_b") - F.col("n_a")).alias("delta"))
+
+
+def speed_and_lm(speed_a: DataFrame, speed_b: DataFrame, lm_a: DataFrame, lm_b: DataFrame) -> DataFrame:
+    """(part, metric, value_a, value_b, change) of rows (metric, value): ratios of speeds, differences of language-model figures."""
+    both = lambda x, y, part: x.toDF("metric", "value_a").join(y.toDF("metric", "value_b"), "metric").select(F.lit(part).alias("part"), "metric", "value_a", "value_b")
+    speed = both(speed_a, speed_b, "speed").withColumn("change", F.try_divide("value_b", "value_a"))
+    return speed.union(both(lm_a, lm_b, "lm").withColumn("change", F.col("value_b") - F.col("value_a")))
+
+
+def assemble(**sections: DataFrame) -> DataFrame:
+    """(document): one JSON document of sections, each a table of one row; a section without a row is left out."""
+    packed = [df.agg(F.first(F.struct("*")).alias(name)) for name, df in sections.items()]
+    whole = packed[0]
+    for p in packed[1:]:
+        whole = whole.crossJoin(F.broadcast(p))  # rows of one row each
+    return whole.select(F.to_json(F.struct("*")).alias("document"))
+
+
 def gate(facts: DataFrame) -> DataFrame:
     """(check, passed) of five conditions on one row of facts; a null says that a check can't run.
 

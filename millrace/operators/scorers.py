@@ -10,13 +10,15 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, text
-from millrace.operators import metrics
+from millrace.operators import encode, metrics
+from millrace.storage import written
 
 
 class Scorer(Protocol):
@@ -45,31 +47,41 @@ def terms(column: str, longest: int = 2):
     return F.concat(ws, pairs) if longest > 1 else ws
 
 
+@F.udf(VectorUDT())
+def _sparse(size: int, slots: list, values: list):
+    return Vectors.sparse(size, slots or [], values or [])
+
+
 class TfIdfBaseline:
-    """Sublinear term frequency, smoothed idf, unit rows, class-balanced logistic regression."""
+    """Sublinear term frequency, smoothed idf, unit rows, class-balanced logistic regression.
 
-    def __init__(self, features: int = 1 << 14, least: int = 2):
-        self.features, self.least = features, least
+    Terms are numbered, not hashed, so none share a column; rows are sparse, so one takes as much room
+    as it has terms. Only the model's weights are as long as the vocabulary.
+    """
+
+    def __init__(self, least: int = 2):
+        self.least = least
 
     def _counts(self, df: DataFrame) -> DataFrame:
-        """(idx, term, tf); terms are hashed into `features` columns."""
+        """(idx, term, tf)."""
         each = df.select("idx", F.explode(terms("text")).alias("term")).groupBy("idx", "term").agg(F.count("*").alias("n"))
         return each.select("idx", "term", (1 + F.log("n")).alias("tf"))
 
     def _vectors(self, df: DataFrame) -> DataFrame:
         weighted = self._counts(df).join(self.idf, "term").select("idx", "slot", (F.col("tf") * F.col("idf")).alias("x"))
-        slots = weighted.groupBy("idx", "slot").agg(F.sum("x").alias("x"))
-        norm = slots.groupBy("idx").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("cells"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(self.features - 1)), lambda i: F.coalesce(F.try_element_at("cells", i) / F.col("norm"), F.lit(0.0)))
-        zero = F.array_repeat(F.lit(0.0), self.features)
-        return df.join(norm, "idx", "left").withColumn("features", array_to_vector(F.when(F.col("cells").isNull(), zero).otherwise(dense))).drop("norm", "cells")
+        cells = F.sort_array(F.collect_list(F.struct("slot", "x")))
+        rows = weighted.groupBy("idx").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), cells.alias("cells"))
+        rows = rows.select("idx", F.col("cells.slot").alias("slots"), F.transform("cells.x", lambda x: x / F.col("norm")).alias("values"))
+        joined = df.join(rows, "idx", "left")
+        return joined.withColumn("features", _sparse(F.lit(self.size), "slots", "values")).drop("slots", "values")
 
     def fit(self, train: DataFrame, val: DataFrame) -> TfIdfBaseline:
         """train, val: (idx, text, label)."""
         n = train.count()
-        idf = self._counts(train).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= self.least)
-        slot = F.pmod(F.xxhash64("term"), F.lit(self.features)).cast("int")
-        self.idf = idf.select("term", slot.alias("slot"), (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).persist()
+        found = self._counts(train).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= self.least)
+        numbered = encode.ranked(found, "slot", F.col("term").asc())
+        self.idf = written(numbered.select("term", F.col("slot").cast("int").alias("slot"), (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+        self.size = max(1, self.idf.count())
         weights = metrics.class_weights(train).select("label", "weight")
         self.model = LogisticRegression(weightCol="weight", maxIter=50, regParam=1e-3).fit(self._vectors(train).join(F.broadcast(weights), "label"))  # a row for each label
         self.threshold = metrics.choose_threshold(self(val)).first()["threshold"]
@@ -79,6 +91,25 @@ class TfIdfBaseline:
         out = self.model.transform(self._vectors(df))
         return out.withColumn("prob", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
+    def save(self, path: str) -> None:
+        """A checkpoint: the model, the term table, and the threshold in a row of its own."""
+        self.model.write().overwrite().save(f"{path}/model")
+        self.idf.write.mode("overwrite").parquet(f"{path}/idf")
+        self.set_threshold(path, self.threshold)
+
+    def set_threshold(self, path: str, threshold: float) -> None:
+        """Replaces the threshold of a checkpoint; the rest stays as it is."""
+        self.threshold = threshold
+        self.idf.sparkSession.createDataFrame([(self.least, self.size, float(threshold))], "least int, size int, threshold double").write.mode("overwrite").parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TfIdfBaseline:
+        about = spark.read.parquet(f"{path}/about").first()
+        out = cls(about["least"])
+        out.size, out.threshold = about["size"], about["threshold"]
+        out.idf, out.model = spark.read.parquet(f"{path}/idf"), LogisticRegressionModel.load(f"{path}/model")
+        return out
+
 
 def classify(df: DataFrame, scorer: Scorer, threshold: float, block: int = 256) -> DataFrame:
     """(label, prob, truncated) of messages (subject, body)."""

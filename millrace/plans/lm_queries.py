@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators import encode, lm
 from millrace.plans.inputs import VOCABULARY, read, sql_words, vocabulary
-from millrace.storage import written
+from millrace.sources import readers, sinks
+from millrace.storage import scratch_path, written
 
 BLOCK = 256
 
@@ -30,11 +31,16 @@ def _models(spark, d):
     ids = words.select("id").union(spark.range(end, end + 1))
     unigram = lm.unigram_counts(counted, ids)
     counts = lm.bigram_counts(counted)
-    tuned = lm.tune_share(lm.pair_probabilities(lm.with_next(tune), unigram, counts))
+    tuned = lm.tune_share(lm.pair_probabilities(lm.distinct_pairs(lm.with_next(tune)), unigram, counts))
+
+    def scored(windows):
+        """(bucket, b, uniform, unigram, bigram, n) of windows, one row for each distinct pair and bucket of positions."""
+        pairs = lm.distinct_pairs(windows, lm.bucket_name(F.col("at")).alias("bucket"))
+        rows = lm.pair_probabilities(pairs, unigram, counts).crossJoin(F.broadcast(tuned.select("lam")))
+        return rows.select("bucket", "b", F.log(F.lit(float(end + 1))).alias("uniform"), (-F.log("p_uni")).alias("unigram"), lm.mixture_nll(F.col("lam")).alias("bigram"), "n")
+
     windows = lm.lm_windows(val, cut, (n - cut - 1) // BLOCK, BLOCK)
-    scored = lm.pair_probabilities(windows, unigram, counts).crossJoin(F.broadcast(tuned.select("lam")))
-    scored = scored.select("window", "at", "b", F.log(F.lit(float(end + 1))).alias("uniform"), (-F.log("p_uni")).alias("unigram"), lm.mixture_nll(F.col("lam")).alias("bigram"))
-    return {"stream": stream, "words": words, "counted": counted, "unigram": unigram, "counts": counts, "tuned": tuned, "scored": scored, "n": n, "end": end}
+    return {"stream": stream, "words": words, "counted": counted, "unigram": unigram, "counts": counts, "tuned": tuned, "score": scored, "scored": scored(windows), "n": n, "end": end}
 
 
 def token_stream(spark, d):
@@ -77,14 +83,14 @@ def bigram_lambda(spark, d):
 
 def ngram_baselines(spark, d):
     scored = _models(spark, d)["scored"]
-    return scored.agg(*(F.avg(c).alias(c) for c in ("uniform", "unigram", "bigram"))).unpivot([], ["uniform", "unigram", "bigram"], "model", "loss").select("model", F.round("loss", 8).alias("loss"))
+    return scored.agg(*(lm.weighted(c).alias(c) for c in ("uniform", "unigram", "bigram"))).unpivot([], ["uniform", "unigram", "bigram"], "model", "loss").select("model", F.round("loss", 8).alias("loss"))
 
 
 def lm_table(spark, d):
     m = _models(spark, d)
     sized = m["words"].select(F.col("id").alias("b"), F.octet_length("token").alias("bytes"))
     scored = m["scored"].join(sized, "b", "left")
-    out = lm.lm_table(scored, "bigram", F.sum(F.coalesce("bytes", F.lit(0))))
+    out = lm.lm_table(scored, "bigram", F.sum(F.coalesce("bytes", F.lit(0)) * F.col("n")))
     return out.select(F.round("loss", 8).alias("loss"), F.round("perplexity", 4).alias("perplexity"), F.round("bits_per_byte", 8).alias("bits_per_byte"))
 
 
@@ -93,7 +99,34 @@ def loss_by_position(spark, d):
     return out.select("bucket", F.round("loss", 8).alias("loss"), "n")
 
 
-QUERIES = {f.__name__: f for f in (token_stream, stream_split, lm_windows, sample_tokens, unigram_lm, bigram_lm, bigram_lambda, ngram_baselines, lm_table, loss_by_position)}
+DRAWS = 20
+
+
+def random_batches(spark, d):
+    """Inputs and targets of windows drawn at random from the training part."""
+    stream, _, _, n = _stream(spark, d)
+    windows = lm.random_windows(stream, 0, int(0.9 * n), BLOCK, DRAWS)
+    return windows.groupBy("draw").agg(F.count("*").alias("n"), F.sum("a").cast("bigint").alias("inputs"), F.sum("b").cast("bigint").alias("targets"))
+
+
+def loss_estimate(spark, d):
+    """Mean loss of the bigram model over windows drawn at random from either part."""
+    m = _models(spark, d)
+    cut = int(0.9 * m["n"])
+    parts = {"train": (0, cut), "val": (cut, m["n"])}
+    each = [m["score"](lm.random_windows(m["stream"], lo, hi, BLOCK, DRAWS)).agg(F.lit(k).alias("part"), F.round(lm.weighted("bigram"), 8).alias("loss")) for k, (lo, hi) in parts.items()]
+    return each[0].union(each[1])
+
+
+def token_cache(spark, d):
+    """The stream as a table that appears whole or not at all, read back by a range of positions."""
+    stream, _, _, n = _stream(spark, d)
+    path = scratch_path(spark, "token-cache")
+    sinks.write_tokens(stream, path)
+    return readers.read_tokens(spark, path, n // 4, n // 2).agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.sum("token").cast("bigint").alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (random_batches, loss_estimate, token_cache, token_stream, stream_split, lm_windows, sample_tokens, unigram_lm, bigram_lm, bigram_lambda, ngram_baselines, lm_table, loss_by_position)}
 
 _STREAM = f"""{VOCABULARY}, worded AS (SELECT doc_id, {sql_words("text")} AS w FROM documents),
   starts AS (SELECT doc_id, len(w) AS n, coalesce(sum(len(w) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM worded),
@@ -108,7 +141,11 @@ _MODELS = f"""{_STREAM}, ids AS (SELECT id FROM vocabulary UNION ALL SELECT coun
   grid AS (SELECT k / 20e0 AS lam FROM range(1, 20) t(k)), tuned AS (SELECT lam, avg(-ln(lam * p_bi + (1 - lam) * p_uni)) AS loss FROM probs, size, grid WHERE pos >= low AND pos + 1 < cut GROUP BY lam ORDER BY loss, lam LIMIT 1),
   scored AS (SELECT (pos - cut) // 256 AS w, (pos - cut) % 256 AS place, b, ln((SELECT count(*) FROM ids)::DOUBLE) AS uniform, -ln(p_uni) AS unigram, -ln(lam * p_bi + (1 - lam) * p_uni) AS bigram
     FROM probs, size, tuned WHERE pos >= cut AND pos < cut + (n - cut - 1) // 256 * 256)"""
+_DRAW = lambda lo, hi: f"(SELECT draw, {lo} + CAST('0x' || substr(md5('0:' || draw::VARCHAR), 1, 8) AS BIGINT) % ({hi} - {lo} - {BLOCK} - 1) AS start FROM range({DRAWS}) r(draw), size)"
 ORACLES = {
+    "random_batches": f"WITH {_STREAM}, follow AS (SELECT a.pos, a.token AS a, b.token AS b FROM stream a JOIN stream b ON b.pos = a.pos + 1) SELECT draw, count(*) AS n, sum(a)::BIGINT AS inputs, sum(b)::BIGINT AS targets FROM {_DRAW('0', 'cut')} JOIN follow ON pos >= start AND pos < start + {BLOCK} GROUP BY draw",
+    "loss_estimate": f"WITH {_MODELS}, nll AS (SELECT pos, -ln(lam * p_bi + (1 - lam) * p_uni) AS x FROM probs, tuned), draws AS (SELECT 'train' AS part, start FROM {_DRAW('0', 'cut')} UNION ALL SELECT 'val', start FROM {_DRAW('cut', 'n')}) SELECT part, round(avg(x), 8) AS loss FROM draws JOIN nll ON pos >= start AND pos < start + {BLOCK} GROUP BY part",
+    "token_cache": f"WITH {_STREAM} SELECT count(*) AS n, min(pos) AS first, sum(token)::BIGINT AS total FROM stream, size s WHERE pos >= s.n // 4 AND pos < s.n // 2",
     "token_stream": f"WITH {_STREAM} SELECT doc_id, min(pos) AS start, count(*) AS n, sum(token)::BIGINT AS total FROM stream GROUP BY doc_id",
     "stream_split": f"WITH {_STREAM} SELECT CASE WHEN pos < cut THEN 'train' ELSE 'val' END AS part, count(*) AS n, min(pos) AS first, sum(token)::BIGINT AS total FROM stream, size GROUP BY 1",
     "lm_windows": f"WITH {_STREAM} SELECT a.pos // 256 AS window, count(*) AS n, sum(a.token)::BIGINT AS inputs, sum(b.token)::BIGINT AS targets FROM stream a JOIN stream b ON b.pos = a.pos + 1, size WHERE a.pos < (n - 1) // 256 * 256 GROUP BY 1",

@@ -103,7 +103,9 @@ def flag_rates(spark, d):
 
 
 def edges_fine(spark, d):
-    return behaviour.edges_fine(_scored_cases(spark, d))
+    """The edge inputs beside the ordinary turns."""
+    edges = behaviour.edge_inputs(spark).select(uniform(text.format_message(F.col("subject"), F.col("body"))).alias("prob"))
+    return behaviour.edges_fine(edges.union(_scored_cases(spark, d).select("prob")))
 
 
 _EDITS = behaviour.EDITS
@@ -162,6 +164,36 @@ def metric_deltas(spark, d):
     return _rounded(runs.metric_deltas(a, b, a.select("metric", (F.col("value") - 0.001).alias("lo"), (F.col("value") + 0.001).alias("hi"))))
 
 
+def error_deltas(spark, d):
+    """False positives and negatives of two runs."""
+    return runs.error_deltas(metrics.binary_metrics(scored(spark, d), T), metrics.binary_metrics(_second(spark, d), T))
+
+
+_SPEED = {"single_ms": (2.5, 2.0), "per_second": (400.0, 520.0)}
+
+
+def speed_and_lm(spark, d):
+    """Speeds as ratios and language-model figures as differences; what either run lacks is left out."""
+    frame = lambda k: spark.createDataFrame([(n, v[k]) for n, v in _SPEED.items()], "metric string, value double")
+    lm_a, lm_b = metrics.brier(scored(spark, d)), metrics.brier(_second(spark, d))
+    return _rounded(runs.speed_and_lm(frame(0), frame(1), lm_a.select(F.lit("loss").alias("metric"), F.col("brier").alias("value")), lm_b.select(F.lit("loss").alias("metric"), F.col("brier").alias("value"))))
+
+
+def run_sections(spark, d):
+    """A run document put together from its sections."""
+    rows = scored(spark, d)
+    wrong = _wrong(rows).agg(F.sort_array(F.collect_list(F.col("case_id").cast("string"))).alias("wrong"))
+    m = metrics.binary_metrics(rows, T)
+    out = runs.assemble(classifier=m.select("threshold", runs.saved(F.col("accuracy")).alias("accuracy"), "tp", "fp"), challenge=wrong.select(F.size("wrong").alias("n_wrong")))
+    return out.select(F.get_json_object("document", "$.classifier.tp").cast("bigint").alias("tp"), F.get_json_object("document", "$.classifier.accuracy").cast("double").alias("accuracy"), F.get_json_object("document", "$.challenge.n_wrong").cast("bigint").alias("n_wrong"))
+
+
+def failing_gate(spark, d):
+    """The gate with a language model that got worse and a split of another fingerprint."""
+    worse = _facts(spark, d).withColumns({"same_split": F.lit("a") == F.lit("b"), "perplexity_a": F.lit(50.0), "perplexity_b": F.lit(50.0) * (1 + F.col("agreement") / 20)})
+    return runs.gate(worse)
+
+
 def _facts(spark, d):
     a, b = scored(spark, d), _second(spark, d)
     wrong_a, wrong_b = _wrong(a), _wrong(b)
@@ -192,7 +224,7 @@ def run_json(spark, d):
     return m.select(runs.run_document(accuracy=runs.saved(F.col("accuracy")), tp=F.col("tp"), fp=F.col("fp")).alias("document"))
 
 
-QUERIES = {f.__name__: f for f in (binary_metrics, brier, ece, roc_auc, pr_auc, recall_at_fpr, all_metrics, choose_threshold, wilson, mcnemar, bootstrap_ci, exposure_report, error_report, class_weights, confusion_by_source, by_tag, flag_rates, edges_fine, perturb, invariance, directional, run_agreement, challenge_changes, tags_diff, metric_deltas, gate, gate_verdict, run_spread, run_json)}
+QUERIES = {f.__name__: f for f in (binary_metrics, brier, ece, roc_auc, pr_auc, recall_at_fpr, all_metrics, choose_threshold, wilson, mcnemar, bootstrap_ci, exposure_report, error_report, class_weights, confusion_by_source, by_tag, flag_rates, edges_fine, perturb, invariance, directional, run_agreement, challenge_changes, tags_diff, metric_deltas, error_deltas, speed_and_lm, run_sections, failing_gate, gate, gate_verdict, run_spread, run_json)}
 
 _COUNTS = "count(*) FILTER (prob >= {t} AND label = 1) AS tp, count(*) FILTER (prob >= {t} AND label = 0) AS fp, count(*) FILTER (prob < {t} AND label = 1) AS fn, count(*) FILTER (prob < {t} AND label = 0) AS tn"
 _C = _COUNTS.format(t="0.5e0")
@@ -298,6 +330,10 @@ ORACLES = {
     "challenge_changes": f"WITH {_WRONGS} SELECT case_id, change FROM changes",
     "tags_diff": f"WITH {CASES} SELECT coalesce(a.tag, b.tag) AS tag, coalesce(a.correct, 0) AS correct_a, coalesce(a.n, 0) AS n_a, coalesce(b.correct, 0) AS correct_b, coalesce(b.n, 0) AS n_b FROM {_tags(_cases_scored())} a FULL JOIN {_tags('(SELECT * FROM ' + _cases_scored(chr(39) + 'b' + chr(39)) + ' WHERE NOT list_contains(tags, ' + chr(39) + 'short' + chr(39) + '))')} b ON a.tag = b.tag",
     "metric_deltas": f"WITH {_SECOND}, a AS {_longer('scored')}, b AS {_longer('second')} SELECT metric, round(a.value, 9) AS value_a, round(b.value, 9) AS value_b, round(b.value - a.value, 9) AS delta, b.value < a.value - 0.001e0 OR b.value > a.value + 0.001e0 AS outside FROM a JOIN b USING (metric)",
+    "error_deltas": f"WITH {_SECOND}, a AS (SELECT {_C} FROM scored), b AS (SELECT {_C} FROM second) SELECT 'fp' AS error, a.fp AS n_a, b.fp AS n_b, b.fp - a.fp AS delta FROM a, b UNION ALL SELECT 'fn', a.fn, b.fn, b.fn - a.fn FROM a, b",
+    "speed_and_lm": f"WITH {_SECOND}, a AS (SELECT avg((prob - label) * (prob - label)) AS x FROM scored), b AS (SELECT avg((prob - label) * (prob - label)) AS y FROM second) SELECT 'speed' AS part, metric, p AS value_a, q AS value_b, round(q / p, 9) AS change FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {v[0]}e0, {v[1]}e0)' for n, v in _SPEED.items())}) s(metric, p, q) UNION ALL SELECT 'lm', 'loss', round(x, 9), round(y, 9), round(y - x, 9) FROM a, b",
+    "run_sections": f"WITH {SCORED} SELECT tp, round_even(accuracy, 6) AS accuracy, fp + fn AS n_wrong FROM {_derived(f'(SELECT {_C} FROM scored)')}",
+    "failing_gate": f"""WITH {_GATE} SELECT "check", CASE "check" WHEN 'predictions agree' THEN false WHEN 'perplexity' THEN (SELECT agreement / 20 <= 0.02e0 FROM facts) ELSE passed END AS passed FROM checks""",
     "gate": f'WITH {_GATE} SELECT "check", passed FROM checks',
     "gate_verdict": f"WITH {_GATE} SELECT coalesce(bool_and(passed), true) AS passed, count(*) FILTER (passed IS NULL) AS skipped FROM checks",
     "run_spread": f"WITH {SCORED}, {_B}, third AS (SELECT doc_id AS idx, {sql_score(chr(39) + 'c' + chr(39) + ' || doc_id::VARCHAR', 'toxic')} AS prob, toxic::INTEGER AS label FROM labels), every AS (SELECT * FROM {_longer('scored')} UNION ALL SELECT * FROM {_longer('other')} UNION ALL SELECT * FROM {_longer('third')}) SELECT metric, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std FROM every GROUP BY metric",

@@ -39,6 +39,12 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.schema(SPLIT).parquet(path).where(F.col("split") == split)
 
 
+def read_tokens(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """(pos, token) of a token cache from start up to stop; the range is pushed down to its files."""
+    df = spark.read.schema("pos bigint, token int").parquet(path).where(F.col("pos") >= start)
+    return df if stop is None else df.where(F.col("pos") < stop)
+
+
 def current_checks(checks: DataFrame, saved: DataFrame, now: DataFrame) -> DataFrame:
     """checks (split, ...) whose saved fingerprint (split, fingerprint) is still that of the split; stale ones go."""
     return checks.join(saved.join(now, ["split", "fingerprint"], "left_semi").select("split"), "split", "left_semi")
@@ -88,10 +94,12 @@ def file_info(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def one_message(spark: SparkSession, subject: str = "", body: str | None = None, path: str | None = None) -> DataFrame:
-    """(subject, body) of a single message, from an argument or else from a file."""
+def one_message(spark: SparkSession, subject: str = "", body: str | None = None, path: str | None = None, stdin=None) -> DataFrame:
+    """(subject, body) of a single message, from an argument, else from a file, else from an open stream such as sys.stdin."""
+    if body is None and path is None and stdin is not None:
+        body = stdin.read()
     if body is not None:
         return spark.createDataFrame([(subject, body)], "subject string, body string")
     if path is None:
-        raise ValueError("a body or a path is needed")
+        raise ValueError("a body, a path or a stream is needed")
     return read_whole(spark, path).select(F.lit(subject).alias("subject"), F.col("value").alias("body"))

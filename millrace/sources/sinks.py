@@ -15,6 +15,11 @@ def write_checks(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def write_tokens(stream: DataFrame, path: str) -> None:
+    """A token stream (pos, token) as a cache in ranges of positions; readers see all of it or none."""
+    stream.select(F.col("pos").cast("bigint").alias("pos"), F.col("token").cast("int").alias("token")).repartitionByRange("pos").sortWithinPartitions("pos").write.mode("overwrite").parquet(path)
+
+
 def write_run(document: DataFrame, path: str) -> None:
     """One row (document string) as a JSON file."""
     document.coalesce(1).write.mode("overwrite").text(path)

@@ -201,10 +201,10 @@ def test_bigram_model_learns_a_cycle(spark):
     stream = spark.range(2000).select(F.col("id").alias("pos"), (F.col("id") % 4).cast("int").alias("token"))
     vocab = spark.range(10)
     uni, counts = lm.unigram_counts(stream, vocab), lm.bigram_counts(stream)
-    scored_pairs = lm.pair_probabilities(lm.with_next(stream), uni, counts)
+    scored_pairs = lm.pair_probabilities(lm.distinct_pairs(lm.with_next(stream)), uni, counts)
     best = lm.tune_share(scored_pairs).first()
     assert best.lam == 0.95 and best.loss < 0.1
-    assert math.isclose(scored_pairs.select(F.avg(-F.log("p_uni"))).first()[0], math.log(4), abs_tol=0.01)
+    assert math.isclose(scored_pairs.agg(lm.weighted(-F.log("p_uni"))).first()[0], math.log(4), abs_tol=0.01)
     w = lm.lm_windows(stream, 0, 2, 5).where("window = 1").orderBy("at").collect()
     assert [(r.a, r.b) for r in w] == [(i % 4, (i + 1) % 4) for i in range(5, 10)]
 
@@ -250,12 +250,16 @@ def test_streaming_dedup(spark, tmp_path):
     assert sorted(r.body for r in spark.table("seen").collect()) == ["x", "y"]
 
 
-def test_scorers(spark):
+def test_scorers(spark, tmp_path):
     rows = [(i, ("buy cheap pills now" if i % 3 == 0 else "meeting notes for monday") + f" item{i % 5}", int(i % 3 == 0)) for i in range(60)]
     df = spark.createDataFrame(rows, "idx long, text string, label int")
-    model = scorers.TfIdfBaseline(features=256).fit(df, df)
+    model = scorers.TfIdfBaseline().fit(df, df)
     out = model(df)
     assert out.where((F.col("prob") >= model.threshold) != (F.col("label") == 1)).count() == 0
     assert scorers.classify(spark.createDataFrame([("", "buy cheap pills")], "subject string, body string"), model, 0.0).first().label == "spam"
+    model.save(str(tmp_path / "model"))
+    model.set_threshold(str(tmp_path / "model"), 0.4)
+    again = scorers.TfIdfBaseline.load(spark, str(tmp_path / "model"))
+    assert again.threshold == 0.4 and sorted(again(df).select("idx", "prob").collect()) == sorted(out.select("idx", "prob").collect())
     batch = scorers.batch_scorer(lambda: lambda tokens: [len(t) / 10 for t in tokens])
     assert batch(spark.createDataFrame([([1, 2],)], "tokens array<int>")).first().prob == 0.2
