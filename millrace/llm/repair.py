@@ -1,13 +1,19 @@
 """Re-Pair grammars over token ids: one blob for each shard of documents.
 
-Round by round the frequent adjacent pairs of the shard become nonterminals, until none is left
-that occurs LEAST times without overlap. A pair never
+Round by round the most frequent adjacent pairs of the shard become nonterminals, twice as many
+in each round, until no pair is left that occurs LEAST times without overlap. A pair never
 reaches over the end of a document, so each document is a run of symbols of its own, and
 the stored expansion length of each rule finds any id of it without expanding the rest.
 
-Layout (little endian): header; round bounds u4[rounds + 1]; rules u4[n, 2]; expansion
+Counts are kept up round by round: a pair of symbols never occurs more often than in the round before
+unless one of them is new. So a round looks only at places where the pair might have repeated before
+and at those beside a merged pair; there pairs are counted in hashed slots first, and sorted only
+where the slot is full enough.
+
+Layout (little endian): header; round bounds u4[rounds + 1]; rules, two symbols each; expansion
 lengths u4[n]; document ids i8 and their validity bits; first symbol and first id of each
-document i8[docs + 1] each; low 16 bits of the symbols u2; one bit plane for each further bit.
+document i8[docs + 1] each; symbols. Symbols are stored as their low 16 bits, u2, and then one bit
+plane for each further bit.
 """
 
 from __future__ import annotations
@@ -20,9 +26,9 @@ import numpy as np
 from millrace.llm.text_batches import ragged
 
 HEADER = struct.Struct("<4sHHIIIQQ")
-MAGIC = b"RPG1"
-PAIRS, LEAST = 8192, 4
-_MIX, _BITS = np.uint64(0x9E3779B97F4A7C15), 20
+MAGIC = b"RPG2"
+#: Pairs that become rules in the first round; how often a pair must occur to become one.
+PAIRS, LEAST = 4096, 2
 
 
 @dataclass
@@ -38,58 +44,74 @@ class Grammar:
     symbols: np.ndarray
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - _BITS)).astype(np.int64)
-
-
-def _round(seq: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, what was kept of them, new rules). last: the symbol ends its document."""
-    keys = seq[:-1].astype(np.int64) << 32 | seq[1:]
-    keys[last[:-1]] = -1
-    place = np.arange(len(keys))
-    begins = np.concatenate([[True], keys[1:] != keys[:-1]])
-    keys[(place - np.maximum.accumulate(np.where(begins, place, 0))) & 1 == 1] = -1  # of a run of one symbol, every other pair
+def _slots(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    h = left.astype(np.uint32) * np.uint32(0x9E3779B1) ^ right.astype(np.uint32) * np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    return (h >> np.uint32(32 - bits)).view(np.int32)
+
+
+def _round(seq: np.ndarray, places: np.ndarray, first: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, where they apply, symbols put there, places left): pairs begin at places, ascending."""
+    bits = min(21, max(8, len(places).bit_length() + 1))
+    slots = _slots(seq[places], seq[places + 1], bits)
+    full = np.bincount(slots, minlength=1 << bits)[slots] >= LEAST
+    places, slots = places[full], slots[full]
+    nothing = np.zeros((0, 2), np.int32), places[:0], places[:0], places
+    if not len(places):
+        return nothing
+    keys = seq[places].astype(np.int64) << 32 | seq[places + 1]
+    nth = np.arange(len(places))
+    begins = np.concatenate([[True], (keys[1:] != keys[:-1]) | (places[1:] != places[:-1] + 1)])
+    even = (nth - np.maximum.accumulate(np.where(begins, nth, 0))) & 1 == 0  # of a run of one symbol, every other pair
+    at, slots, keys = places[even], slots[even], keys[even]
     ordered = np.sort(keys)
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    counts, pairs = np.diff(np.append(starts, len(ordered))), ordered[starts]
-    often = np.flatnonzero((counts >= LEAST) & (pairs >= 0))
-    often = often[np.argsort(-counts[often], kind="stable")[:PAIRS]]
+    counts = np.diff(np.append(starts, len(ordered)))
+    often = np.flatnonzero(counts >= LEAST)
+    if not len(often):
+        return nothing
+    often = often[np.argsort(-counts[often], kind="stable")[:most]]
     # a pair whose slot another pair has, of the same or a higher count, waits for a later round
-    chosen, table = pairs[often], np.full(1 << _BITS, -1, np.int32)
-    slots = _slot(chosen)
-    table[slots[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-    rank = table[_slot(keys)]
-    none = np.int32(PAIRS)
-    rank = np.where((rank >= 0) & (np.append(chosen, -2)[rank] == keys), rank, none)
-    left, right = np.append(none, rank[:-1]), np.append(rank[1:], none)
-    at = np.flatnonzero((rank < none) & (rank < left) & (rank <= right))
-    used = np.bincount(rank[at], minlength=len(chosen))
-    at = at[used[rank[at]] >= LEAST]
-    rules = np.flatnonzero(used >= LEAST)
-    number = np.zeros(len(chosen), np.int32)
-    number[rules] = first + np.arange(len(rules), dtype=np.int32)
-    seq = seq.copy()
-    kept = np.ones(len(seq), bool)
-    seq[at], kept[at + 1] = number[rank[at]], False
-    return seq, kept, np.stack([chosen[rules] >> 32, chosen[rules] & 0xFFFFFFFF], 1).astype(np.int32)
+    chosen, table = ordered[starts[often]], np.full(1 << bits, -1, np.int32)
+    table[_slots(chosen >> 32, chosen & 0xFFFFFFFF, bits)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+    rank = table[slots]
+    mine = (rank >= 0) & (chosen[rank] == keys)
+    at, rank = at[mine], rank[mine]
+    # of pairs that overlap the more frequent one is merged
+    apart = at[1:] > at[:-1] + 1
+    best = np.concatenate([[True], apart | (rank[1:] < rank[:-1])]) & np.concatenate([apart | (rank[:-1] <= rank[1:]), [True]])
+    at, rank = at[best], rank[best]
+    frequent = np.bincount(rank, minlength=len(chosen)) >= LEAST
+    at, rank = at[frequent[rank]], rank[frequent[rank]]
+    number = first + np.cumsum(frequent) - 1
+    rules = chosen[frequent]
+    return np.stack([rules >> 32, rules & 0xFFFFFFFF], 1).astype(np.int32), at, number[rank].astype(np.int32), places
 
 
 def compress(ids: np.ndarray, first_id: np.ndarray, doc_ids: np.ndarray, valid: np.ndarray, terminals: int) -> Grammar:
     """The grammar of documents ids[first_id[k]:first_id[k + 1]], none of them empty."""
-    seq, bounds = ids.astype(np.int32), [0]
-    rules = np.zeros((0, 2), np.int32)
+    seq, bounds, found = ids.astype(np.int32), [0], [np.zeros((0, 2), np.int32)]
     last = np.zeros(len(seq), bool)
     last[first_id[1:] - 1] = True
-    while len(seq) > 1:
-        out, kept, new = _round(seq, last, terminals + len(rules))
+    places, most = np.flatnonzero(~last[:-1]), PAIRS
+    while len(places):
+        new, at, symbols, places = _round(seq, places, terminals + bounds[-1], most)
+        most *= 2
         if not len(new):
             break
-        ends = last.copy()
-        gone = np.flatnonzero(~kept)
-        ends[gone - 1] |= last[gone]  # a merged symbol ends the document if its right half did
-        seq, last = out[kept], ends[kept]
-        rules = np.concatenate([rules, new])
-        bounds.append(len(rules))
+        kept = np.ones(len(seq), bool)
+        seq[at], kept[at + 1] = symbols, False
+        last[at] |= last[at + 1]  # a merged symbol ends the document if its right half did
+        now = np.cumsum(kept) - 1
+        again = np.zeros(now[-1] + 1, bool)
+        again[now[places[kept[places]]]] = again[now[at]] = again[np.maximum(now[at] - 1, 0)] = True
+        seq, last = seq[kept], last[kept]
+        again[-1] = False
+        places = np.flatnonzero(again & ~last)
+        found.append(new)
+        bounds.append(bounds[-1] + len(new))
+    rules = np.concatenate(found)
     lengths = np.ones(terminals + len(rules), np.int64)
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         lengths[terminals + lo : terminals + hi] = lengths[rules[lo:hi]].sum(1)
@@ -99,9 +121,9 @@ def compress(ids: np.ndarray, first_id: np.ndarray, doc_ids: np.ndarray, valid:
 
 def to_bytes(g: Grammar) -> bytes:
     planes = max(0, int(g.terminals + len(g.rules) - 1).bit_length() - 16)
+    packed = lambda x: [(x & 0xFFFF).astype("<u2"), *(np.packbits((x >> (16 + k) & 1).astype(bool)) for k in range(planes))]
     head = HEADER.pack(MAGIC, len(g.bounds), planes, g.terminals, len(g.rules), len(g.doc_ids), len(g.symbols), int(g.first_id[-1]))
-    parts = [g.bounds.astype("<u4"), g.rules.astype("<u4"), g.lengths.astype("<u4"), g.doc_ids.astype("<i8"), np.packbits(g.valid), g.first_symbol.astype("<i8"), g.first_id.astype("<i8"), (g.symbols & 0xFFFF).astype("<u2")]
-    parts += [np.packbits((g.symbols >> (16 + k) & 1).astype(bool)) for k in range(planes)]
+    parts = [g.bounds.astype("<u4"), *packed(g.rules.reshape(-1)), g.lengths.astype("<u4"), g.doc_ids.astype("<i8"), np.packbits(g.valid), g.first_symbol.astype("<i8"), g.first_id.astype("<i8"), *packed(g.symbols)]
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -118,13 +140,17 @@ def from_bytes(blob: bytes) -> Grammar:
         return out
 
     bits = lambda n: np.unpackbits(take("u1", (n + 7) // 8), count=n)
-    bounds, rules, lengths = take("<u4", n_bounds), take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
+
+    def symbols(n: int) -> np.ndarray:
+        out = take("<u2", n).astype(np.int32)
+        for k in range(planes):
+            out |= bits(n).astype(np.int32) << (16 + k)
+        return out
+
+    bounds, rules, lengths = take("<u4", n_bounds), symbols(2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
     doc_ids, valid = take("<i8", n_docs), bits(n_docs).astype(bool)
     first_symbol, first_id = take("<i8", n_docs + 1), take("<i8", n_docs + 1)
-    symbols = take("<u2", n_symbols).astype(np.int32)
-    for k in range(planes):
-        symbols |= bits(n_symbols).astype(np.int32) << (16 + k)
-    return Grammar(terminals, bounds, rules, lengths.astype(np.int64), doc_ids, valid, first_symbol, first_id, symbols)
+    return Grammar(terminals, bounds, rules, lengths.astype(np.int64), doc_ids, valid, first_symbol, first_id, symbols(n_symbols))
 
 
 def expand(g: Grammar, symbols: np.ndarray | None = None) -> np.ndarray:
