@@ -64,15 +64,6 @@ def characters(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: x != "")
 
 
-def char_ids(c: Column, vocabulary: Column) -> Column:
-    """Ids by a character -> id map; an unknown character raises."""
-    return F.transform(characters(c), lambda x: F.coalesce(F.try_element_at(vocabulary, x), F.raise_error(F.concat(F.lit("unknown character "), x)).cast("int")))
-
-
-def char_text(ids: Column, by_id: Column) -> Column:
-    return F.array_join(F.transform(ids, lambda i: F.element_at(by_id, i)), "")
-
-
 def tag_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ","), lambda x: squeeze(x)), lambda x: x != "")
 

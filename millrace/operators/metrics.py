@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import encode
 from millrace.storage import written
 
 BETA, MAX_FPR, Z = 0.5, 0.01, 1.96
@@ -188,15 +189,19 @@ def exposure_report(df: DataFrame, threshold: float, seen_at: float = 0.5) -> Da
 
 
 def error_report(df: DataFrame, threshold: float, near_misses: int) -> DataFrame:
-    """(kind, rank, idx, label, prob): false positives and negatives, surest first, and near misses."""
+    """(kind, rank, idx, label, prob): false positives and negatives, surest first, and near misses.
+
+    Ranks are taken over all kinds together, in ranges, less the rows of the kinds before.
+    """
     hit, spam = F.col("prob") >= threshold, F.col("label") == 1
     kind = F.when(hit & ~spam, "false positive").when(~hit & spam, "false negative").otherwise("near miss")
     order = F.when(hit & ~spam, -F.col("prob")).when(~hit & spam, F.col("prob")).otherwise(F.abs(F.col("prob") - threshold))
     rows = df.select("idx", "label", "prob", kind.alias("kind"), order.alias("order"))
     wrong = rows.where("kind != 'near miss'")
     near = rows.where("kind = 'near miss'").orderBy("order", "idx").limit(near_misses)
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("order", "idx"))
-    return wrong.union(near).select("kind", rank.alias("rank"), "idx", "label", "prob")
+    placed = encode.ranked(wrong.union(near), "place", F.col("kind").asc(), F.col("order").asc(), F.col("idx").asc())
+    starts = placed.groupBy("kind").agg(F.min("place").alias("start"))  # three rows at most
+    return placed.join(F.broadcast(starts), "kind").select("kind", (F.col("place") - F.col("start") + 1).cast("int").alias("rank"), "idx", "label", "prob")
 
 
 def class_weights(df: DataFrame) -> DataFrame:

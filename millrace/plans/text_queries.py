@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, text
-from millrace.operators import encode
+from millrace.operators import encode, tokenizers
 from millrace.plans.inputs import BLOCK, ENCODED, VOCABULARY, WS, encoded, read, sql_message_words, sql_norm, sql_shingles, sql_words, vocabulary
 
 SWAPS = {"the": "a", "a": "the", "of": "from"}
@@ -99,7 +101,29 @@ def window_starts(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(starts).cast("bigint").alias("n"), F.array_join(F.transform(starts, lambda s: s.cast("string")), ",").alias("starts"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, format_message, strip_prefix, words, clean_body, preview, swap_names, token_bytes, char_vocab, char_encode, tag_lists, label_names, word_vocab, shingles, message_shingles, encode_pad, window_starts)}
+def char_round_trip(spark, d):
+    """Texts that were encoded by characters and decoded again."""
+    docs = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
+    tok = tokenizers.CharacterTokenizer(docs, "text")
+    return tok.decode(tok.encode(docs, "key", "text"), "key", "ids").select("key", F.md5("text").alias("text_md5"))
+
+
+def bpe_round_trip(spark, d):
+    """Texts that were encoded by byte pairs and decoded again, and their bytes summed over the tokens."""
+    import public_tokenizers
+
+    docs = read(spark, d, "benchmark").select("item_id", "text")
+    tok = tokenizers.ByteBpeTokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = tok.encode(docs, "item_id", "text")
+    # a row for each token of the vocabulary
+    summed = coded.select("item_id", F.explode("ids").alias("id")).join(F.broadcast(tok.byte_lengths()), "id").groupBy("item_id").agg(F.sum("bytes").cast("bigint").alias("n_bytes"))
+    return tok.decode(coded, "item_id", "ids").join(summed, "item_id").select("item_id", F.md5("text").alias("text_md5"), "n_bytes")
+
+
+QUERIES = {f.__name__: f for f in (normalize_text, format_message, strip_prefix, words, clean_body, preview, swap_names, token_bytes, char_vocab, char_encode, tag_lists, label_names, word_vocab, shingles, message_shingles, encode_pad, window_starts, char_round_trip)}
+# the vocabulary file is an extra of some installations
+if importlib.util.find_spec("public_tokenizers"):
+    QUERIES["bpe_round_trip"] = bpe_round_trip
 
 _W = sql_words("text")
 _SWAP = r"""CASE WHEN len(list_intersect(regexp_extract_all(text, '[\p{L}\p{N}_]+'), ['the', 'a', 'of'])) > 0
@@ -115,6 +139,7 @@ ORACLES = {
     "preview": "SELECT doc_id, substr(text, 1, 90) || CASE WHEN length(text) > 90 THEN '...' ELSE '' END AS preview FROM documents",
     "swap_names": f"SELECT conv_id, turn, {_SWAP} AS swapped FROM conversations",
     "token_bytes": f"SELECT doc_id, coalesce(list_sum(list_transform({_W}, lambda w: strlen(w))), 0)::BIGINT AS bytes, coalesce(list_max(list_transform({_W}, lambda w: strlen(w))), 0)::BIGINT AS longest FROM documents",
+    "char_round_trip": "SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS key, md5(text) AS text_md5 FROM conversations",
     "char_vocab": f"WITH {_CHARS} SELECT ch, id FROM chars",
     "char_encode": f"WITH {_CHARS}, each AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS pos FROM documents) SELECT doc_id, count(*)::BIGINT AS n_chars, md5(string_agg(id::VARCHAR, ',' ORDER BY pos)) AS ids_md5 FROM each JOIN chars USING (ch) GROUP BY doc_id",
     "tag_lists": "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(lang || ' , ,' || source || ',', ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM documents",
@@ -127,3 +152,5 @@ ORACLES = {
       SELECT doc_id, CASE WHEN n <= k THEN list_transform(range(n), lambda i: i * 8) ELSE list_transform(range(k), lambda i: (i * (n - 1) // (k - 1)) * 8) END AS s FROM sized)
       SELECT doc_id, len(s)::BIGINT AS n, array_to_string(s, ',') AS starts FROM started""",
 }
+if "bpe_round_trip" in QUERIES:
+    ORACLES["bpe_round_trip"] = "SELECT item_id, md5(text) AS text_md5, strlen(text) AS n_bytes FROM benchmark"

@@ -1,5 +1,6 @@
 """The core operators on small inputs with results worked out by hand."""
 
+import io
 import math
 
 import pytest
@@ -35,15 +36,11 @@ def test_swap_words_in_one_pass(spark):
     assert one(spark, text.has_word(F.lit("Anna"), table)) is False
 
 
-def test_labels_tags_characters(spark):
+def test_labels_and_tags(spark):
     assert one(spark, text.tag_list(F.lit(" a , ,b,"))) == ["a", "b"]
     assert one(spark, text.label_code(F.lit("spam"))) == 1
     with pytest.raises(Exception, match="unknown label"):
         one(spark, text.label_code(F.lit("other")))
-    vocab = F.create_map(F.lit("a"), F.lit(0), F.lit("b"), F.lit(1))
-    assert one(spark, text.char_ids(F.lit("aba"), vocab)) == [0, 1, 0]
-    with pytest.raises(Exception, match="unknown character"):
-        one(spark, text.char_ids(F.lit("ac"), vocab))
 
 
 @pytest.mark.parametrize(("words", "n", "count"), [("a b c d e", 3, 3), ("a b", 5, 1), ("", 3, 0)])
@@ -241,6 +238,23 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.file_info(spark, str(tmp_path / "p.txt")).first().size == len("# no\n\nOne\\nline\nTwo\n")
 
 
+def test_token_cache_blocks_and_edge_inputs(spark, tmp_path):
+    stream = spark.range(100).select(F.col("id").alias("pos"), (F.col("id") % 7).alias("token"))
+    sinks.write_tokens(stream, str(tmp_path / "t"))
+    got = readers.read_tokens(spark, str(tmp_path / "t"), 10, 13).orderBy("pos").collect()
+    assert [(r.pos, r.token) for r in got] == [(10, 3), (11, 4), (12, 5)] and readers.read_tokens(spark, str(tmp_path / "t"), 98).count() == 2
+    rows = spark.createDataFrame([([1, 2],), ([1, 2, 3],)], "tokens array<int>")
+    assert encode.fits_block(rows, "tokens", 3).count() == 2
+    with pytest.raises(Exception, match="more than 2 tokens"):
+        encode.fits_block(rows, "tokens", 2).collect()
+    windows = lm.random_windows(stream, 0, 100, 8, 3).groupBy("draw").agg(F.count("*").alias("n"), F.max("a").alias("top")).collect()
+    assert len(windows) == 3 and all(r.n == 8 and r.top < 7 for r in windows)
+    with pytest.raises(ValueError, match="doesn't fit"):
+        lm.random_windows(stream, 0, 8, 8, 1)
+    assert behaviour.edge_inputs(spark).count() == 4
+    assert readers.one_message(spark, stdin=io.StringIO("from a pipe")).first().body == "from a pipe"
+
+
 def test_streaming_dedup(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
