@@ -147,5 +147,6 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 1, width: int = WIDTH) ->
                     yield windows(False)
         if sum(map(len, ids)):
             yield windows(True)
+        own.rest()
 
     return in_id_order(docs).mapInArrow(run, COLUMNS)

@@ -70,6 +70,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end: int = 2,
                     yield close()
         if held:
             yield close()
+        encoder(vocabulary).rest()
 
     in_id_order(docs).mapInArrow(run, SHARD).write.mode("overwrite").parquet(path)
 

@@ -29,7 +29,7 @@ WORD_END = "</w>"
 class WordIds:
     """Encodes text columns; keeps the ids of up to `most` distinct chunks, and as many of the time before."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,6 +64,10 @@ class WordIds:
         self._keep(again, np.frombuffer(pool, dtype=np.int32)[ragged(starts[rows], lengths)], np.cumsum(lengths))
         return [c for c in chunks if c not in known]
 
+    def rest(self) -> None:
+        """Gives back the last generation's memory, at the end of a task."""
+        self.old = ({}, array("i"), array("q", [0]))
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
 
@@ -71,7 +75,7 @@ class WordIds:
         lines = [" ".join(chunks[i : i + 256]) for i in range(0, len(chunks), 256)]
         coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
         ids = np.concatenate([np.array(x.ids, dtype=np.int32) for x in coded])
-        pieces = np.fromiter((len(PIECES.findall(c)) for c in chunks), np.int64, len(chunks))
+        pieces = np.fromiter((1 if c.isalpha() else len(PIECES.findall(c)) for c in chunks), np.int64, len(chunks))
         ends = np.flatnonzero(self.ends_word[ids])[np.cumsum(pieces) - 1] + 1
         self._keep(chunks, ids, ends)
 
