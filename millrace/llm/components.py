@@ -7,6 +7,7 @@ before what belongs to a group is joined back, so that Spark can split the join
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.union(roots.select("lo", "lo")).toDF("node", "component")
 
 
-def linked_components(keyed: DataFrame, code: str, near: Callable[[str, str], Column], needed: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked_components(keyed: DataFrame, code: str, near: Callable[[str, str], Column], needed: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] | None = None, slices: int = 1, then: Callable[[], None] | None = None) -> DataFrame:
     """(node, component) of the links between nodes that share keys.
 
     keyed: (key, node) and the column `code`, which may be the node; a row for each key of each node.
@@ -73,37 +74,60 @@ def linked_components(keyed: DataFrame, code: str, near: Callable[[str, str], Co
     keys they must share; verify, if given, keeps the true ones of candidate rows (a, b). Two
     passes find all that connects without listing the pairs of a group: the first tries the nodes of
     each key with its least node; the second looks only at keys whose nodes are still in different
-    components, and there only at pairs from different ones.
+    components, and there only at pairs from different ones. Keys are dealt in so many slices, one
+    after the other, as most of them are of one node and need disk only while they are dealt, and so
+    are the pairs of the second pass, by their first node; then() is called once keyed is read no more.
     """
     spark = keyed.sparkSession
     # One shuffle serves both sides; keys of a single node, mostly the bulk, fall away as they are
     # read. Rows of a hot key stream through their task, which holds three numbers of each key.
-    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-    heads = dealt.groupBy("key").agg(F.min("node").alias("first"), F.min_by(code, "node").alias("first_code"), F.max("node").alias("last"))
-    heads = heads.where("first != last").drop("last")
-    paths = [scratch_path(spark, name) for name in ("shared-keys", "stars", "placed-keys", "mixed-keys")]
+    paths = [scratch_path(spark, name) for name in ("stars", "placed-keys", "mixed-keys")]
     columns = ["key", "node"] + [code] * (code != "node")
-    shared = written(dealt.join(heads.hint("shuffle_hash"), "key").select(*columns, "first", "first_code").distinct(), "shared-keys", paths[0])
-    free_shuffles(spark)
-
-    def met(pairs: DataFrame) -> DataFrame:
+    found = []
+    for k in range(slices):
+        dealt = keyed.where(F.pmod("key", F.lit(slices)) == k) if slices > 1 else keyed
+        dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+        heads = dealt.groupBy("key").agg(F.min("node").alias("first"), F.min_by(code, "node").alias("first_code"), F.max("node").alias("last"))
+        heads = heads.where("first != last").drop("last")
+        paths.append(scratch_path(spark, "shared-keys"))
+        kept = dealt.join(heads.hint("shuffle_hash"), "key").select(*columns, "first", "first_code").distinct()
+        found.append(written(kept.sortWithinPartitions("key"), "shared-keys", paths[-1]))  # in order, as that takes least disk
+        free_shuffles(spark)
+    shared = reduce(DataFrame.union, found)
+    if then:
+        then()
+
+    verify = verify or (lambda pairs: pairs)
+
+    def enough(pairs: DataFrame) -> DataFrame:
         """Of rows (a, b, needed) for each shared key, the pairs that share enough of them."""
-        out = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("needed").alias("needed")).where("met >= needed").select("a", "b")
-        return verify(out) if verify else out
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("needed").alias("needed")).where("met >= needed").select("a", "b")
 
     star = shared.where(F.col("node") != F.col("first")).where(near(code, "first_code"))
-    stars = written(met(star.select(F.col("node").alias("a"), F.col("first").alias("b"), needed(code, "first_code").alias("needed"))), "stars", paths[1])
+    stars = written(verify(enough(star.select(F.col("node").alias("a"), F.col("first").alias("b"), needed(code, "first_code").alias("needed")))), "stars", paths[0])
     found = connected_components(stars)
-    placed = shared.join(found, "node", "left").select(*columns, F.coalesce("component", "node").alias("part"))
-    placed = written(placed, "placed-keys", paths[2])
+    placed = shared.join(found.hint("shuffle_hash"), "node", "left").select(*columns, F.coalesce("component", "node").alias("part"))
+    placed = written(placed, "placed-keys", paths[1])
+    for p in paths[3:]:
+        drop_path(spark, p)
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
-    mixed = written(placed.join(mixed, "key", "left_semi"), "mixed-keys", paths[3])
-    if mixed.isEmpty():
-        return found
-    a, b = mixed.alias("a"), mixed.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & near(f"a.{code}", f"b.{code}"))
-    across = across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), needed(f"a.{code}", f"b.{code}").alias("needed"))
-    out = connected_components(stars.union(met(across)))
-    for p in paths:
+    mixed = written(placed.join(mixed.hint("shuffle_hash"), "key", "left_semi"), "mixed-keys", paths[2])
+    drop_path(spark, paths[1])
+    out = found
+    if not mixed.isEmpty():
+        pairs = []
+        for k in range(slices):
+            paths.append(scratch_path(spark, "across"))
+            pairs.append(written(enough(_across(mixed.where(F.pmod("node", F.lit(slices)) == k), mixed, code, near, needed)), "across", paths[-1]))
+            free_shuffles(spark)
+        out = connected_components(stars.union(verify(reduce(DataFrame.union, pairs))))
+    for p in (paths[0], paths[2], *paths[3 + slices :]):
         drop_path(spark, p)
     return out
+
+
+def _across(left: DataFrame, right: DataFrame, code: str, near: Callable[[str, str], Column], needed: Callable[[str, str], Column]) -> DataFrame:
+    """(a, b, needed): pairs of nodes of one key that are in different parts and may link, once for each key."""
+    a, b = left.alias("a"), right.alias("b")
+    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & near(f"a.{code}", f"b.{code}"))
+    return across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), needed(f"a.{code}", f"b.{code}").alias("needed"))

@@ -85,9 +85,9 @@ def code_components(codes: DataFrame) -> DataFrame:
     """(node, component) over distinct codes (column code) that link to others."""
     # dealt again by number: the few megabytes of codes make many rows of keys in the next step
     parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = codes.select("code").distinct().repartition(parts, "code")
+    distinct = codes.select("code").distinct().repartition(parts, F.xxhash64("code"))  # another key than the aggregate's, which would be merged into few tasks
     keyed = distinct.select(F.explode(ball_keys("code")).alias("key"), F.col("code").alias("node"))
-    return linked_components(keyed, "node", near, lambda a, b: F.lit(1))
+    return linked_components(keyed, "node", near, lambda a, b: F.lit(1), slices=2)
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:

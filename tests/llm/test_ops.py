@@ -190,6 +190,23 @@ def test_grammar_leaves_no_frequent_pair():
     assert len(g.symbols) < 3020
 
 
+def test_no_pair_repeats_in_a_finished_grammar():
+    rng = random.Random(8)
+    for _ in range(60):
+        lists = [[rng.randrange(5, rng.choice([7, 9, 40])) for _ in range(rng.choice([1, 2, 3, 30, 200]))] for _ in range(rng.choice([1, 20]))]
+        ids, first = np.array(sum(lists, []), np.int32), np.cumsum([0, *map(len, lists)])
+        g = repair.from_bytes(repair.to_bytes(repair.compress(ids, first, np.arange(len(lists)), np.ones(len(lists), bool), 66_000)))
+        assert (repair.expand(g) == ids).all() and [repair.ids_at(g, k) for k in range(len(lists))] == lists
+        seen = set()
+        for k in range(len(lists)):
+            symbols, at = g.symbols[g.first_symbol[k] : g.first_symbol[k + 1]].tolist(), 0
+            while at + 1 < len(symbols):
+                pair = tuple(symbols[at : at + 2])
+                assert pair not in seen
+                seen.add(pair)
+                at += 2 if symbols[at] == symbols[at + 1] and symbols[at : at + 3] == symbols[at : at + 1] * 3 else 1
+
+
 def test_line_links_are_those_of_brute_force(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice([2, 5, 8])))
@@ -453,6 +470,73 @@ def test_alignment_is_ascending_and_near_the_longest_subsequence():
         assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and len({j for _, j in pairs}) == len(pairs) and len(pairs) == lcs(a, b)
 
 
+#: Names of columns and aliases that the operators use inside.
+HELPERS = """rate poisson mix_source n_copies copy shuffle_key draw row gone left lines n_lines n_dropped pos raw node n keys first words
+part parts id code own own_text component kept key score predicted held_out n_clauses license template label same copies bucket blocks table
+other task size start length offset grammar shard before rank query block ask distance toxic weight word stem""".split()
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    import corpus_pipeline
+
+    plain = docs(spark, ["one plain text of several words", "one plain text of several words", "another text\nof two lines and more words", None])
+    clashing = plain.select("*", *(F.lit(f"own {c}").alias(c) for c in HELPERS))
+    known = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    known.write.parquet(str(tmp_path / "labels.parquet"))
+    # operators that give rows of their own: the same as without those columns
+    for run in (
+        lambda d: toxicity.toxicity(d, known), lambda d: token_files.token_files(d, WORD_VOCABULARY), lambda d: token_counts.token_counts(d, BYTE_VOCABULARY),
+        lambda d: packing.pack(d, WORD_VOCABULARY), license_scan.license_scan, simhash_docs.simhash_components,
+    ):
+        assert sorted(run(clashing).collect()) == sorted(run(plain).collect())
+    # operators that add columns: all of the input's stay, the added ones have free names
+    for run, added in ((mixing.mix, ["rate", "n_copies", "copy", "shuffle_key"]), (line_dedup.dedup_lines, ["n_lines", "n_dropped"])):
+        out, bare = run(clashing), run(plain)
+        assert out.columns == [*clashing.columns, *(f"{c}_" for c in added)]
+        assert out.where(" or ".join(f"{c} != 'own {c}'" for c in HELPERS)).count() == 0
+        assert sorted(map(str, out.select(*plain.columns, *(F.col(f"{c}_").alias(c) for c in added)).collect())) == sorted(map(str, bare.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, str(tmp_path))
+        assert out.columns == clashing.columns and sorted(map(str, out.select(*plain.columns).collect())) == sorted(map(str, stage(spark, plain, str(tmp_path)).collect())), name
+
+
+def test_the_whole_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    long = "a long text of many words " * 20_000
+    toxic = "you idiot! you moron, you worthless scum. idiot! idiot! you idiot"
+    rows = [(None, "a row without an id", "en", "s", 3), (1, None, "en", "s", 0), (2, "", "en", None, 0), (3, long, "en", "s", 9), (4, long, "en", "s", 9), (4, long, "en", "s", 9), (5, toxic, "en", "s", 9), (6, "clean words that nobody else has", "en", "t", 9)]
+    for name, d in (("odd", spark.createDataFrame(rows, SCHEMA)), ("none", spark.createDataFrame([], SCHEMA))):
+        d.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    own = Tokenizer.from_file(WORD_VOCABULARY)
+    whole = {}
+    for r in out:
+        whole.setdefault((r.doc_id, r.doc_tokens), 0)
+        whole[r.doc_id, r.doc_tokens] += r.length
+    assert all(n % tokens == 0 for (_, tokens), n in whole.items())  # copies of whole documents
+    kept = {k for k, _ in whole}
+    assert 5 not in kept and 4 not in kept and kept <= {None, 1, 2, 3, 6}
+    size = lambda t: len(own.encode(t, add_special_tokens=False).ids) + 1
+    assert {(k, n) for k, n in whole if k in (3, 6)} <= {(3, size(long)), (6, size(rows[-1][1]))}
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    none = docs(spark, [])
+    assert token_counts.token_counts(none, BYTE_VOCABULARY).count() == 0
+    odd = odd_rows(spark)
+    assert token_counts.token_counts(odd, BYTE_VOCABULARY).where("doc_id = 3").count() == 3
+    codes = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (None, 7)], "id long, code long").withColumn("rank", F.lit("x"))
+    vectors = spark.createDataFrame([(1, [1.0] * 64, "x"), (1, [1.0] * 64, "x"), (None, [-1.0] * 64, "x"), (2, [0.0] * 64, "x")], "vec_id long, embedding array<double>, rank string")
+    assert hamming_search.sign_codes(vectors).count() == 3
+    found = hamming_search.top_k(codes.where("id is not null").select("id", "code"), codes.where("id is not null").select("id", "code"), 5)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 0), (1, 2, 2, 0), (2, 1, 1, 0), (2, 2, 2, 0)]
+    empty = codes.where("id > 9").select("id", "code")
+    assert hamming_search.top_k(empty, empty).count() == 0
+
+
 @pytest.mark.parametrize("name", ["toxicity", "line dedup", "SimHash near-dedup", "mixing"])
 def test_stages_return_the_columns_of_documents(spark, tmp_path, name):
     import corpus_pipeline
