@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.storage import drop_path, free_shuffles, scratch_path, written
@@ -33,10 +33,8 @@ def _gather(e: DataFrame, path: str) -> DataFrame:
 
 def _marked(e: DataFrame, path: str) -> tuple[DataFrame, tuple]:
     """The written edges, and what tells whether they are those of the round before."""
-    seen = Observation()
-    marks = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x"), F.sum(F.xxhash64("lo", "hi") % 1_000_003).alias("s")]
-    out = written(e.observe(seen, *marks), "edges", path)
-    return out, tuple(seen.get[k] for k in ("n", "x", "s"))
+    out = written(e, "edges", path)
+    return out, tuple(out.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("lo", "hi") % 1_000_003)).first())
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

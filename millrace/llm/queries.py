@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.centroid_clustering import cluster_vectors
 from millrace.llm.embedding_dedup import embedding_components
 from millrace.llm.hamming_search import sign_codes, top_k
 from millrace.llm.hamming_sql import OP10
+from millrace.llm.inner_product_search import nearest_by_product
 from millrace.llm.license_scan import license_scan
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.mixing import mix
@@ -18,6 +20,8 @@ from millrace.llm.simhash_docs import simhash_components
 from millrace.llm.token_counts import token_counts
 from millrace.llm.token_files import token_files
 from millrace.llm.toxicity import toxicity
+from millrace.llm.vector_codes import vector_codes
+from millrace.llm.vector_sql import OP11, OP13
 
 #: Vocabulary files; paths are parameters of the operators.
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +74,19 @@ def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(codes, codes.where("id % 20 = 0"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest_by_product(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -81,5 +98,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_hamming_top_k": op10_hamming_top_k,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
-ORACLES: dict[str, str] = {"op1_mixing": OP1, "op10_hamming_top_k": OP10}
+ORACLES: dict[str, str] = {"op1_mixing": OP1, "op10_hamming_top_k": OP10, "op11_vector_codes": OP11, "op13_centroid_clustering": OP13}
