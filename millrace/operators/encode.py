@@ -95,7 +95,7 @@ def integrity(df: DataFrame, block: int, vocab: int, end: int, labels: int = 2)
         "length": ~fits,
         "end": fits & (F.get("tokens", F.col("length") - 1) != end),
         "vocabulary": F.exists("tokens", lambda t: (t < 0) | (t >= vocab)),
-        "padding": F.exists(F.slice("tokens", F.col("length") + 1, F.lit(1 << 20)), lambda t: t != end),
+        "padding": F.exists(F.slice("tokens", F.col("length") + 1, F.size("tokens")), lambda t: t != end),
         "label": ~F.col("label").between(0, labels - 1),
         "inner end": F.exists(body, lambda t: t == end),
     }

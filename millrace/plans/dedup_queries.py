@@ -9,6 +9,7 @@ from millrace.functions import arrays, text
 from millrace.operators import dedup, encode
 from millrace.operators.metrics import wilson
 from millrace.plans.inputs import ENCODED, SPLIT, encoded, read, split_rows, sql_message_words, sql_norm, sql_shingles
+from millrace.storage import written
 
 
 def _messages(spark, d):
@@ -48,8 +49,9 @@ def jaccard_pairs(spark, d):
 
 def _sets_by_split(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text")
-    rows = docs.join(split_rows(spark, d), "idx")
-    return rows.select("idx", "split", "label", arrays.shingle_hashes(F.col("text"), 5).alias("set"))
+    # by number: small rows make much work here, and would be coalesced into a few tasks
+    rows = docs.join(split_rows(spark, d), "idx").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "idx")
+    return written(rows.select("idx", "split", "label", arrays.shingle_hashes(F.col("text"), 5).alias("set")), "split-sets")
 
 
 def _matches(spark, d):
@@ -64,9 +66,11 @@ def near_dup_leakage(spark, d):
 
 
 def label_disagreement(spark, d):
-    best, labels = _matches(spark, d)
-    pairs = best.where("flagged").join(labels.toDF("i", "label"), "i").join(labels.toDF("match", "match_label"), "match")
-    return pairs.where("label != match_label").select("i", "match", "label", "match_label")
+    """Flagged matches of another label: every fourth document is matched with the others, its source standing for the label, as sources of copies do differ."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.col("source").alias("label"), arrays.shingle_hashes(F.col("text"), 5).alias("set"))
+    docs = written(docs, "labelled-sets")
+    best = dedup.best_matches(docs.where("idx % 4 = 0").select("idx", "set"), docs.where("idx % 4 != 0").select("idx", "set"))
+    return dedup.label_disagreement(best, docs.select("idx", "label"))
 
 
 def near_dup_summary(spark, d):
@@ -83,7 +87,7 @@ def top_near_dups(spark, d):
 
 def near_dup_groups(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return dedup.greedy_groups(docs, dedup.similar_pairs(dedup.shingle_sets(docs, "id", "text", 5)))
+    return dedup.similar_groups(docs, dedup.shingle_sets(docs, "id", "text", 5))
 
 
 def near_dup_filter(spark, d):
@@ -213,7 +217,9 @@ ORACLES = {
     "exact_leakage": f"WITH {ENCODED} SELECT split, idx FROM encoded QUALIFY row_number() OVER (PARTITION BY tokens ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, idx) > 1",
     "jaccard_pairs": f"WITH {_PAIRS} SELECT i, j, shared, total FROM pairs",
     "near_dup_leakage": f"WITH {_MATCH} SELECT i, match, similarity, flagged FROM matches",
-    "label_disagreement": f"WITH {_MATCH} SELECT m.i, m.match, a.label, b.label AS match_label FROM matches m JOIN split_rows a ON a.idx = m.i JOIN split_rows b ON b.idx = m.match WHERE m.flagged AND a.label <> b.label",
+    "label_disagreement": f"""WITH {_SETS}, {_EACH}, found AS (SELECT q.idx AS i, r.idx AS j, count(*) AS shared, any_value(q.n + r.n) - count(*) AS total FROM each q JOIN each r ON q.sh = r.sh AND q.idx % 4 = 0 AND r.idx % 4 <> 0 GROUP BY q.idx, r.idx),
+      best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY i ORDER BY shared::DOUBLE / total DESC, j) = 1)
+      SELECT i, j AS match, a.source AS label, b.source AS match_label FROM best JOIN documents a ON a.doc_id = i JOIN documents b ON b.doc_id = j WHERE 5 * shared >= 4 * total AND a.source <> b.source""",
     "near_dup_summary": f"WITH {_MATCH} SELECT count(*) AS n, count(*) FILTER (flagged) AS n_flagged, count(*) FILTER (flagged AND a.label = 1) AS flagged_spam, count(*) FILTER (flagged AND a.label <> b.label) AS disagree FROM matches m JOIN split_rows a ON a.idx = m.i LEFT JOIN split_rows b ON b.idx = m.match",
     "top_near_dups": f"WITH {_MATCH} SELECT row_number() OVER (ORDER BY similarity DESC, i)::INTEGER AS rank, i, match, similarity FROM matches WHERE flagged ORDER BY similarity DESC, i LIMIT 5",
     "near_dup_groups": f"WITH RECURSIVE {_PAIRS}, {_walk('pairs')} SELECT doc_id AS id, coalesce(leader, doc_id) AS group_id FROM documents LEFT JOIN led ON led.id = doc_id",

@@ -65,7 +65,7 @@ def case_file(spark, d):
     lines = F.concat(F.lit("=== "), F.col("case_id"), F.lit("\nlabel: "), text.label_name(F.col("label")), F.lit("\ntags: "), F.array_join("tags", ", "), F.lit("\nsubject: A: "), F.col("case_id"), F.lit("\n---\n"), F.col("body"), F.lit("\n"))
     path = scratch_path(spark, "cases")
     rows.select(lines.alias("value")).write.text(path)
-    parsed = readers.parse_cases(readers.read_whole(spark, f"{path}/*.txt"))
+    parsed = readers.read_cases(spark, f"{path}/*.txt")
     return parsed.select("case_id", "label", "tags", "subject", F.md5("body").alias("body_md5"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import text
 from millrace.operators import encode, lm
 from millrace.plans.inputs import VOCABULARY, read, sql_words, vocabulary
 from millrace.sources import readers, sinks
@@ -59,12 +60,16 @@ def lm_windows(spark, d):
     return lm.lm_windows(stream, 0, (n - 1) // BLOCK, BLOCK).groupBy("window").agg(F.count("*").alias("n"), F.sum("a").cast("bigint").alias("inputs"), F.sum("b").cast("bigint").alias("targets"))
 
 
+SAMPLE = 5000
+
+
 def sample_tokens(spark, d):
-    """Documents from the start until 5000 tokens are there."""
-    stream, _, _, n = _stream(spark, d)
-    if n < 5000:
-        raise ValueError("the corpus has fewer tokens than asked for")
-    return stream.where(F.col("pos") < 5000).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Documents from the start of a corpus in many files until 5000 tokens are there; files beyond aren't read or encoded."""
+    path = scratch_path(spark, "corpus-files")
+    read(spark, d, "documents").select("doc_id", "text").repartitionByRange(16, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    size = F.coalesce(F.size(text.words(F.col("text"))), F.lit(0)) + 1
+    first = readers.read_until(spark, path, size, SAMPLE)
+    return first.select("doc_id", F.least(size.cast("long"), SAMPLE - F.col("before")).alias("n"))
 
 
 def unigram_lm(spark, d):

@@ -223,7 +223,7 @@ def test_sources_and_sinks(spark, tmp_path):
     got = {r.text for r in readers.read_messages(spark, str(tmp_path / "m.csv")).collect()}
     assert got == {"Subject: hello there", "Subject: two lines"}
     (tmp_path / "c.txt").write_text("# head\n=== one\nlabel: spam\ntags: a, b\nsubject: Re: x\n---\nFirst line\n\nsecond: not a header\n=== two\nlabel: legitimate\ntags:\nsubject:\n---\nbody\n=== three\ntags : c\n\n")
-    cases = {r.case_id: r for r in readers.parse_cases(readers.read_whole(spark, str(tmp_path / "c.txt"))).collect()}
+    cases = {r.case_id: r for r in readers.read_cases(spark, str(tmp_path / "c.txt")).collect()}
     assert cases["one"].subject == "Re: x" and cases["one"].body == "First line\n\nsecond: not a header" and cases["one"].tags == ["a", "b"]
     assert cases["two"].label == 0 and cases["two"].tags == []
     assert (cases["three"].label, cases["three"].tags, cases["three"].subject, cases["three"].body) == (None, ["c"], "", "") and len(cases) == 3
