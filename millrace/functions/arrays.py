@@ -13,9 +13,10 @@ def close_ids(ids: Column, block: int, end: Column) -> Column:
     return F.concat(F.slice(ids, 1, block - 1), F.array(end))
 
 
-def padded(ids: Column, block: int, end: Column) -> Column:
-    """A fixed-width view; tables keep the ids alone."""
-    return F.concat(ids, F.array_repeat(end, F.greatest(F.lit(block) - F.size(ids), F.lit(0))))
+def padded(ids: Column, block: int | Column, end: Column) -> Column:
+    """A view of `block` ids; tables keep the ids alone."""
+    width = F.lit(block) if isinstance(block, int) else block
+    return F.concat(ids, F.array_repeat(end, F.greatest(width - F.size(ids), F.lit(0))))
 
 
 def let(value: Column, use) -> Column:
@@ -57,3 +58,9 @@ def window_starts(length: Column, block: int, most: Column) -> Column:
     spaced = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(k - 1, F.lit(0))), lambda i: F.when(k < 2, F.lit(0)).otherwise(F.floor(i * (n - 1) / F.greatest(k - 1, F.lit(1)))).cast("long") * block)
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda i: i * block)
     return F.when(k < 1, F.array().cast("array<bigint>")).when(n <= k, every).otherwise(spaced)
+
+
+def at_least_kth(scores: Column, k: int) -> Column:
+    """Scores below the k-th largest become -infinity; all that tie with it stay, and so does all of a shorter array. k of 0 keeps everything."""
+    bound = F.get(F.sort_array(scores, asc=False), F.least(F.lit(k), F.size(scores)) - 1)
+    return scores if k <= 0 else let(bound, lambda b: F.transform(scores, lambda x: F.when(x < b, F.lit(float("-inf"))).otherwise(x)))

@@ -74,6 +74,18 @@ def fits_block(df: DataFrame, tokens: str, block: int) -> DataFrame:
     return df.where(fine.isNull())
 
 
+def cropped_batches(df: DataFrame, size: int, end: Column, *order: Column) -> DataFrame:
+    """df with batch and width, its tokens padded by the end id to its batch's longest row and no further.
+
+    Batches are `size` rows of the order, whose last column must leave no ties. Ranks are taken in ranges,
+    and the longest of each batch is a partial aggregate, so no batch is gathered.
+    """
+    placed = ranked(df, "_rank", *order).withColumn("batch", F.floor(F.col("_rank") / size)).drop("_rank")
+    widths = placed.groupBy("batch").agg(F.max("length").cast("int").alias("width"))
+    tokens = F.slice(arrays.padded(F.col("tokens"), F.col("width"), end), F.lit(1), F.col("width"))
+    return placed.join(widths, "batch").withColumn("tokens", tokens)
+
+
 def stratified_split(df: DataFrame, key: str, label: str, val: float = 0.1, test: float = 0.1, seed: int = 1337) -> DataFrame:
     """df with its split: test, then val, then train, each with every label's share."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))

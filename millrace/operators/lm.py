@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Buckets of positions inside a window, as [from, to).
@@ -20,19 +20,28 @@ def stream_split(stream: DataFrame, length: int, share: float = 0.9) -> tuple[Da
     return stream.where(F.col("pos") < cut), stream.where(F.col("pos") >= cut)
 
 
-def with_next(stream: DataFrame) -> DataFrame:
+#: Positions of a block in which tokens are put beside their successors.
+BLOCK = 1 << 16
+
+
+def with_next(stream: DataFrame, block: int = BLOCK) -> DataFrame:
     """(pos, a, b): each token and the one after it, over document ends too.
 
-    An equi-join on neighbouring positions, so the stream is never one window.
+    Positions are dealt in blocks, and the first row of each is carried to the block before as well, so
+    one exchange of the stream does. A position that is missing has no pair on either side.
     """
-    after = stream.select((F.col("pos") - 1).alias("pos"), F.col("token").alias("b"))
-    return stream.select("pos", F.col("token").alias("a")).join(after, "pos")
+    own = F.floor(F.col("pos") / block)
+    blocks = F.when(F.col("pos") % block == 0, F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = stream.select("pos", "token", F.explode(blocks).alias("block"))
+    order = Window.partitionBy("block").orderBy("pos")
+    pairs = dealt.select("block", "pos", F.col("token").alias("a"), F.lead("token").over(order).alias("b"), F.lead("pos").over(order).alias("after"))
+    return pairs.where((F.col("after") == F.col("pos") + 1) & (F.floor(F.col("pos") / block) == F.col("block"))).select("pos", "a", "b")
 
 
-def lm_windows(stream: DataFrame, first: int, starts: int, block: int) -> DataFrame:
-    """(window, at, a, b) of `starts` windows side by side; the target is the input moved by one."""
+def lm_windows(pairs: DataFrame, first: int, starts: int, block: int) -> DataFrame:
+    """(window, at, a, b) of `starts` windows side by side over pairs (pos, a, b); the target is the input moved by one."""
     place = F.col("pos") - first
-    return with_next(stream).where((place >= 0) & (place < starts * block)).select(F.floor(place / block).alias("window"), (place % block).cast("int").alias("at"), "a", "b")
+    return pairs.where((place >= 0) & (place < starts * block)).select(F.floor(place / block).alias("window"), (place % block).cast("int").alias("at"), "a", "b")
 
 
 def unigram_counts(stream: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -43,9 +52,9 @@ def unigram_counts(stream: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return full.crossJoin(F.broadcast(totals)).select("token", "c", ((F.col("c") + 1) / (F.col("n") + F.col("v"))).alias("prob"))
 
 
-def bigram_counts(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((a, b, c), (a, c)): pair counts, and counts of tokens that have a successor."""
-    pairs = with_next(stream).groupBy("a", "b").agg(F.count("*").alias("c"))
+def bigram_counts(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, b, c), (a, c)): counts of pairs (a, b), and of tokens that have a successor."""
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
     return pairs, pairs.groupBy("a").agg(F.sum("c").alias("ca"))
 
 
@@ -54,19 +63,19 @@ def distinct_pairs(pairs: DataFrame, *by: Column) -> DataFrame:
     return pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
 
 
-def random_windows(stream: DataFrame, first: int, last: int, block: int, count: int, seed: int = 0) -> DataFrame:
-    """(draw, at, a, b) of `count` windows that begin anywhere in [first, last - block), drawn by hash with replacement.
+def random_windows(pairs: DataFrame, first: int, last: int, block: int, count: int, seed: int = 0) -> DataFrame:
+    """(draw, at, a, b) of `count` windows over pairs (pos, a, b) that begin anywhere in [first, last - block), drawn by hash with replacement.
 
     Starts are a small table, each joined to the positions it covers; no block, no window.
     """
     room = last - first - block - 1
     if room < 1:
         raise ValueError(f"a block of {block} doesn't fit into {last - first} tokens")
-    spark = stream.sparkSession
+    spark = pairs.sparkSession
     digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint")
     starts = spark.range(count).select(F.col("id").alias("draw"), (F.lit(first) + F.pmod(digest, F.lit(room))).alias("start"))
     places = starts.select("draw", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("at")).select("draw", "at", (F.col("start") + F.col("at")).alias("pos"))
-    return with_next(stream).join(places, "pos").select("draw", "at", "a", "b")
+    return pairs.join(places, "pos").select("draw", "at", "a", "b")
 
 
 def pair_probabilities(pairs: DataFrame, unigram: DataFrame, counts: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -76,6 +85,18 @@ def pair_probabilities(pairs: DataFrame, unigram: DataFrame, counts: tuple[DataF
     return joined.withColumn("p_bi", F.coalesce(F.col("c") / F.col("ca"), F.lit(0.0))).drop("c", "ca")
 
 
+def likeliest_next(counts: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
+    """(a, b, c, prob): the k likeliest successors of each token, with all that tie with the k-th, by their shares of what is kept.
+
+    The bound is the k-th largest count of a context; a rank finds it without gathering a context's successors.
+    """
+    pairs, _ = counts
+    rank = F.rank().over(Window.partitionBy("a").orderBy(F.col("c").desc()))
+    kept = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    sums = kept.groupBy("a").agg(F.sum("c").alias("kept"))
+    return kept.join(sums, "a").select("a", "b", "c", (F.col("c") / F.col("kept")).alias("prob"))
+
+
 def mixture_nll(share: Column | float) -> Column:
     lam = F.lit(share) if isinstance(share, float) else share
     return -F.log(lam * F.col("p_bi") + (1 - lam) * F.col("p_uni"))

@@ -161,24 +161,76 @@ def mcnemar(df: DataFrame) -> DataFrame:
     return counts.select("a_only", "b_only", F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p"))
 
 
-def bootstrap(df: DataFrame, threshold: float, replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """(metric, lo, hi): 2.5 and 97.5 percentiles over resamples of rows numbered idx = 0 ... n - 1.
+#: Draws are whole numbers below this prime; a Poisson weight of mean 1 is how many of the limits a draw reaches.
+PRIME = 2_147_483_647
+LIMITS = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
 
-    Row draws are hashed from seed, replicate and draw, so any engine makes the same resamples; a
-    replicate counts each row once with its multiplicity. One-class resamples are left out.
+
+def _drawn(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def bootstrap(df: DataFrame, threshold: float, replicates: int = 1000, seed: int = 0, bins: int = 10_000) -> DataFrame:
+    """(metric, lo, hi): 2.5 and 97.5 percentiles of ten metrics over Poisson resamples of rows (idx, prob, label).
+
+    Each row's weight in each replicate is drawn as the row is scanned, (a * row + b) mod PRIME with hashed
+    a and b of the replicate and row, and goes into the replicate's histogram of scores before anything is
+    shuffled, so what is shuffled is replicates times bins at most, however many rows there are. Counts, Brier
+    and calibration sums are exact; ranks are those of the bins, within which scores tie. One-class resamples
+    are left out.
     """
-    n = df.count()
-    spark = df.sparkSession
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string")))
-    draws = spark.range(replicates).select(F.col("id").alias("rep")).crossJoin(spark.range(n).select(F.col("id").alias("draw")))
-    draws = draws.select("rep", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n)).alias("idx"))
-    sample = draws.join(df, "idx").select("rep", "prob", "label")
-    metrics = all_metrics(sample, threshold, by=("rep",)).where("roc_auc is not null")
-    names = ["accuracy", "precision", "recall", "f1", "fbeta", "roc_auc", "pr_auc", "recall_at_fpr", "brier", "ece"]
-    long = metrics.unpivot("rep", names, "metric", "value")
+    draw = lambda name: _drawn(F.concat(F.lit(f"{seed}:{name}:"), F.col("id").cast("string")))
+    sent = df.sparkSession.range(replicates).select("id", (1 + draw("a") % (PRIME - 1)).alias("a"), (draw("b") % PRIME).alias("b"))
+    sent = F.broadcast(sent.agg(F.collect_list(F.struct("id", "a", "b")).alias("replicates")))  # one row of three numbers for each replicate
+    own = _drawn(F.concat(F.lit(f"{seed}:"), F.col("idx").cast("string"))) % PRIME
+    in_bins = lambda n: F.least(F.floor(F.col("prob") * n), F.lit(n - 1)).cast("int")
+    rows = df.select(own.alias("x"), "prob", F.col("label").cast("int").alias("label"), in_bins(bins).alias("bin"), in_bins(10).alias("tenth"), (F.col("prob") >= threshold).alias("hit"))
+    each = rows.crossJoin(sent).select("x", "prob", "label", "bin", "tenth", "hit", F.explode("replicates").alias("r"))
+    u = (F.col("r.a") * F.col("x") + F.col("r.b")) % PRIME
+    each = each.select("prob", "label", "bin", "tenth", "hit", F.col("r.id").alias("rep"), u.alias("u"))
+    w, error = reduce(lambda s, k: s + (F.col("u") >= k).cast("int"), LIMITS, F.lit(0)), F.col("prob") - F.col("label")
+    drawn = each.select("rep", "bin", "tenth", "hit", "prob", "label", (error * error).alias("square"), w.alias("w")).where("w > 0")
+    sums = drawn.groupBy("rep", "bin", "tenth", "hit").agg(
+        F.sum(F.col("w") * F.col("label")).alias("p"), F.sum(F.col("w") * (1 - F.col("label"))).alias("n"),
+        F.sum(F.col("w") * F.col("square")).alias("square"), F.sum(F.col("w") * F.col("prob")).alias("prob"),
+    )
+    return percentiles(histogram_metrics(written(sums, "histograms")))
+
+
+def histogram_metrics(sums: DataFrame, max_fpr: float = MAX_FPR) -> DataFrame:
+    """(rep, ten metrics) of histograms (rep, bin, tenth, hit, p, n, square, prob): positives, negatives, squared errors and scores of each cell."""
+    part = lambda c, hit: F.coalesce(F.sum(F.when(F.col("hit") == hit, F.col(c))), F.lit(0))
+    counts = sums.groupBy("rep").agg(part("p", True).alias("tp"), part("n", True).alias("fp"), part("p", False).alias("fn"), part("n", False).alias("tn"), (F.sum("square") / F.sum(F.col("p") + F.col("n"))).alias("brier"))
+    counts = counts.where("tp + fn > 0 and fp + tn > 0")
+    tenths = sums.groupBy("rep", "tenth").agg(F.abs(F.sum("prob") - F.sum("p")).alias("gap"), F.sum(F.col("p") + F.col("n")).alias("n"))
+    calibration = tenths.groupBy("rep").agg((F.sum("gap") / F.sum("n")).alias("ece"))
+    down, whole = Window.partitionBy("rep").orderBy(F.col("bin").desc()), Window.partitionBy("rep")
+    ranked = sums.groupBy("rep", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    ranked = ranked.select("rep", "p", "n", F.sum("p").over(down).alias("t"), F.sum("n").over(down).alias("f"), F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n")).where("all_p > 0 and all_n > 0")
+    ranks = ranked.groupBy("rep").agg(
+        (F.sum(F.col("p") * (F.col("all_n") - F.col("f") + F.col("n") / 2)) / F.first("all_p") / F.first("all_n")).alias("roc_auc"),
+        (F.sum(F.col("p") * F.col("t") / (F.col("t") + F.col("f"))) / F.first("all_p")).alias("pr_auc"),
+        F.coalesce(F.max(F.when(F.col("f") / F.col("all_n") <= max_fpr, F.col("t") / F.col("all_p"))), F.lit(0.0)).alias("recall_at_fpr"),
+    )
+    named = counts.select("rep", "brier", *(c.alias(k) for k, c in derived().items()))
+    return named.join(ranks, "rep").join(calibration, "rep")
+
+
+NAMES = ["accuracy", "precision", "recall", "f1", "fbeta", "roc_auc", "pr_auc", "recall_at_fpr", "brier", "ece"]
+
+
+def percentiles(metrics: DataFrame) -> DataFrame:
+    """(metric, lo, hi) of rows of metrics, one for each replicate."""
+    long = metrics.unpivot("rep", NAMES, "metric", "value")
     return long.groupBy("metric").agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"))
 
 
+def metrics_report(df: DataFrame, threshold: float, replicates: int = 1000) -> DataFrame:
+    """(metric, value, lo, hi): every metric of rows (idx, prob, label) with its bootstrap interval."""
+    values = all_metrics(df, threshold).unpivot([], NAMES, "metric", "value")
+    return values.join(bootstrap(df, threshold, replicates), "metric")
+
+
 def exposure_report(df: DataFrame, threshold: float, seen_at: float = 0.5) -> DataFrame:
     """(label, seen, n, flagged, lo, hi) of rows (prob, label, seen_share); all four cells come out."""
     grid = df.sparkSession.createDataFrame([(y, s) for y in (0, 1) for s in (True, False)], "label int, seen boolean")

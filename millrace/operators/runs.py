@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import encode
+
 MIN_AGREEMENT, MOST_EXTRA_WRONG, MOST_CHANGED, MOST_PERPLEXITY_RISE = 0.99, 1, 2, 0.02
 PLACES = 6
 
@@ -23,6 +25,12 @@ def run_document(**parts: Column) -> Column:
     return F.to_json(F.struct(*(c.alias(k) for k, c in parts.items())))
 
 
+def same_split(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(same_split): one row, whether two runs' rows (idx, label) have one fingerprint."""
+    of = lambda df, name: encode.fingerprint(df.select("idx", F.array().cast("array<int>").alias("tokens"), F.lit(0).alias("length"), "label")).withColumnRenamed("fingerprint", name)
+    return of(a, "a").crossJoin(of(b, "b")).select(F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same_split"))
+
+
 def run_agreement(a: DataFrame, b: DataFrame, threshold_a: float, threshold_b: float) -> DataFrame:
     """agreement, changed, and mean and largest distance of two runs' saved scores by idx."""
     pairs = a.select("idx", saved(F.col("prob")).alias("pa")).join(b.select("idx", saved(F.col("prob")).alias("pb")), "idx")

@@ -12,13 +12,14 @@ from typing import Protocol
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from millrace.functions import arrays, text
 from millrace.operators import encode, metrics
-from millrace.storage import written
+from millrace.storage import scratch_path, written
 
 
 class Scorer(Protocol):
@@ -47,9 +48,18 @@ def terms(column: str, longest: int = 2):
     return F.concat(ws, pairs) if longest > 1 else ws
 
 
-@F.udf(VectorUDT())
-def _sparse(size: int, slots: list, values: list):
-    return Vectors.sparse(size, slots or [], values or [])
+def as_vectors(df: DataFrame, size: int, slots: str, values: str) -> DataFrame:
+    """df with sparse vectors `features` in place of their slots (ascending) and values.
+
+    Rows are written in the form in which a vector is stored, and read as vectors, so that none goes through
+    Python, and what a fit reads many times is made once.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "features")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), empty(slots, "int").alias("indices"), empty(values, "double").alias("values"))
+    stored = df.withColumn("features", sparse).drop(slots, values)
+    stored.write.parquet(path)
+    return spark.read.schema(StructType([*(f for f in stored.schema if f.name != "features"), StructField("features", VectorUDT())])).parquet(path)
 
 
 class TfIdfBaseline:
@@ -73,7 +83,7 @@ class TfIdfBaseline:
         rows = weighted.groupBy("idx").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), cells.alias("cells"))
         rows = rows.select("idx", F.col("cells.slot").alias("slots"), F.transform("cells.x", lambda x: x / F.col("norm")).alias("values"))
         joined = df.join(rows, "idx", "left")
-        return joined.withColumn("features", _sparse(F.lit(self.size), "slots", "values")).drop("slots", "values")
+        return as_vectors(joined.drop("norm"), self.size, "slots", "values")
 
     def fit(self, train: DataFrame, val: DataFrame) -> TfIdfBaseline:
         """train, val: (idx, text, label)."""
@@ -83,7 +93,10 @@ class TfIdfBaseline:
         self.idf = written(numbered.select("term", F.col("slot").cast("int").alias("slot"), (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
         self.size = max(1, self.idf.count())
         weights = metrics.class_weights(train).select("label", "weight")
-        self.model = LogisticRegression(weightCol="weight", maxIter=50, regParam=1e-3).fit(self._vectors(train).join(F.broadcast(weights), "label"))  # a row for each label
+        fitted = LogisticRegression(weightCol="weight", maxIter=50, regParam=1e-3).fit(self._vectors(train).join(F.broadcast(weights), "label"))  # a row for each label
+        path = scratch_path(train.sparkSession, "logistic-model")
+        fitted.write().save(path)
+        self.model = LogisticRegressionModel.load(path)  # without its training summary, which holds the session
         self.threshold = metrics.choose_threshold(self(val)).first()["threshold"]
         return self
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, text
-from millrace.operators import dedup, encode
+from millrace.operators import dedup, encode, membership
 from millrace.operators.metrics import wilson
 from millrace.plans.inputs import ENCODED, SPLIT, encoded, read, split_rows, sql_message_words, sql_norm, sql_shingles
 from millrace.storage import written
@@ -116,11 +116,20 @@ def split_stats(spark, d):
 
 
 def integrity(spark, d):
-    """Checked against a block of 200 and a vocabulary short of 500 ids, so that rules fail."""
+    """Rows padded to the block, every seventh by 0, checked against a block of 200 and a vocabulary short of 500 ids, so that rules fail."""
     rows, end = encoded(spark, d)
+    rows = rows.withColumn("tokens", arrays.padded(F.col("tokens"), 256, F.when(F.col("idx") % 7 == 0, 0).otherwise(end)))
     return encode.integrity(rows, 200, end - 499, end)
 
 
+def batch_crop(spark, d):
+    """Batches of 64 rows by index, each cut to its longest row; the table's rows are padded to the block."""
+    rows, end = encoded(spark, d)
+    full = rows.withColumn("tokens", arrays.padded(F.col("tokens"), 256, F.lit(end)))
+    out = encode.cropped_batches(full, 64, F.lit(end), F.col("idx").asc())
+    return out.select("idx", F.col("batch").cast("bigint").alias("batch"), "width", F.md5(F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",")).alias("tokens_md5"))
+
+
 def fingerprint(spark, d):
     rows, _ = encoded(spark, d)
     return encode.fingerprint(rows.select("split", "idx", "tokens", F.col("length").cast("int").alias("length"), "label"), "split")
@@ -131,7 +140,7 @@ def _hits(spark, d, n=13):
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("i"), arrays.shingle_hashes(F.col("text"), n).alias("set"))
     wanted = items.select(F.explode("set").alias("h")).distinct()
     corpus = read(spark, d, "documents").select(text.words(F.col("text")).alias("w")).where(F.size("w") >= n).select(F.explode(F.transform(arrays.shingles(F.col("w"), n), lambda s: F.xxhash64(s))).alias("h"))
-    return items, corpus.join(wanted, "h", "left_semi").distinct()
+    return items, membership.held(corpus, wanted).distinct()
 
 
 def _overlap(spark, d):
@@ -167,7 +176,7 @@ def contamination_report(spark, d):
     return out.select(F.coalesce("part", F.lit("all")).alias("part"), "n", "seen", "mean_share", F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"))
 
 
-QUERIES = {f.__name__: f for f in (null_rows, exact_dedup, label_conflicts, corpus_dedup, exact_leakage, jaccard_pairs, near_dup_leakage, label_disagreement, near_dup_summary, top_near_dups, near_dup_groups, near_dup_filter, stratified_split, split_summary, split_stats, integrity, fingerprint, contamination, overlap_fraction, contamination_report)}
+QUERIES = {f.__name__: f for f in (null_rows, exact_dedup, label_conflicts, corpus_dedup, exact_leakage, jaccard_pairs, near_dup_leakage, label_disagreement, near_dup_summary, top_near_dups, near_dup_groups, near_dup_filter, stratified_split, split_summary, split_stats, integrity, batch_crop, fingerprint, contamination, overlap_fraction, contamination_report)}
 
 _NORM = sql_norm("text")
 _SETS = f"sets AS (SELECT doc_id AS idx, {sql_shingles('w', 5)} AS s FROM (SELECT doc_id, {sql_message_words('text')} AS w FROM documents))"
@@ -232,9 +241,11 @@ ORACLES = {
     "split_stats": f"WITH {ENCODED} SELECT split, count(*) AS n, round(avg(label), 9) AS positive, round(avg(truncated::INTEGER), 9) AS truncated, trunc(quantile_cont(length, 0.5))::INTEGER AS median, trunc(quantile_cont(length, 0.9))::INTEGER AS p90 FROM encoded GROUP BY split",
     "integrity": f"""WITH {ENCODED}, v AS (SELECT count(*) AS e FROM vocabulary), rules AS (
       SELECT split, count(*) FILTER (NOT length BETWEEN 2 AND 200) AS "length", count(*) FILTER (length BETWEEN 2 AND 200 AND tokens[length] <> e) AS "end",
-        count(*) FILTER (len(list_filter(tokens, lambda t: t >= e - 499)) > 0) AS vocabulary, 0::BIGINT AS padding, count(*) FILTER (NOT label BETWEEN 0 AND 1) AS label,
+        count(*) FILTER (idx % 7 <> 0 AND length < 256 OR len(list_filter(tokens, lambda t: t >= e - 499)) > 0) AS vocabulary, count(*) FILTER (idx % 7 = 0 AND length < 256 AND e <> 0) AS padding, count(*) FILTER (NOT label BETWEEN 0 AND 1) AS label,
         count(*) FILTER (list_contains(tokens[1:length - 1], e)) AS "inner end" FROM (SELECT *, (SELECT e FROM v) AS e FROM encoded) GROUP BY split)
       UNPIVOT rules ON "length", "end", vocabulary, padding, label, "inner end" INTO NAME rule VALUE failures""",
+    "batch_crop": f"""WITH {ENCODED}, batched AS (SELECT *, (row_number() OVER (ORDER BY idx) - 1) // 64 AS batch FROM encoded), wide AS (SELECT *, max(length) OVER (PARTITION BY batch)::INTEGER AS width FROM batched)
+      SELECT idx, batch::BIGINT AS batch, width, md5(array_to_string(list_resize(tokens, width, (SELECT count(*) FROM vocabulary)), ',')) AS tokens_md5 FROM wide""",
     "fingerprint": f"""WITH {ENCODED}, digests AS (SELECT split, idx, md5(array_to_string(tokens, ',') || '|' || length::VARCHAR || '|' || label::VARCHAR) AS d FROM encoded),
       folded AS (SELECT split, idx // 1000 AS r, md5(string_agg(d, '' ORDER BY idx)) AS d FROM digests GROUP BY split, r),
       top AS (SELECT split, r, d FROM folded WHERE (SELECT max(idx) FROM encoded) >= 1000 UNION ALL SELECT split, idx, d FROM digests WHERE (SELECT max(idx) FROM encoded) < 1000)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import behaviour, metrics, runs
+from millrace.operators import behaviour, encode, membership, metrics, runs
 from millrace.plans.dedup_queries import SPLIT_SETS, by_split_sets
-from millrace.plans.inputs import CASES, ENCODED, SCORED, SPLIT, cases, encoded, read, scored, split_rows, sql_norm
+from millrace.plans.inputs import CASES, ENCODED, SCORED, SPLIT, VOCABULARY, cases, encoded, read, scored, split_rows, sql_norm, sql_words
+from millrace.plans.metric_queries import SQL_WILSON
 from millrace.sources import readers, sinks
-from millrace.storage import scratch_path
+from millrace.storage import scratch_path, written
+from millrace.streaming import tokens
 
 
 def _csv(spark, df, name):
@@ -113,25 +115,54 @@ def failure_lines(spark, d):
     return sinks.failure_lines(behaviour.paired(edited, score), 0.5)
 
 
-def contamination_by_split(spark, d, n=13, seen_at=0.5):
-    """By split and label, and over all labels: messages seen in the corpus, and in its validation part."""
+def _seen_shares(spark, d, n):
+    """(idx, split, label, train, val): the share of each labelled document's shingles that either part of the corpus has."""
     sets, corpus = by_split_sets(spark, d, n)
     wanted = sets.select(F.explode("set").alias("h")).distinct()
-    hits = corpus.join(wanted, "h", "left_semi").groupBy("h").agg(F.max("train").alias("train"), F.max("val").alias("val"))
+    hits = membership.held(corpus, wanted).groupBy("h").agg(F.max("train").alias("train"), F.max("val").alias("val"))
     each = sets.select("idx", "split", "label", F.explode_outer("set").alias("h")).join(hits, "h", "left")
     share = lambda c: F.coalesce(F.avg(F.when(F.col("h").isNotNull(), F.coalesce(F.col(c), F.lit(0)))), F.lit(0.0))
-    rows = each.groupBy("idx", "split", "label").agg(share("train").alias("train"), share("val").alias("val"))
-    out = rows.select("split", F.explode(F.array(text.label_name(F.col("label")), F.lit("all"))).alias("label"), "train", "val")
+    return each.groupBy("idx", "split", "label").agg(share("train").alias("train"), share("val").alias("val"))
+
+
+def contamination_by_split(spark, d, n=13, seen_at=0.5):
+    """By split and label, and over all labels: messages seen in the corpus, and in its validation part."""
+    out = _seen_shares(spark, d, n).select("split", F.explode(F.array(text.label_name(F.col("label")), F.lit("all"))).alias("label"), "train", "val")
     return out.groupBy("split", "label").agg(F.count("*").alias("n"), F.count_if(F.col("train") >= seen_at).alias("seen"), F.count_if(F.col("val") >= seen_at).alias("seen_in_val"), F.round(F.avg("train"), 9).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (csv_messages, csv_bodies, whole_files, split_table, guarded_checks, case_file, prompt_file, run_file, single_message, error_lines, failure_lines, contamination_by_split)}
+def exposure_report(spark, d, n=13):
+    """Decisions by label and by whether the corpus has half of the message: the contamination check's shares beside the scores."""
+    shares = _seen_shares(spark, d, n).select("idx", F.col("train").alias("seen_share"))
+    out = metrics.exposure_report(scored(spark, d).join(shares, "idx"), 0.5)
+    return out.select("label", "seen", "n", "flagged", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+
+
+def appended_tokens(spark, d):
+    """Documents as a stream of files, one in each micro-batch, appended to a token cache and read back."""
+    source, cache = scratch_path(spark, "stream-files"), scratch_path(spark, "token-stream")
+    docs = written(read(spark, d, "documents").select("doc_id", "text"), "stream-documents")
+    cuts = [0, *docs.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01), float("inf")]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):  # one file after the other, as they would arrive
+        docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi)).coalesce(1).write.mode("append").parquet(source)
+    words = written(encode.word_vocabulary(docs, "text"), "vocabulary")
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    tokens.append_tokens(arriving, cache, f"{cache}-checkpoint", words, words.count()).awaitTermination()
+    got = tokens.read_appended(spark, cache)
+    return got.groupBy(F.floor(F.col("pos") / 1000).alias("range")).agg(F.count("*").alias("n"), F.sum("token").cast("bigint").alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (csv_messages, csv_bodies, whole_files, split_table, guarded_checks, case_file, prompt_file, run_file, single_message, error_lines, failure_lines, contamination_by_split, exposure_report, appended_tokens)}
 
 _BARE = lambda e: f"CASE WHEN starts_with({e}, 'Subject:') THEN substr({e}, 9) ELSE {e} END"
 _UNIT = lambda e: f"(CAST('0x' || substr(md5({e}), 1, 8) AS BIGINT)::DOUBLE / 4294967295e0)"
 _SPACES = f"[{text.SPACES}]"
 _CLEAN = lambda e: f"regexp_replace(replace({e}, chr(13) || chr(10), chr(10)), '^{_SPACES}+|{_SPACES}+$', '', 'g')"
 _SEEN = lambda b: f"array_to_string(string_split('Subject: ' || {sql_norm(b)}, ' ')[1:255], ' ')"
+_SHARES = f"""{SPLIT_SETS},
+      hits AS (SELECT sh, max(train) AS train, max(val) AS val FROM corpus GROUP BY sh), each AS (SELECT idx, split, label, unnest(s) AS sh FROM messages),
+      shares AS (SELECT m.idx, m.split, m.label, coalesce(avg(CASE WHEN e.sh IS NOT NULL THEN coalesce(h.train, 0) END), 0) AS train, coalesce(avg(CASE WHEN e.sh IS NOT NULL THEN coalesce(h.val, 0) END), 0) AS val
+        FROM messages m LEFT JOIN each e ON e.idx = m.idx LEFT JOIN hits h ON h.sh = e.sh GROUP BY ALL)"""
 ORACLES = {
     "csv_messages": f"SELECT md5('Subject: ' || t) AS text_md5, spam, count(*) AS n FROM (SELECT {sql_norm(_BARE('text'))} AS t, toxic::INTEGER AS spam FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND toxic IS NOT NULL) WHERE t <> '' GROUP BY ALL",
     "csv_bodies": "SELECT md5(text) AS body_md5 FROM benchmark",
@@ -149,10 +180,13 @@ ORACLES = {
         UNION ALL SELECT 'warm start', case_id, subject || ' ' || body, subject || ' ' || '{behaviour.OPENER.replace("'", "''").replace(chr(10), "' || chr(10) || '")}' || body FROM cases WHERE label = 1),
       x AS (SELECT edit, case_id, {_SEEN('a')} AS x0, {_SEEN('b')} AS x1 FROM edited), p AS (SELECT *, {_UNIT('x0')} AS p0, {_UNIT('x1')} AS p1 FROM x)
       SELECT edit, case_id, edit || ': ' || case_id || ' ' || format('{{:.3f}}', p0) || ' -> ' || format('{{:.3f}}', p1) AS line FROM p WHERE (p0 >= 0.5e0) <> (p1 >= 0.5e0) AND x0 <> x1""",
-    "contamination_by_split": f"""WITH {SPLIT_SETS},
-      hits AS (SELECT sh, max(train) AS train, max(val) AS val FROM corpus GROUP BY sh), each AS (SELECT idx, split, label, unnest(s) AS sh FROM messages),
-      shares AS (SELECT m.idx, m.split, m.label, coalesce(avg(CASE WHEN e.sh IS NOT NULL THEN coalesce(h.train, 0) END), 0) AS train, coalesce(avg(CASE WHEN e.sh IS NOT NULL THEN coalesce(h.val, 0) END), 0) AS val
-        FROM messages m LEFT JOIN each e ON e.idx = m.idx LEFT JOIN hits h ON h.sh = e.sh GROUP BY ALL),
-      lines AS (SELECT split, unnest([CASE label WHEN 0 THEN 'legitimate' ELSE 'spam' END, 'all']) AS label, train, val FROM shares)
+    "contamination_by_split": f"""WITH {_SHARES}, lines AS (SELECT split, unnest([CASE label WHEN 0 THEN 'legitimate' ELSE 'spam' END, 'all']) AS label, train, val FROM shares)
       SELECT split, label, count(*) AS n, count(*) FILTER (train >= 0.5e0) AS seen, count(*) FILTER (val >= 0.5e0) AS seen_in_val, round(avg(train), 9) AS mean_share FROM lines GROUP BY ALL""",
+    "exposure_report": f"""WITH {_SHARES}, {SCORED}, exposed AS (SELECT s.label, s.prob, train >= 0.5e0 AS seen FROM scored s JOIN shares USING (idx)), cells AS (SELECT l AS label, s AS seen FROM (VALUES (0), (1)) a(l), (VALUES (true), (false)) b(s)),
+      c AS (SELECT g.label, g.seen, count(e.prob) AS n, count(*) FILTER (e.prob >= 0.5e0) AS flagged FROM cells g LEFT JOIN exposed e ON e.label = g.label AND e.seen = g.seen GROUP BY g.label, g.seen)
+      SELECT label, seen, n, flagged, round(lo, 9) AS lo, round(hi, 9) AS hi FROM (SELECT *, {SQL_WILSON} FROM (SELECT *, coalesce(flagged::DOUBLE / nullif(n, 0), 0) AS p FROM c))""",
+    "appended_tokens": f"""WITH {VOCABULARY}, worded AS (SELECT doc_id, {sql_words("text")} AS w FROM documents),
+      starts AS (SELECT doc_id, len(w) AS n, coalesce(sum(len(w) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM worded),
+      stream AS (SELECT start + k - 1 AS pos, id AS token FROM (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS k FROM worded) JOIN starts USING (doc_id) JOIN vocabulary USING (token) UNION ALL SELECT start + n, (SELECT count(*) FROM vocabulary) FROM starts)
+      SELECT pos // 1000 AS range, count(*) AS n, sum(token)::BIGINT AS total FROM stream GROUP BY 1""",
 }

@@ -26,13 +26,14 @@ def _stream(spark, d):
 def _models(spark, d):
     """Counts from the first 80 %, pairs to tune on from the next 10 %, windows of the last 10 %."""
     stream, words, end, n = _stream(spark, d)
-    train, val = lm.stream_split(stream, n)
+    pairs = written(lm.with_next(stream), "token-pairs")  # once; parts are ranges of it
     cut, tune_from = int(0.9 * n), int(0.8 * n)
-    counted, tune = train.where(F.col("pos") < tune_from), train.where(F.col("pos") >= tune_from)
+    counted = stream.where(F.col("pos") < tune_from)
+    between = lambda lo, hi: pairs.where((F.col("pos") >= lo) & (F.col("pos") + 1 < hi))
     ids = words.select("id").union(spark.range(end, end + 1))
     unigram = lm.unigram_counts(counted, ids)
-    counts = lm.bigram_counts(counted)
-    tuned = lm.tune_share(lm.pair_probabilities(lm.distinct_pairs(lm.with_next(tune)), unigram, counts))
+    counts = lm.bigram_counts(between(0, tune_from))
+    tuned = lm.tune_share(lm.pair_probabilities(lm.distinct_pairs(between(tune_from, cut)), unigram, counts))
 
     def scored(windows):
         """(bucket, b, uniform, unigram, bigram, n) of windows, one row for each distinct pair and bucket of positions."""
@@ -40,8 +41,8 @@ def _models(spark, d):
         rows = lm.pair_probabilities(pairs, unigram, counts).crossJoin(F.broadcast(tuned.select("lam")))
         return rows.select("bucket", "b", F.log(F.lit(float(end + 1))).alias("uniform"), (-F.log("p_uni")).alias("unigram"), lm.mixture_nll(F.col("lam")).alias("bigram"), "n")
 
-    windows = lm.lm_windows(val, cut, (n - cut - 1) // BLOCK, BLOCK)
-    return {"stream": stream, "words": words, "counted": counted, "unigram": unigram, "counts": counts, "tuned": tuned, "score": scored, "scored": scored(windows), "n": n, "end": end}
+    windows = lm.lm_windows(pairs, cut, (n - cut - 1) // BLOCK, BLOCK)
+    return {"stream": stream, "pairs": pairs, "words": words, "counted": counted, "unigram": unigram, "counts": counts, "tuned": tuned, "score": scored, "scored": scored(windows), "n": n, "end": end}
 
 
 def token_stream(spark, d):
@@ -57,7 +58,7 @@ def stream_split(spark, d):
 
 def lm_windows(spark, d):
     stream, _, _, n = _stream(spark, d)
-    return lm.lm_windows(stream, 0, (n - 1) // BLOCK, BLOCK).groupBy("window").agg(F.count("*").alias("n"), F.sum("a").cast("bigint").alias("inputs"), F.sum("b").cast("bigint").alias("targets"))
+    return lm.lm_windows(lm.with_next(stream), 0, (n - 1) // BLOCK, BLOCK).groupBy("window").agg(F.count("*").alias("n"), F.sum("a").cast("bigint").alias("inputs"), F.sum("b").cast("bigint").alias("targets"))
 
 
 SAMPLE = 5000
@@ -82,6 +83,12 @@ def bigram_lm(spark, d):
     return pairs.join(contexts, "a").select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), "c", "ca")
 
 
+def likeliest_next(spark, d):
+    """The five likeliest successors of each token, ties with the fifth kept."""
+    out = lm.likeliest_next(_models(spark, d)["counts"], 5)
+    return out.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), "c", F.round("prob", 9).alias("prob"))
+
+
 def bigram_lambda(spark, d):
     return _models(spark, d)["tuned"].select("lam", F.round("loss", 8).alias("loss"))
 
@@ -110,7 +117,7 @@ DRAWS = 20
 def random_batches(spark, d):
     """Inputs and targets of windows drawn at random from the training part."""
     stream, _, _, n = _stream(spark, d)
-    windows = lm.random_windows(stream, 0, int(0.9 * n), BLOCK, DRAWS)
+    windows = lm.random_windows(lm.with_next(stream), 0, int(0.9 * n), BLOCK, DRAWS)
     return windows.groupBy("draw").agg(F.count("*").alias("n"), F.sum("a").cast("bigint").alias("inputs"), F.sum("b").cast("bigint").alias("targets"))
 
 
@@ -119,7 +126,7 @@ def loss_estimate(spark, d):
     m = _models(spark, d)
     cut = int(0.9 * m["n"])
     parts = {"train": (0, cut), "val": (cut, m["n"])}
-    each = [m["score"](lm.random_windows(m["stream"], lo, hi, BLOCK, DRAWS)).agg(F.lit(k).alias("part"), F.round(lm.weighted("bigram"), 8).alias("loss")) for k, (lo, hi) in parts.items()]
+    each = [m["score"](lm.random_windows(m["pairs"], lo, hi, BLOCK, DRAWS)).agg(F.lit(k).alias("part"), F.round(lm.weighted("bigram"), 8).alias("loss")) for k, (lo, hi) in parts.items()]
     return each[0].union(each[1])
 
 
@@ -131,7 +138,7 @@ def token_cache(spark, d):
     return readers.read_tokens(spark, path, n // 4, n // 2).agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.sum("token").cast("bigint").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (random_batches, loss_estimate, token_cache, token_stream, stream_split, lm_windows, sample_tokens, unigram_lm, bigram_lm, bigram_lambda, ngram_baselines, lm_table, loss_by_position)}
+QUERIES = {f.__name__: f for f in (random_batches, loss_estimate, token_cache, token_stream, stream_split, lm_windows, sample_tokens, unigram_lm, bigram_lm, likeliest_next, bigram_lambda, ngram_baselines, lm_table, loss_by_position)}
 
 _STREAM = f"""{VOCABULARY}, worded AS (SELECT doc_id, {sql_words("text")} AS w FROM documents),
   starts AS (SELECT doc_id, len(w) AS n, coalesce(sum(len(w) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM worded),
@@ -157,6 +164,7 @@ ORACLES = {
     "sample_tokens": f"WITH {_STREAM} SELECT doc_id, count(*) AS n FROM stream WHERE pos < 5000 GROUP BY doc_id",
     "unigram_lm": f"WITH {_MODELS} SELECT token, c, round(prob, 12) AS prob FROM unigram",
     "bigram_lm": f"WITH {_MODELS} SELECT a, b, c, ca FROM pairs JOIN contexts USING (a)",
+    "likeliest_next": f"WITH {_MODELS}, kept AS (SELECT * FROM pairs QUALIFY rank() OVER (PARTITION BY a ORDER BY c DESC) <= 5) SELECT a, b, c, round(c::DOUBLE / sum(c) OVER (PARTITION BY a), 9) AS prob FROM kept",
     "bigram_lambda": f"WITH {_MODELS} SELECT lam, round(loss, 8) AS loss FROM tuned",
     "ngram_baselines": f"WITH {_MODELS} SELECT 'uniform' AS model, round(avg(uniform), 8) AS loss FROM scored UNION ALL SELECT 'unigram', round(avg(unigram), 8) FROM scored UNION ALL SELECT 'bigram', round(avg(bigram), 8) FROM scored",
     "lm_table": f"WITH {_MODELS} SELECT round(avg(bigram), 8) AS loss, round(exp(avg(bigram)), 4) AS perplexity, round(sum(bigram) / ln(2e0) / sum(coalesce(strlen(v.token), 0)), 8) AS bits_per_byte FROM scored LEFT JOIN vocabulary v ON v.id = scored.b",

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import behaviour, encode, metrics, runs
-from millrace.plans.inputs import CASES, SCORED, cases, read, scored, sql_norm, sql_score, sql_uniform, stand_in_score, uniform
+from millrace.operators import behaviour, metrics, runs, scorers
+from millrace.plans.inputs import CASES, SCORED, cases, read, scored, split_rows, sql_norm, sql_score, sql_uniform, stand_in_score, uniform
+from millrace.storage import written
 
 T = 0.5
 REPLICATES = 1000
@@ -51,9 +52,11 @@ def choose_threshold(spark, d):
 
 
 def wilson(spark, d):
-    rows = spark.range(0, 21).select(F.col("id").alias("k")).crossJoin(spark.createDataFrame([(0,), (20,), (100,)], "n bigint")).where("k <= n")
+    """The interval of each label's share among every source's documents; sources without labelled rows have the whole range."""
+    rows = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    counts = rows.groupBy("source").agg(F.count_if(F.col("toxic") == 1).alias("k"), F.count("toxic").alias("n"))
     lo, hi = metrics.wilson(F.col("k"), F.col("n"))
-    return _rounded(rows.select("k", "n", lo.alias("lo"), hi.alias("hi")))
+    return _rounded(counts.select("source", "k", "n", lo.alias("lo"), hi.alias("hi")))
 
 
 def mcnemar(spark, d):
@@ -64,16 +67,27 @@ def mcnemar(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    rows = encode.ranked(scored(spark, d), "place", F.col("idx").asc()).select(F.col("place").alias("idx"), "prob", "label")
-    return _rounded(metrics.bootstrap(rows, T, REPLICATES))
+    return _rounded(metrics.bootstrap(scored(spark, d), T, REPLICATES))
 
 
-def _exposed(spark, d):
-    return scored(spark, d).withColumn("seen_share", uniform(F.concat(F.lit("seen"), F.col("idx").cast("string"))))
+def metrics_report(spark, d):
+    """The whole report: each metric with its interval."""
+    return _rounded(metrics.metrics_report(scored(spark, d), T, REPLICATES))
 
 
-def exposure_report(spark, d):
-    return _rounded(metrics.exposure_report(_exposed(spark, d), T))
+def tfidf_metrics(spark, d):
+    """The baseline fitted on the training part with its threshold from the validation part, on the test part."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.array_join(F.slice(text.words(F.col("text")), 1, 255), " ").alias("text"))
+    rows = written(docs.join(split_rows(spark, d), "idx"), "baseline-rows")
+    part = lambda name: rows.where(F.col("split") == name).select("idx", "text", "label")
+    model = scorers.TfIdfBaseline().fit(part("train"), part("val"))
+    return metrics.all_metrics(model(part("test")), model.threshold)
+
+
+def challenge_report(spark, d):
+    """The whole challenge report: flagged cases by label, right ones by tag, edits that must not and that may only one way change a decision."""
+    rows, pairs = _scored_cases(spark, d), _pairs(spark, d)
+    return behaviour.report(rows, pairs, T)
 
 
 def error_report(spark, d):
@@ -135,7 +149,8 @@ def _second(spark, d):
 
 
 def run_agreement(spark, d):
-    return _rounded(runs.run_agreement(scored(spark, d), _second(spark, d), T, T))
+    a, b = scored(spark, d), _second(spark, d)
+    return _rounded(runs.run_agreement(a, b, T, T).crossJoin(runs.same_split(a, b)).where("same_split").drop("same_split"))
 
 
 def _wrong(df):
@@ -189,8 +204,12 @@ def run_sections(spark, d):
 
 
 def failing_gate(spark, d):
-    """The gate with a language model that got worse and a split of another fingerprint."""
-    worse = _facts(spark, d).withColumns({"same_split": F.lit("a") == F.lit("b"), "perplexity_a": F.lit(50.0), "perplexity_b": F.lit(50.0) * (1 + F.col("agreement") / 20)})
+    """The gate with a language model that got worse and a second run on a split in which one label is another one."""
+    b = _second(spark, d)
+    changed = b.agg(F.min("idx").alias("one"))
+    b = b.crossJoin(F.broadcast(changed)).withColumn("label", F.when(F.col("idx") == F.col("one"), 1 - F.col("label")).otherwise(F.col("label")))
+    same = runs.same_split(scored(spark, d), b)
+    worse = _facts(spark, d).drop("same_split").crossJoin(same).withColumns({"perplexity_a": F.lit(50.0), "perplexity_b": F.lit(50.0) * (1 + F.col("agreement") / 20)})
     return runs.gate(worse)
 
 
@@ -203,7 +222,7 @@ def _facts(spark, d):
         runs.challenge_changes(wrong_a, wrong_b).agg(F.count("*").alias("changed")),
     ]
     one = reduce(lambda x, y: x.crossJoin(y), parts)  # rows of one row each
-    return one.select("*", F.lit(True).alias("same_split"), F.lit(None).cast("double").alias("perplexity_a"), F.lit(None).cast("double").alias("perplexity_b"))
+    return one.crossJoin(runs.same_split(a, b)).select("*", F.lit(None).cast("double").alias("perplexity_a"), F.lit(None).cast("double").alias("perplexity_b"))
 
 
 def gate(spark, d):
@@ -224,7 +243,7 @@ def run_json(spark, d):
     return m.select(runs.run_document(accuracy=runs.saved(F.col("accuracy")), tp=F.col("tp"), fp=F.col("fp")).alias("document"))
 
 
-QUERIES = {f.__name__: f for f in (binary_metrics, brier, ece, roc_auc, pr_auc, recall_at_fpr, all_metrics, choose_threshold, wilson, mcnemar, bootstrap_ci, exposure_report, error_report, class_weights, confusion_by_source, by_tag, flag_rates, edges_fine, perturb, invariance, directional, run_agreement, challenge_changes, tags_diff, metric_deltas, error_deltas, speed_and_lm, run_sections, failing_gate, gate, gate_verdict, run_spread, run_json)}
+QUERIES = {f.__name__: f for f in (binary_metrics, brier, ece, roc_auc, pr_auc, recall_at_fpr, all_metrics, choose_threshold, wilson, mcnemar, bootstrap_ci, metrics_report, tfidf_metrics, challenge_report, error_report, class_weights, confusion_by_source, by_tag, flag_rates, edges_fine, perturb, invariance, directional, run_agreement, challenge_changes, tags_diff, metric_deltas, error_deltas, speed_and_lm, run_sections, failing_gate, gate, gate_verdict, run_spread, run_json)}
 
 _COUNTS = "count(*) FILTER (prob >= {t} AND label = 1) AS tp, count(*) FILTER (prob >= {t} AND label = 0) AS fp, count(*) FILTER (prob < {t} AND label = 1) AS fn, count(*) FILTER (prob < {t} AND label = 0) AS tn"
 _C = _COUNTS.format(t="0.5e0")
@@ -245,7 +264,7 @@ _RANK = f"""{SCORED}, byscore AS (SELECT prob, count(*) FILTER (label = 1) AS p,
   ranking AS (SELECT sum(p * (nn - fp + n / 2e0)) / any_value(pp) / any_value(nn) AS roc_auc, sum(p * tp / (tp + fp)) / any_value(pp) AS pr_auc,
     coalesce(max(tp / pp) FILTER (fp / nn <= 0.01e0), 0) AS recall_at_fpr FROM down)"""
 _ECE = "(SELECT sum(abs(p - y)) / sum(n) AS ece FROM (SELECT sum(prob) AS p, sum(label) AS y, count(*) AS n FROM scored GROUP BY least(floor(prob * 10), 9)))"
-_WIL = "CASE WHEN n = 0 THEN 0e0 ELSE greatest(0e0, ((p + 3.8416e0 / (2e0 * n)) - 1.96e0 * sqrt(p * (1 - p) / n + 3.8416e0 / (4e0 * n * n))) / (1 + 3.8416e0 / n)) END AS lo, CASE WHEN n = 0 THEN 1e0 ELSE least(1e0, ((p + 3.8416e0 / (2e0 * n)) + 1.96e0 * sqrt(p * (1 - p) / n + 3.8416e0 / (4e0 * n * n))) / (1 + 3.8416e0 / n)) END AS hi"
+SQL_WILSON = _WIL = "CASE WHEN n = 0 THEN 0e0 ELSE greatest(0e0, ((p + 3.8416e0 / (2e0 * n)) - 1.96e0 * sqrt(p * (1 - p) / n + 3.8416e0 / (4e0 * n * n))) / (1 + 3.8416e0 / n)) END AS lo, CASE WHEN n = 0 THEN 1e0 ELSE least(1e0, ((p + 3.8416e0 / (2e0 * n)) + 1.96e0 * sqrt(p * (1 - p) / n + 3.8416e0 / (4e0 * n * n))) / (1 + 3.8416e0 / n)) END AS hi"
 _B = f"other AS (SELECT doc_id AS idx, {sql_score(chr(39) + 'b' + chr(39) + ' || doc_id::VARCHAR', 'toxic')} AS prob, toxic::INTEGER AS label FROM labels)"
 _SECOND = f"{SCORED}, {_B}, second AS (SELECT s.idx, CASE WHEN s.idx % 50 = 1 THEN o.prob ELSE s.prob END AS prob, s.label FROM scored s JOIN other o USING (idx))"
 _WRONGS = f"{_SECOND}, wrong_a AS (SELECT idx AS case_id FROM scored WHERE (prob >= 0.5e0) <> (label = 1)), wrong_b AS (SELECT idx AS case_id FROM second WHERE (prob >= 0.5e0) <> (label = 1)), changes AS (SELECT case_id, 'newly wrong' AS change FROM wrong_b ANTI JOIN wrong_a USING (case_id) UNION ALL SELECT case_id, 'newly right' FROM wrong_a ANTI JOIN wrong_b USING (case_id))"
@@ -290,6 +309,19 @@ def _longer(table: str) -> str:
     return f"(UNPIVOT (SELECT {', '.join(_M)} FROM {_derived(f'(SELECT {_C} FROM {table})')}) ON {', '.join(_M)} INTO NAME metric VALUE value)"
 
 
+_UNIT = lambda e: f"CAST('0x' || substr(md5({e}), 1, 8) AS BIGINT)"
+_P = metrics.PRIME
+_BOOTSTRAP = f"""{SCORED}, reps AS (SELECT rep, 1 + {_UNIT("'0:a:' || rep::VARCHAR")} % {_P - 1} AS a, {_UNIT("'0:b:' || rep::VARCHAR")} % {_P} AS b FROM range({REPLICATES}) r(rep)),
+      draws AS (SELECT rep, prob, label, (a * ({_UNIT("'0:' || idx::VARCHAR")} % {_P}) + b) % {_P} AS u FROM scored, reps),
+      sample AS (SELECT rep, prob, label, least(floor(prob * 10000), 9999) AS bin, {' + '.join(f'(u >= {k})::INTEGER' for k in metrics.LIMITS)} AS w FROM draws WHERE u >= {metrics.LIMITS[0]}),
+      bybin AS (SELECT rep, bin, coalesce(sum(w) FILTER (label = 1), 0) AS p, coalesce(sum(w) FILTER (label = 0), 0) AS n FROM sample GROUP BY rep, bin),
+      downwards AS (SELECT *, sum(p) OVER (PARTITION BY rep ORDER BY bin DESC)::DOUBLE AS tp, sum(n) OVER (PARTITION BY rep ORDER BY bin DESC)::DOUBLE AS fp, sum(p) OVER (PARTITION BY rep)::DOUBLE AS pp, sum(n) OVER (PARTITION BY rep)::DOUBLE AS nn FROM bybin),
+      rankings AS (SELECT rep, sum(p * (nn - fp + n / 2e0)) / any_value(pp) / any_value(nn) AS roc_auc, sum(p * tp / (tp + fp)) / any_value(pp) AS pr_auc, coalesce(max(tp / pp) FILTER (fp / nn <= 0.01e0), 0) AS recall_at_fpr FROM downwards WHERE pp > 0 AND nn > 0 GROUP BY rep),
+      calibration AS (SELECT rep, sum(abs(p - y)) / sum(n) AS ece FROM (SELECT rep, sum(w * prob) AS p, sum(w * label) AS y, sum(w) AS n FROM sample GROUP BY rep, least(floor(prob * 10), 9)) GROUP BY rep),
+      counted AS (SELECT rep, {', '.join(f"coalesce(sum(w) FILTER (prob {o} 0.5e0 AND label = {y}), 0) AS {k}" for k, o, y in (('tp', '>=', 1), ('fp', '>=', 0), ('fn', '<', 1), ('tn', '<', 0)))}, sum(w * (prob - label) * (prob - label)) / sum(w) AS brier FROM sample GROUP BY rep),
+      resampled AS (SELECT rep, {', '.join(_M)}, roc_auc, pr_auc, recall_at_fpr, brier, ece FROM {_derived('counted')} JOIN rankings USING (rep) JOIN calibration USING (rep)),
+      long AS (UNPIVOT resampled ON {', '.join(_M)}, roc_auc, pr_auc, recall_at_fpr, brier, ece INTO NAME metric VALUE value),
+      ci AS (SELECT metric, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM long GROUP BY metric)"""
 ORACLES = {
     "binary_metrics": f"WITH {SCORED} SELECT 0.5e0 AS threshold, tp, fp, fn, tn, {_round(*_M)} FROM {_derived(f'(SELECT {_C} FROM scored)')}",
     "brier": f"WITH {SCORED} SELECT round(avg((prob - label) * (prob - label)), 9) AS brier FROM scored",
@@ -299,22 +331,12 @@ ORACLES = {
     "choose_threshold": f"""WITH {SCORED}, cuts AS (SELECT k, k / 100e0 AS cut FROM range(1, 100) t(k)), swept AS (SELECT k, {_COUNTS.format(t='cut')} FROM cuts, scored GROUP BY k),
       scores AS (SELECT k, fbeta FROM {_derived('swept')}), tied AS (SELECT k, k - row_number() OVER (ORDER BY k) AS run FROM scores WHERE abs(fbeta - (SELECT max(fbeta) FROM scores)) <= 1e-8 + 1e-5 * (SELECT max(fbeta) FROM scores)),
       runs AS (SELECT count(*) AS n, min(k) AS f FROM tied GROUP BY run ORDER BY n DESC, f LIMIT 1) SELECT (f + n // 2) / 100e0 AS threshold, n AS tied FROM runs""",
-    "wilson": f"SELECT k, n, round(lo, 9) AS lo, round(hi, 9) AS hi FROM (SELECT k, n, {_WIL} FROM (SELECT k, n, coalesce(k::DOUBLE / nullif(n, 0), 0) AS p FROM range(0, 21) t(k), (VALUES (0::BIGINT), (20), (100)) s(n) WHERE k <= n))",
+    "wilson": f"SELECT source, k, n, round(lo, 9) AS lo, round(hi, 9) AS hi FROM (SELECT source, k, n, {_WIL} FROM (SELECT source, k, n, coalesce(k::DOUBLE / nullif(n, 0), 0) AS p FROM (SELECT source, count(*) FILTER (toxic = 1) AS k, count(toxic) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)))",
     "mcnemar": f"""WITH {SCORED}, {_B}, c AS (SELECT count(*) FILTER (a AND NOT b) AS a_only, count(*) FILTER (b AND NOT a) AS b_only FROM (SELECT (s.prob >= 0.5e0) = (s.label = 1) AS a, (o.prob >= 0.5e0) = (o.label = 1) AS b FROM scored s JOIN other o USING (idx)))
       SELECT a_only, b_only, round(CASE WHEN a_only + b_only = 0 THEN 1e0 ELSE least(1e0, 2 * (SELECT sum(exp(lgamma(a_only + b_only + 1) - lgamma(k + 1) - lgamma(a_only + b_only - k + 1) - (a_only + b_only) * ln(2e0))) FROM range(0, 1000) t(k) WHERE k <= least(a_only, b_only))) END, 9) AS p FROM c""",
-    "bootstrap_ci": f"""WITH {SCORED}, numbered AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS i, prob, label FROM scored), size AS (SELECT count(*) AS n FROM numbered),
-      draws AS (SELECT rep, CAST('0x' || substr(md5('0:' || rep::VARCHAR || ':' || d.i::VARCHAR), 1, 8) AS BIGINT) % n AS i FROM range({REPLICATES}) r(rep), size, numbered d),
-      sample AS (SELECT rep, prob, label FROM draws JOIN numbered USING (i)),
-      byscore AS (SELECT rep, prob, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM sample GROUP BY rep, prob),
-      down AS (SELECT *, sum(p) OVER (PARTITION BY rep ORDER BY prob DESC)::DOUBLE AS tp, sum(n) OVER (PARTITION BY rep ORDER BY prob DESC)::DOUBLE AS fp, sum(p) OVER (PARTITION BY rep)::DOUBLE AS pp, sum(n) OVER (PARTITION BY rep)::DOUBLE AS nn FROM byscore),
-      ranking AS (SELECT rep, sum(p * (nn - fp + n / 2e0)) / any_value(pp) / any_value(nn) AS roc_auc, sum(p * tp / (tp + fp)) / any_value(pp) AS pr_auc, coalesce(max(tp / pp) FILTER (fp / nn <= 0.01e0), 0) AS recall_at_fpr FROM down GROUP BY rep),
-      calibration AS (SELECT rep, sum(abs(p - y)) / sum(n) AS ece FROM (SELECT rep, sum(prob) AS p, sum(label) AS y, count(*) AS n FROM sample GROUP BY rep, least(floor(prob * 10), 9)) GROUP BY rep),
-      m AS (SELECT rep, {', '.join(_M)}, roc_auc, pr_auc, recall_at_fpr, brier, ece FROM {_derived(f'(SELECT rep, {_C}, avg((prob - label) * (prob - label)) AS brier FROM sample GROUP BY rep)')} JOIN ranking USING (rep) JOIN calibration USING (rep) WHERE tp + fn > 0 AND fp + tn > 0),
-      long AS (UNPIVOT m ON {', '.join(_M)}, roc_auc, pr_auc, recall_at_fpr, brier, ece INTO NAME metric VALUE value)
-      SELECT metric, round(quantile_cont(value, 0.025), 9) AS lo, round(quantile_cont(value, 0.975), 9) AS hi FROM long GROUP BY metric""",
-    "exposure_report": f"""WITH {SCORED}, e AS (SELECT label, prob, {sql_uniform("'seen' || idx::VARCHAR")} >= 0.5e0 AS seen FROM scored), grid AS (SELECT l AS label, s AS seen FROM (VALUES (0), (1)) a(l), (VALUES (true), (false)) b(s)),
-      c AS (SELECT g.label, g.seen, count(e.prob) AS n, count(*) FILTER (e.prob >= 0.5e0) AS flagged FROM grid g LEFT JOIN e ON e.label = g.label AND e.seen = g.seen GROUP BY g.label, g.seen)
-      SELECT label, seen, n, flagged, {_round('lo', 'hi')} FROM (SELECT *, {_WIL} FROM (SELECT *, coalesce(flagged::DOUBLE / nullif(n, 0), 0) AS p FROM c))""",
+    "bootstrap_ci": f"WITH {_BOOTSTRAP} SELECT metric, round(lo, 9) AS lo, round(hi, 9) AS hi FROM ci",
+    "metrics_report": f"""WITH {_RANK}, {_BOOTSTRAP.removeprefix(SCORED + ', ')}, wide AS (SELECT {', '.join(_M)}, roc_auc, pr_auc, recall_at_fpr, brier, ece FROM {_derived(f'(SELECT {_C} FROM scored)')}, ranking, (SELECT avg((prob - label) * (prob - label)) AS brier FROM scored), {_ECE}),
+      tall AS (UNPIVOT wide ON {', '.join(_M)}, roc_auc, pr_auc, recall_at_fpr, brier, ece INTO NAME metric VALUE value) SELECT metric, round(value, 9) AS value, round(lo, 9) AS lo, round(hi, 9) AS hi FROM tall JOIN ci USING (metric)""",
     "error_report": f"""WITH {SCORED}, k AS (SELECT *, CASE WHEN prob >= 0.5e0 AND label = 0 THEN 'false positive' WHEN prob < 0.5e0 AND label = 1 THEN 'false negative' ELSE 'near miss' END AS kind FROM scored),
       o AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE kind WHEN 'false positive' THEN -prob WHEN 'false negative' THEN prob ELSE abs(prob - 0.5e0) END, idx)::INTEGER AS rank FROM k)
       SELECT kind, rank, idx, label, prob FROM o WHERE kind <> 'near miss' OR rank <= 10""",
@@ -324,6 +346,11 @@ ORACLES = {
     "flag_rates": f"WITH {CASES}, c AS (SELECT label, count(*) AS n, count(*) FILTER (prob >= 0.5e0) AS flagged FROM {_cases_scored()} GROUP BY label), w AS (SELECT *, {_WIL} FROM (SELECT *, flagged::DOUBLE / n AS p FROM c)) SELECT label, n, flagged, flagged::VARCHAR || '/' || n::VARCHAR || ' [' || floor(lo * 1000)::BIGINT::VARCHAR || '-' || floor(hi * 1000)::BIGINT::VARCHAR || ']' AS shown FROM w",
     "edges_fine": f"WITH {CASES} SELECT bool_and(prob BETWEEN 0 AND 1) AS fine FROM {_cases_scored()}",
     "perturb": f"WITH {_PERTURB} SELECT edit, case_id, md5(new_subject) AS subject_md5, md5(new_body) AS body_md5 FROM perturbed",
+    "challenge_report": f"""WITH {_PAIRED}, names AS (SELECT unnest([{', '.join(chr(39) + e.name + chr(39) for e in _EDITS if not e.direction)}]) AS edit), right_cases AS (SELECT *, (prob >= 0.5e0) = (label = 1) AS good FROM {_cases_scored()})
+      SELECT 'flagged' AS section, CASE label WHEN 0 THEN 'legitimate' ELSE 'spam' END AS name, count(*) AS n, NULL::BIGINT AS unchanged, count(*) FILTER (prob >= 0.5e0) AS k FROM right_cases GROUP BY label
+      UNION ALL SELECT 'tag', tag, count(*), NULL, count(*) FILTER (good) FROM (SELECT unnest(tags) AS tag, good FROM right_cases) GROUP BY tag
+      UNION ALL SELECT 'invariance', n.edit, count(p.p0), count(*) FILTER (same), count(*) FILTER ((p0 >= 0.5e0) <> (p1 >= 0.5e0) AND NOT same) FROM names n LEFT JOIN pairs p ON p.edit = n.edit GROUP BY n.edit
+      UNION ALL SELECT 'direction', 'appeal', count(*), count(*) FILTER (same), count(*) FILTER (p1 - p0 < -0.05e0 AND NOT same) FROM pairs WHERE edit = 'appeal'""",
     "invariance": f"WITH {_PAIRED}, names AS (SELECT unnest([{', '.join(chr(39) + e.name + chr(39) for e in _EDITS if not e.direction)}]) AS edit) SELECT n.edit, count(p.p0) AS n, count(*) FILTER (same) AS unchanged, count(*) FILTER ((p0 >= 0.5e0) <> (p1 >= 0.5e0) AND NOT same) AS flips FROM names n LEFT JOIN pairs p ON p.edit = n.edit GROUP BY n.edit",
     "directional": f"WITH {_PAIRED} SELECT 'appeal' AS edit, count(*) AS n, count(*) FILTER (same) AS unchanged, count(*) FILTER (p1 - p0 < -0.05e0 AND NOT same) AS wrong_way, round(coalesce(avg(p1 - p0) FILTER (NOT same), 0), 9) AS mean_delta, count(*) FILTER (p1 >= 0.5e0 AND p0 < 0.5e0) AS now_spam FROM pairs WHERE edit = 'appeal'",
     "run_agreement": f"WITH {_SECOND}, {_AGREE} SELECT round(agreement, 9) AS agreement, changed, round(mean_abs_dp, 9) AS mean_abs_dp, round(max_abs_dp, 9) AS max_abs_dp FROM agree",

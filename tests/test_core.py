@@ -197,12 +197,13 @@ def test_behaviour(spark):
 def test_bigram_model_learns_a_cycle(spark):
     stream = spark.range(2000).select(F.col("id").alias("pos"), (F.col("id") % 4).cast("int").alias("token"))
     vocab = spark.range(10)
-    uni, counts = lm.unigram_counts(stream, vocab), lm.bigram_counts(stream)
-    scored_pairs = lm.pair_probabilities(lm.distinct_pairs(lm.with_next(stream)), uni, counts)
+    pairs = lm.with_next(stream)
+    uni, counts = lm.unigram_counts(stream, vocab), lm.bigram_counts(pairs)
+    scored_pairs = lm.pair_probabilities(lm.distinct_pairs(pairs), uni, counts)
     best = lm.tune_share(scored_pairs).first()
     assert best.lam == 0.95 and best.loss < 0.1
     assert math.isclose(scored_pairs.agg(lm.weighted(-F.log("p_uni"))).first()[0], math.log(4), abs_tol=0.01)
-    w = lm.lm_windows(stream, 0, 2, 5).where("window = 1").orderBy("at").collect()
+    w = lm.lm_windows(pairs, 0, 2, 5).where("window = 1").orderBy("at").collect()
     assert [(r.a, r.b) for r in w] == [(i % 4, (i + 1) % 4) for i in range(5, 10)]
 
 
@@ -247,10 +248,10 @@ def test_token_cache_blocks_and_edge_inputs(spark, tmp_path):
     assert encode.fits_block(rows, "tokens", 3).count() == 2
     with pytest.raises(Exception, match="more than 2 tokens"):
         encode.fits_block(rows, "tokens", 2).collect()
-    windows = lm.random_windows(stream, 0, 100, 8, 3).groupBy("draw").agg(F.count("*").alias("n"), F.max("a").alias("top")).collect()
+    windows = lm.random_windows(lm.with_next(stream), 0, 100, 8, 3).groupBy("draw").agg(F.count("*").alias("n"), F.max("a").alias("top")).collect()
     assert len(windows) == 3 and all(r.n == 8 and r.top < 7 for r in windows)
     with pytest.raises(ValueError, match="doesn't fit"):
-        lm.random_windows(stream, 0, 8, 8, 1)
+        lm.random_windows(lm.with_next(stream), 0, 8, 8, 1)
     assert behaviour.edge_inputs(spark).count() == 4
     assert readers.one_message(spark, stdin=io.StringIO("from a pipe")).first().body == "from a pipe"
 
