@@ -8,8 +8,10 @@ A template's phrases in braces, which name the license and its version, must sta
 word for word; the rest may miss up to 1 - COVERAGE of the template's words. Windows are opened
 where a template's first phrase stands. One without a phrase can only reach the wanted coverage if
 one of its seed words is there: its longest words, as many as exceed what may be missing. So all
-texts are scanned whole at little cost and no notice of that coverage is lost to the filter. Of
-notices that overlap, the one with the most words aligned is reported.
+texts are scanned whole at little cost and no notice of that coverage is lost to the filter. Between two
+phrases of a template no more than JUMP words may stand that align with nothing, so that no notice reaches
+over another. Of notices that overlap, the one with the most words aligned is reported, unless the words
+that lead up to it deny it ("not licensed under the").
 
 Defined cases: a null or empty text has no notice; a notice that a document holds several times
 gives a row each time; rows that share a doc_id, or repeat each other, are scanned each; nothing is
@@ -65,15 +67,18 @@ distribute this software, either in source code form or as a compiled binary, fo
 _GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
 _GNU_VERSIONS = [("GPL", "2", "2.0", "June 1991"), ("GPL", "3", "3.0", "29 June 2007"), ("LGPL", "2.1", "2.1", "February 1999"), ("LGPL", "3", "3.0", "29 June 2007"), ("AGPL", "3", "3.0", "19 November 2007")]
 _CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
+_SPDX = ["MIT", "ISC", "Unlicense", "Apache-2.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", *(f"{k}-{spdx}" for k, _, spdx, _ in _GNU_VERSIONS), *(f"CC-{k}-{v}" for k in _CC for v in _CC_VERSIONS)]
 TEMPLATES = [
-    ("Apache-2.0", "line", "Licensed under the {Apache License, Version 2.0}."),
+    *((spdx, "identifier", f"{{SPDX-License-Identifier: {spdx}}}") for spdx in _SPDX),
+    *(("Apache-2.0", "line", f"{{{name}}}") for name in ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License")),
     ("Apache-2.0", "title", "{Apache License Version 2.0, January 2004}"),
     ("Apache-2.0", "header", """Licensed under the {Apache License, Version 2.0} (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required
 by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
 WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
 and limitations under the License."""),
-    *((name, "line", f"{verb} under the {{{name} License}}.") for name in ("MIT", "ISC") for verb in ("Released", "Licensed")),
+    *((name, "line", f"{{{name} License}}") for name in ("MIT", "ISC")),
     ("MIT", "grant", _GRANT),
     ("MIT", "text", f"{_GRANT} {_WARRANTY}"),
     ("ISC", "text", f"""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
@@ -85,14 +90,28 @@ with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
     ("BSD-2-Clause OR BSD-3-Clause", "line", _BSD_USE),
     ("BSD-2-Clause", "text", f"{_BSD_TWO} {_BSD_END}"),
     ("BSD-3-Clause", "text", f"{_BSD_TWO} {{Neither the name of}} {_BSD_THREE.removeprefix('3. Neither the name of')} {_BSD_END}"),
-    *((f"BSD-{n}-Clause", "line", f"Licensed under the {{BSD {n} Clause}} License.") for n in (2, 3)),
-    *((f"{k}-{spdx}", "line", f"This work is licensed under the {{{_GNU[k]}}}, {{version {v}}}.") for k, v, spdx, _ in _GNU_VERSIONS),
+    *((f"BSD-{n}-Clause", "line", f"{{BSD {n} Clause}}") for n in (2, 3)),
+    *((f"{k}-{spdx}", "line", f"{{{_GNU[k]}}}, {{version {v}}}") for k, v, spdx, _ in _GNU_VERSIONS),
+    *((f"{k}-{spdx}", "line", f"{{{_GNU[k]} v{v}}}") for k, v, spdx, _ in _GNU_VERSIONS),
     *((f"{k}-{spdx}", "title", f"{{{_GNU[k]} Version {v}, {date}}}") for k, v, spdx, date in _GNU_VERSIONS),
     *((f"{k}-{spdx}", "notice", f"""This program is free software: you can redistribute it and/or modify it under the terms of the {{{_GNU[k]}}} as published by the
 Free Software Foundation, either {{version {v}}} of the License, or (at your option) any later version.""") for k, v, spdx, _ in _GNU_VERSIONS),
-    *((f"CC-{k}-4.0", "line", f"Licensed under {{CC {k} 4.0}}.") for k in _CC),
+    *((f"CC-{k}-{v}", "line", f"{{CC {k} {v}}}") for k in _CC for v in _CC_VERSIONS),
+    *((f"CC-{k}-{v}", "name", f"{{Creative Commons {name} {v}}}") for k, name in _CC.items() for v in _CC_VERSIONS),
     *((f"CC-{k}-4.0", "work", f"This work is licensed under a {{Creative Commons {name} 4.0 International}} License.") for k, name in _CC.items()),
 ]
+#: What may stand between a denial and the notice that it denies.
+LINKS = frozenset("licensed released distributed published available covered offered provided under by the a an terms of any".split())
+DENIALS = frozenset(("not", "never"))
+#: Words that align with nothing between two required phrases, besides half of what the template has there.
+JUMP = 3
+
+
+def denied(text: list[str], start: int) -> bool:
+    """Whether a notice's words are led up to by a denial: "not licensed under the"."""
+    while start and text[start - 1] in LINKS:
+        start -= 1
+    return start > 0 and (text[start - 1] in DENIALS or text[max(0, start - 2) : start] in (["isn", "t"], ["aren", "t"]))
 
 
 def words(text: str) -> list[str]:
@@ -168,6 +187,7 @@ class Template:
         """Matches every text that a window can be opened in."""
         if self.phrases:
             lo, hi = self.phrases[0]
+            hi = min(hi, lo + 3)  # many notices begin alike, and the expression must stay small
             return r"[^\p{L}\p{N}]+".join(map(regex.escape, self.words[lo:hi]))
         return "|".join(sorted(map(regex.escape, self.seeds)))
 
@@ -187,7 +207,10 @@ class Template:
             at = next((j for j in range(since, hi - (b - a) + 1) if text[j : j + b - a] == self.words[a:b]), None)
             if at is None:
                 return []
-            pairs += [(i + end, j + since) for i, j in align(self.words[end:a], text[since:at])]
+            between = align(self.words[end:a], text[since:at])
+            if at - since - len(between) > JUMP + (a - end) // 2:  # what stands between is of something else
+                return []
+            pairs += [(i + end, j + since) for i, j in between]
             pairs += [(i, at + i - a) for i in range(a, b)]
         end, since = pairs[-1][0] + 1, pairs[-1][1] + 1
         return pairs + [(i + end, j + since) for i, j in align(self.words[end:], text[since:hi])]
@@ -233,7 +256,8 @@ def scan(texts: list[str], templates: list[Template]) -> Iterator[tuple[int, Tem
             at = sorted(i for s in t.seeds for i in places.get(s, ()))
             found += [(t, *x) for x in t.find(own, at)]
         for x in best_of_overlaps(found):
-            yield (k, *x)
+            if not denied(own, x[1]):
+                yield (k, *x)
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:

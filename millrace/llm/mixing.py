@@ -17,6 +17,8 @@ has columns of these names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +35,40 @@ def hashed(digits: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, digits), 16, 10).cast("long")
 
 
+#: log k! for small k; Stirling's series from there on.
+LOG_FACTORIALS = [math.lgamma(k + 1) for k in range(32)]
+
+
+def log_probability(k: Column, rate: Column) -> Column:
+    """The logarithm of a Poisson probability.
+
+    For large k the powers of k in Stirling's series are taken together with those of the rate, so
+    that numbers much larger than the result don't cancel.
+    """
+    x = F.greatest(k, F.lit(len(LOG_FACTORIALS))).cast("double")
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    large = x * F.log1p((rate - x) / x) + (x - rate) - 0.5 * F.log(2 * math.pi * x) - series
+    small = k * F.log(rate) - rate - F.get(F.array(*map(F.lit, LOG_FACTORIALS)), k.cast("int"))
+    return F.when(k < len(LOG_FACTORIALS), small).otherwise(large)
+
+
 def poisson_table(rate: Column) -> Column:
-    """(lo, cdf): the distribution at lo, lo + 1, ...; beyond both ends less than 2^-53 is left."""
+    """(lo, p): probabilities of lo, lo + 1, ...; beyond both ends less than 2^-53 is left."""
     room = F.lit(12.0) * F.sqrt(rate) + F.lit(40.0)
-    lo = F.greatest(F.lit(0.0), F.floor(rate - room)).cast("int")
-    hi = F.ceil(rate + room).cast("int")
-    # log P(lo) = lo ln rate - rate - ln lo!
-    falls = F.when(lo > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(lo, F.lit(1))), F.lit(0.0), lambda a, j: a + F.log(j.cast("double")))).otherwise(F.lit(0.0))
-    first = lo * F.log(rate) - rate - falls
-    start = F.struct(first.alias("log"), F.exp(first).alias("sum"), F.array(F.exp(first)).alias("cdf"))
+    lo = F.greatest(F.lit(0.0), F.floor(rate - room)).cast("long")
+    table = F.transform(F.sequence(lo, F.ceil(rate + room).cast("long")), lambda k: F.exp(log_probability(k, rate)))
+    return F.struct(lo.alias("lo"), table.alias("p"))
+
+
+def inverted(poisson: Column, draw: Column) -> Column:
+    """How often a document is repeated whose number is `draw`: the distribution's inverse there."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"))
 
-    def step(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.log(rate) - F.log(k.cast("double"))
-        total = acc["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
+    def step(acc: Column, p: Column) -> Column:
+        total = acc["sum"] + p
+        return F.struct(total.alias("sum"), (acc["n"] + (total <= draw).cast("long")).alias("n"))
 
-    table = F.aggregate(F.sequence(lo + 1, hi), start, step)["cdf"]
-    return F.struct(lo.alias("lo"), table.alias("cdf"))
+    return (poisson["lo"] + F.aggregate(poisson["p"], start, step)["n"]).cast("int")
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, smoothing: float = SMOOTHING, budget: float = BUDGET) -> DataFrame:
@@ -78,8 +97,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, smoothi
     rated = as_row(docs).join(F.broadcast(rates) if few else written(rates, "rates"), F.col("row.source").eqNullSafe(F.col("mix_source")))
     name = F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))
     draw = hashed(13, F.lit(seed), name) / F.lit(float(1 << 52))
-    count = F.col("poisson.lo") + F.size(F.filter("poisson.cdf", lambda c: c <= F.col("draw")))
-    counted = rated.withColumn("draw", draw).withColumn("n_copies", count).where("n_copies > 0")
+    counted = rated.withColumn("draw", draw).withColumn("n_copies", inverted(F.col("poisson"), F.col("draw"))).where("n_copies > 0")
     copies = counted.select("row", "rate", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     key = free_name("shuffle_key", docs)
     copies = copies.select(*row_columns(docs), *(F.col(c).alias(free_name(c, docs)) for c in ("rate", "n_copies", "copy")), hashed(15, F.lit(seed), name, F.col("copy").cast("string")).alias(key))

@@ -8,8 +8,9 @@ have cut at p[k] is
     f[k] = penalty[k] + overhead + min over i of f[i] + padding(p[k] - p[i]),  p[k] - p[i] <= width
 
 and as padding is width - (p[k] - p[i]), the minimum is that of f[i] + p[i] over a sliding
-window, which a monotone queue gives in constant time. A window of 2^j ids isn't padded;
-those are looked up on their own.
+window, which a monotone queue gives in constant time. A window of 2^j ids isn't padded; halves,
+quarters and eighths of the width are looked up on their own. A smaller window costs more in overhead than
+it saves, so it is counted as padded to the width when cuts are chosen, though it isn't padded if chosen.
 
 Defined cases: a null text is empty and packs as its end id; rows that share a doc_id are
 separate documents, ordered by a hash of the text; a null doc_id comes first; an empty table gives no

@@ -12,7 +12,7 @@ which are beginnings of words that toxic rows have in many contexts and others h
 document's score is a logistic function of its clause scores, fitted to the same rows. Only rows
 whose crc32(doc_id) mod 3 is not 1 are learnt from, at most TOXIC_ROWS + CLEAN_ROWS of them,
 those first in the order of a hash; rates are set right for the share that was taken. All stems
-that the sample supports are kept: it bounds them.
+that the sample supports are kept: it bounds them. A learnt stem's weight is its log ratio, held to MOST_WEIGHT.
 
 Defined cases: a null or empty text has no clause and the lowest score; without labelled rows of
 both kinds the fixed list is scored with START; rows that share a doc_id are scored each on its
@@ -41,6 +41,8 @@ from millrace.storage import written
 TOXIC_ROWS, CLEAN_ROWS = 2000, 6000
 #: A stem needs so many different words before it (of 64 classes), and that log ratio of rates.
 CONTEXTS, RATIO = 8, 4.0
+#: The highest weight of a learnt stem, as the log ratio of one that no clean row has grows with the sample alone.
+MOST_WEIGHT = 8.0
 STEM_LENGTHS = range(4, 9)
 THRESHOLD = 0.7
 
@@ -235,7 +237,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     lexicon = {w: x for w, x in lexicon.items() if x > 1}
     for stem in sorted((s for s in seen if seen[s].contexts >= CONTEXTS and seen[s].weight >= RATIO), key=lambda x: (len(x), x)):
         if not any(stem[:n] in lexicon for n in STEM_LENGTHS if n < len(stem)):  # a shorter stem has its matches
-            lexicon[stem] = min(seen[stem].weight, 8.0)
+            lexicon[stem] = min(seen[stem].weight, MOST_WEIGHT)
     return lexicon
 
 

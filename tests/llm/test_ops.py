@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pyarrow as pa
@@ -257,10 +258,21 @@ def test_line_dedup_edge_rows(spark):
 
 
 def test_poisson_counts_follow_the_distribution(spark):
-    for rate in (0.3, 2.5, 900.0):
+    for rate in (1e-3, 0.3, 2.5, 31.5, 900.0, 1e5, 1e7):
         row = spark.range(1).select(mixing.poisson_table(F.lit(rate)).alias("p")).first().p
-        logs = [k * math.log(rate) - rate - math.lgamma(k + 1) for k in range(row.lo, row.lo + len(row.cdf))]
-        assert np.allclose(row.cdf, np.cumsum(np.exp(logs)), atol=1e-9) and abs(row.cdf[-1] - 1) < 1e-9
+        p, k = np.array(row.p), np.arange(row.lo, row.lo + len(row.p))
+        assert abs(math.fsum(p) - 1) < 1e-12, rate
+        with localcontext() as exact:  # logarithms of 40 digits
+            exact.prec = 40
+            top = int(rate)
+            mode = Decimal(top) * Decimal(rate).ln() - Decimal(rate) - sum((Decimal(j).ln() for j in range(1, top + 1)), Decimal(0)) if top < 2000 else None
+        if mode is not None:
+            assert math.isclose(p[top - row.lo], float(mode.exp()), rel_tol=1e-12)
+        assert np.allclose(p[1:][p[1:] > 1e-25], (p[:-1] * rate / k[1:])[p[1:] > 1e-25], rtol=1e-10, atol=0)
+    draws = [0.0, 0.2, 0.5, 0.9999]
+    got = spark.createDataFrame([(x,) for x in draws], "x double").select(mixing.inverted(mixing.poisson_table(F.lit(2.5)), F.col("x")).alias("n")).collect()
+    cdf = np.cumsum([math.exp(-2.5) * 2.5**k / math.factorial(k) for k in range(40)])
+    assert [r.n for r in got] == [int((cdf <= x).sum()) for x in draws]
     many = docs(spark, ["x" * 10] * 900, "big").union(docs(spark, ["x" * 10] * 100, "small").withColumn("doc_id", F.col("doc_id") + 10_000))
     out = mixing.mix(many, {"big": 1.0, "small": 1.0}).groupBy("source").agg(F.count("*").alias("n"), F.first("rate").alias("rate")).collect()
     for r in out:
@@ -418,12 +430,24 @@ def test_patience_alignment_and_scan(spark):
     texts = [f"Some text. {mit} More text. released UNDER the mit license again", f"words words {gpl}", "this license of mine is mine", "", None, gpl.replace("General", "Generous"), gpl.replace("work is", "book was")]
     texts += ["Released under the BSD License.", "Licensed under CC BY-SA 4.0.", gpl.replace("version 3", "version 2"), license_scan._BSD_TWO + license_scan._BSD_END, "word " * 50_000 + mit]
     got = sorted((r.doc_id, r.license, r.start_word, round(r.coverage, 2)) for r in license_scan.license_scan(docs(spark, texts)).collect())
-    assert got == [(0, "MIT", 2, 1.0), (0, "MIT", 9, 1.0), (1, "GPL-3.0", 2, 1.0), (6, "GPL-3.0", 0, 0.83), (8, "CC-BY-SA-4.0", 0, 1.0), (9, "GPL-2.0", 0, 1.0), (10, "BSD-2-Clause", 0, 1.0), (11, "MIT", 50_000, 1.0)]
+    assert got == [(0, "MIT", 5, 1.0), (0, "MIT", 12, 1.0), (1, "GPL-3.0", 8, 1.0), (6, "GPL-3.0", 6, 1.0), (8, "CC-BY-SA-4.0", 2, 1.0), (9, "GPL-2.0", 6, 1.0), (10, "BSD-2-Clause", 0, 1.0), (11, "MIT", 50_003, 1.0)]
     odd = odd_rows(spark).withColumn("license", F.lit("x")).withColumn("text", F.when(F.col("doc_id") == 3, F.lit(mit)).otherwise(F.col("text")))
     assert [(r.doc_id, r.license) for r in license_scan.license_scan(odd).collect()] == [(3, "MIT")] * 3
     assert license_scan.license_scan(docs(spark, [])).count() == 0
 
 
+def test_notices_in_other_words_and_what_isnt_one():
+    own = [license_scan.Template(*t, license_scan.COVERAGE) for t in license_scan.TEMPLATES]
+    of = lambda text: [x[1].license for x in license_scan.scan([text], own)]
+    assert of("Licensed under CC BY 4.0 and CC BY-SA 4.0") == ["CC-BY-4.0", "CC-BY-SA-4.0"]
+    assert of("Licensed under the GNU General Public License version 2 or later.") == ["GPL-2.0"] == of("GNU General Public License, version 2")
+    assert of("MIT License") == ["MIT"] == of("SPDX-License-Identifier: MIT") and of("SPDX-License-Identifier: GPL-3.0-or-later") == ["GPL-3.0"]
+    assert of("Creative Commons Attribution 4.0") == ["CC-BY-4.0"] and of("Licensed under CC BY 3.0") == ["CC-BY-3.0"]
+    assert of("This is not licensed under the MIT License.") == [] == of("never released under the terms of the MIT License") and of("not free, but licensed under the MIT License") == ["MIT"]
+    assert of("It has the GNU General Public License and the Apache License, Version 2.0.") == ["Apache-2.0"]
+    assert of("a license was under the work of version 2 0") == []
+
+
 def test_license_scan_against_all_windows():
     rng = random.Random(21)
     own = [license_scan.Template(*t, license_scan.COVERAGE) for t in license_scan.TEMPLATES if len(license_scan.words(t[2])) < 60]
