@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,11 @@ def bigram_counts(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, pairs.groupBy("a").agg(F.sum("c").alias("ca"))
 
 
+def model_sizes(**parts: DataFrame) -> DataFrame:
+    """(part, n): how many entries each table of a model has."""
+    return reduce(DataFrame.union, (df.agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name, df in parts.items()))
+
+
 def distinct_pairs(pairs: DataFrame, *by: Column) -> DataFrame:
     """(by, a, b, n): how often each pair occurs. A likelihood is looked up once for each, however common it is."""
     return pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("n"))

@@ -105,7 +105,7 @@ def run_spread(runs: DataFrame) -> DataFrame:
     return runs.groupBy("metric").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
 
 
-def run_meta(a: dict[str, str], b: dict[str, str], spark) -> DataFrame:
-    """(key, a, b) of run metadata, "-" where a run lacks a key."""
-    rows = [(k, a.get(k, "-"), b.get(k, "-")) for k in sorted({*a, *b})]
-    return spark.createDataFrame(rows, "key string, a string, b string")
+def run_meta(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(key, a, b) of two runs' metadata (key, value), "-" where a run lacks a key or its value."""
+    both = a.select("key", F.col("value").alias("a")).join(b.select("key", F.col("value").alias("b")), "key", "full")
+    return both.select("key", *(F.coalesce(c, F.lit("-")).alias(c) for c in ("a", "b")))

@@ -124,9 +124,16 @@ class TfIdfBaseline:
         return out
 
 
-def classify(df: DataFrame, scorer: Scorer, threshold: float, block: int = 256) -> DataFrame:
-    """(label, prob, truncated) of messages (subject, body)."""
-    message = text.format_message(F.col("subject"), F.col("body"))
-    rows = df.select(F.monotonically_increasing_id().alias("idx"), message.alias("text"))
-    scored = scorer(rows)
-    return scored.select(text.label_name((F.col("prob") >= threshold).cast("int")).alias("label"), "prob", (F.size(text.words(F.col("text"))) >= block).alias("truncated"))
+def classify(df: DataFrame, scorer: Scorer, threshold: float, block: int = 256, key: str | None = None) -> DataFrame:
+    """(label, prob, truncated) of messages (subject, body), led by their key if one is named.
+
+    The scorer sees no more than the block holds beside its end id; longer messages are cut and marked.
+    A null subject or body is empty.
+    """
+    message = text.format_message(F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit("")))
+    idx = F.monotonically_increasing_id() if key is None else F.col(key)
+    # cut into words below the generator: above it, that would be done again for each column
+    rows = df.select(idx.alias("idx"), F.explode(F.array(text.words(message))).alias("ws"))
+    rows = rows.select("idx", F.array_join(F.slice("ws", 1, block - 1), " ").alias("text"), (F.size("ws") >= block).alias("truncated"))
+    named = text.label_name((F.col("prob") >= threshold).cast("int"))
+    return scorer(rows).select(*([] if key is None else [F.col("idx").alias(key)]), named.alias("label"), "prob", "truncated")

@@ -13,7 +13,7 @@ from millrace.storage import scratch_path, written
 BLOCK = 256
 
 
-def _stream(spark, d):
+def corpus_stream(spark, d):
     """((doc_id, pos, token), vocabulary, end id, length)."""
     words = written(vocabulary(spark, d), "vocabulary")
     end = words.count()
@@ -25,7 +25,7 @@ def _stream(spark, d):
 
 def _models(spark, d):
     """Counts from the first 80 %, pairs to tune on from the next 10 %, windows of the last 10 %."""
-    stream, words, end, n = _stream(spark, d)
+    stream, words, end, n = corpus_stream(spark, d)
     pairs = written(lm.with_next(stream), "token-pairs")  # once; parts are ranges of it
     cut, tune_from = int(0.9 * n), int(0.8 * n)
     counted = stream.where(F.col("pos") < tune_from)
@@ -46,18 +46,18 @@ def _models(spark, d):
 
 
 def token_stream(spark, d):
-    return _stream(spark, d)[0].groupBy("doc_id").agg(F.min("pos").alias("start"), F.count("*").alias("n"), F.sum("token").cast("bigint").alias("total"))
+    return corpus_stream(spark, d)[0].groupBy("doc_id").agg(F.min("pos").alias("start"), F.count("*").alias("n"), F.sum("token").cast("bigint").alias("total"))
 
 
 def stream_split(spark, d):
-    stream, _, _, n = _stream(spark, d)
+    stream, _, _, n = corpus_stream(spark, d)
     train, val = lm.stream_split(stream, n)
     of = lambda df, name: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.min("pos").alias("first"), F.sum("token").cast("bigint").alias("total"))
     return of(train, "train").union(of(val, "val"))
 
 
 def lm_windows(spark, d):
-    stream, _, _, n = _stream(spark, d)
+    stream, _, _, n = corpus_stream(spark, d)
     return lm.lm_windows(lm.with_next(stream), 0, (n - 1) // BLOCK, BLOCK).groupBy("window").agg(F.count("*").alias("n"), F.sum("a").cast("bigint").alias("inputs"), F.sum("b").cast("bigint").alias("targets"))
 
 
@@ -116,7 +116,7 @@ DRAWS = 20
 
 def random_batches(spark, d):
     """Inputs and targets of windows drawn at random from the training part."""
-    stream, _, _, n = _stream(spark, d)
+    stream, _, _, n = corpus_stream(spark, d)
     windows = lm.random_windows(lm.with_next(stream), 0, int(0.9 * n), BLOCK, DRAWS)
     return windows.groupBy("draw").agg(F.count("*").alias("n"), F.sum("a").cast("bigint").alias("inputs"), F.sum("b").cast("bigint").alias("targets"))
 
@@ -132,7 +132,7 @@ def loss_estimate(spark, d):
 
 def token_cache(spark, d):
     """The stream as a table that appears whole or not at all, read back by a range of positions."""
-    stream, _, _, n = _stream(spark, d)
+    stream, _, _, n = corpus_stream(spark, d)
     path = scratch_path(spark, "token-cache")
     sinks.write_tokens(stream, path)
     return readers.read_tokens(spark, path, n // 4, n // 2).agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.sum("token").cast("bigint").alias("total"))
@@ -140,12 +140,12 @@ def token_cache(spark, d):
 
 QUERIES = {f.__name__: f for f in (random_batches, loss_estimate, token_cache, token_stream, stream_split, lm_windows, sample_tokens, unigram_lm, bigram_lm, likeliest_next, bigram_lambda, ngram_baselines, lm_table, loss_by_position)}
 
-_STREAM = f"""{VOCABULARY}, worded AS (SELECT doc_id, {sql_words("text")} AS w FROM documents),
+STREAM = f"""{VOCABULARY}, worded AS (SELECT doc_id, {sql_words("text")} AS w FROM documents),
   starts AS (SELECT doc_id, len(w) AS n, coalesce(sum(len(w) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM worded),
   stream AS (SELECT doc_id, start + k - 1 AS pos, id AS token FROM (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS k FROM worded) JOIN starts USING (doc_id) JOIN vocabulary USING (token)
     UNION ALL SELECT doc_id, start + n, (SELECT count(*) FROM vocabulary) FROM starts),
   size AS (SELECT count(*) AS n, floor(0.9e0 * count(*))::BIGINT AS cut, floor(0.8e0 * count(*))::BIGINT AS low FROM stream)"""
-_MODELS = f"""{_STREAM}, ids AS (SELECT id FROM vocabulary UNION ALL SELECT count(*) FROM vocabulary), counted AS (SELECT pos, token FROM stream, size WHERE pos < low),
+_MODELS = f"""{STREAM}, ids AS (SELECT id FROM vocabulary UNION ALL SELECT count(*) FROM vocabulary), counted AS (SELECT pos, token FROM stream, size WHERE pos < low),
   unigram AS (SELECT id AS token, coalesce(c, 0) AS c, (coalesce(c, 0) + 1)::DOUBLE / ((SELECT low FROM size) + (SELECT count(*) FROM ids)) AS prob FROM ids LEFT JOIN (SELECT token, count(*) AS c FROM counted GROUP BY token) k ON k.token = ids.id),
   follow AS (SELECT a.pos, a.token AS a, b.token AS b FROM stream a JOIN stream b ON b.pos = a.pos + 1),
   pairs AS (SELECT a, b, count(*) AS c FROM follow, size WHERE pos + 1 < low GROUP BY a, b), contexts AS (SELECT a, sum(c)::BIGINT AS ca FROM pairs GROUP BY a),
@@ -155,13 +155,13 @@ _MODELS = f"""{_STREAM}, ids AS (SELECT id FROM vocabulary UNION ALL SELECT coun
     FROM probs, size, tuned WHERE pos >= cut AND pos < cut + (n - cut - 1) // 256 * 256)"""
 _DRAW = lambda lo, hi: f"(SELECT draw, {lo} + CAST('0x' || substr(md5('0:' || draw::VARCHAR), 1, 8) AS BIGINT) % ({hi} - {lo} - {BLOCK} - 1) AS start FROM range({DRAWS}) r(draw), size)"
 ORACLES = {
-    "random_batches": f"WITH {_STREAM}, follow AS (SELECT a.pos, a.token AS a, b.token AS b FROM stream a JOIN stream b ON b.pos = a.pos + 1) SELECT draw, count(*) AS n, sum(a)::BIGINT AS inputs, sum(b)::BIGINT AS targets FROM {_DRAW('0', 'cut')} JOIN follow ON pos >= start AND pos < start + {BLOCK} GROUP BY draw",
+    "random_batches": f"WITH {STREAM}, follow AS (SELECT a.pos, a.token AS a, b.token AS b FROM stream a JOIN stream b ON b.pos = a.pos + 1) SELECT draw, count(*) AS n, sum(a)::BIGINT AS inputs, sum(b)::BIGINT AS targets FROM {_DRAW('0', 'cut')} JOIN follow ON pos >= start AND pos < start + {BLOCK} GROUP BY draw",
     "loss_estimate": f"WITH {_MODELS}, nll AS (SELECT pos, -ln(lam * p_bi + (1 - lam) * p_uni) AS x FROM probs, tuned), draws AS (SELECT 'train' AS part, start FROM {_DRAW('0', 'cut')} UNION ALL SELECT 'val', start FROM {_DRAW('cut', 'n')}) SELECT part, round(avg(x), 8) AS loss FROM draws JOIN nll ON pos >= start AND pos < start + {BLOCK} GROUP BY part",
-    "token_cache": f"WITH {_STREAM} SELECT count(*) AS n, min(pos) AS first, sum(token)::BIGINT AS total FROM stream, size s WHERE pos >= s.n // 4 AND pos < s.n // 2",
-    "token_stream": f"WITH {_STREAM} SELECT doc_id, min(pos) AS start, count(*) AS n, sum(token)::BIGINT AS total FROM stream GROUP BY doc_id",
-    "stream_split": f"WITH {_STREAM} SELECT CASE WHEN pos < cut THEN 'train' ELSE 'val' END AS part, count(*) AS n, min(pos) AS first, sum(token)::BIGINT AS total FROM stream, size GROUP BY 1",
-    "lm_windows": f"WITH {_STREAM} SELECT a.pos // 256 AS window, count(*) AS n, sum(a.token)::BIGINT AS inputs, sum(b.token)::BIGINT AS targets FROM stream a JOIN stream b ON b.pos = a.pos + 1, size WHERE a.pos < (n - 1) // 256 * 256 GROUP BY 1",
-    "sample_tokens": f"WITH {_STREAM} SELECT doc_id, count(*) AS n FROM stream WHERE pos < 5000 GROUP BY doc_id",
+    "token_cache": f"WITH {STREAM} SELECT count(*) AS n, min(pos) AS first, sum(token)::BIGINT AS total FROM stream, size s WHERE pos >= s.n // 4 AND pos < s.n // 2",
+    "token_stream": f"WITH {STREAM} SELECT doc_id, min(pos) AS start, count(*) AS n, sum(token)::BIGINT AS total FROM stream GROUP BY doc_id",
+    "stream_split": f"WITH {STREAM} SELECT CASE WHEN pos < cut THEN 'train' ELSE 'val' END AS part, count(*) AS n, min(pos) AS first, sum(token)::BIGINT AS total FROM stream, size GROUP BY 1",
+    "lm_windows": f"WITH {STREAM} SELECT a.pos // 256 AS window, count(*) AS n, sum(a.token)::BIGINT AS inputs, sum(b.token)::BIGINT AS targets FROM stream a JOIN stream b ON b.pos = a.pos + 1, size WHERE a.pos < (n - 1) // 256 * 256 GROUP BY 1",
+    "sample_tokens": f"WITH {STREAM} SELECT doc_id, count(*) AS n FROM stream WHERE pos < 5000 GROUP BY doc_id",
     "unigram_lm": f"WITH {_MODELS} SELECT token, c, round(prob, 12) AS prob FROM unigram",
     "bigram_lm": f"WITH {_MODELS} SELECT a, b, c, ca FROM pairs JOIN contexts USING (a)",
     "likeliest_next": f"WITH {_MODELS}, kept AS (SELECT * FROM pairs QUALIFY rank() OVER (PARTITION BY a ORDER BY c DESC) <= 5) SELECT a, b, c, round(c::DOUBLE / sum(c) OVER (PARTITION BY a), 9) AS prob FROM kept",

@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import behaviour, metrics, runs, scorers
-from millrace.plans.inputs import CASES, SCORED, cases, read, scored, split_rows, sql_norm, sql_score, sql_uniform, stand_in_score, uniform
-from millrace.storage import written
+from millrace.operators import behaviour, metrics, runs
+from millrace.plans.inputs import CASES, SCORED, cases, read, scored, sql_norm, sql_score, sql_uniform, stand_in_score, uniform
 
 T = 0.5
 REPLICATES = 1000
@@ -75,15 +74,6 @@ def metrics_report(spark, d):
     return _rounded(metrics.metrics_report(scored(spark, d), T, REPLICATES))
 
 
-def tfidf_metrics(spark, d):
-    """The baseline fitted on the training part with its threshold from the validation part, on the test part."""
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.array_join(F.slice(text.words(F.col("text")), 1, 255), " ").alias("text"))
-    rows = written(docs.join(split_rows(spark, d), "idx"), "baseline-rows")
-    part = lambda name: rows.where(F.col("split") == name).select("idx", "text", "label")
-    model = scorers.TfIdfBaseline().fit(part("train"), part("val"))
-    return metrics.all_metrics(model(part("test")), model.threshold)
-
-
 def challenge_report(spark, d):
     """The whole challenge report: flagged cases by label, right ones by tag, edits that must not and that may only one way change a decision."""
     rows, pairs = _scored_cases(spark, d), _pairs(spark, d)
@@ -243,7 +233,7 @@ def run_json(spark, d):
     return m.select(runs.run_document(accuracy=runs.saved(F.col("accuracy")), tp=F.col("tp"), fp=F.col("fp")).alias("document"))
 
 
-QUERIES = {f.__name__: f for f in (binary_metrics, brier, ece, roc_auc, pr_auc, recall_at_fpr, all_metrics, choose_threshold, wilson, mcnemar, bootstrap_ci, metrics_report, tfidf_metrics, challenge_report, error_report, class_weights, confusion_by_source, by_tag, flag_rates, edges_fine, perturb, invariance, directional, run_agreement, challenge_changes, tags_diff, metric_deltas, error_deltas, speed_and_lm, run_sections, failing_gate, gate, gate_verdict, run_spread, run_json)}
+QUERIES = {f.__name__: f for f in (binary_metrics, brier, ece, roc_auc, pr_auc, recall_at_fpr, all_metrics, choose_threshold, wilson, mcnemar, bootstrap_ci, metrics_report, challenge_report, error_report, class_weights, confusion_by_source, by_tag, flag_rates, edges_fine, perturb, invariance, directional, run_agreement, challenge_changes, tags_diff, metric_deltas, error_deltas, speed_and_lm, run_sections, failing_gate, gate, gate_verdict, run_spread, run_json)}
 
 _COUNTS = "count(*) FILTER (prob >= {t} AND label = 1) AS tp, count(*) FILTER (prob >= {t} AND label = 0) AS fp, count(*) FILTER (prob < {t} AND label = 1) AS fn, count(*) FILTER (prob < {t} AND label = 0) AS tn"
 _C = _COUNTS.format(t="0.5e0")

@@ -11,7 +11,7 @@ from millrace.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 #: A few from each part here; the driver compares all of them.
-NAMES = ["char_round_trip", "case_file", "run_file", "csv_messages", "guarded_checks", "error_report", "normalize_text", "words", "swap_names", "shingles", "label_disagreement", "contamination", "batch_crop", "likeliest_next", "bootstrap_ci", "failing_gate", "challenge_report", "appended_tokens", "exact_dedup", "jaccard_pairs", "near_dup_groups", "near_dup_leakage", "stratified_split", "contamination_report", "all_metrics", "choose_threshold", "mcnemar", "invariance", "gate", "lm_windows"]
+NAMES = ["char_round_trip", "case_file", "run_file", "csv_messages", "guarded_checks", "error_report", "normalize_text", "words", "swap_names", "shingles", "label_disagreement", "contamination", "batch_crop", "likeliest_next", "bootstrap_ci", "failing_gate", "challenge_report", "appended_tokens", "exact_dedup", "jaccard_pairs", "near_dup_groups", "near_dup_leakage", "stratified_split", "contamination_report", "all_metrics", "choose_threshold", "mcnemar", "invariance", "gate", "lm_windows", "classify_messages", "batch_scores", "checkpoint_scores", "block_guard", "model_sizes", "run_metadata"]
 
 
 def plain(v):
