@@ -117,7 +117,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     # a group is one block of codes and one of queries, both of bounded size
     near = left.union(right).groupBy("block", "ask").applyInArrow(run, "query long, code long, distance long")
-    answers = near.join(ids, "code").groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("distance").alias("distance"), i.alias("id")))))), 1, k).alias("best"))
-    answers = answers.withColumnRenamed("query", "code").join(queries.select(F.col("id").alias("query_id"), "code").distinct(), "code")
-    shown = answers.select("query_id", F.posexplode("best").alias("pos", "hit"))
-    return shown.select("query_id", (F.col("pos") + 1).alias("rank"), "hit.id", "hit.distance")
+    hits = near.join(ids, "code").select("query", "distance", F.explode("ids").alias("id"))
+    # the rank leaves k rows of a query in each task before the shuffle, however many tie at its bound
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+    answers = hits.withColumn("rank", place).where(F.col("rank") <= k).withColumnRenamed("query", "code")
+    answers = answers.join(queries.select(F.col("id").alias("query_id"), "code").distinct(), "code")
+    return answers.select("query_id", "rank", "id", "distance")

@@ -1,7 +1,7 @@
 """Token-id files: documents in ascending id order, a Re-Pair grammar for each shard.
 
 The documents are dealt by ranges of doc_id, so the files of the table, in order, hold the
-stream in order. Each row of the table is one shard: its place and the grammar blob
+stream in order. Each row of the table is one shard: its place, its least and largest doc_id and the grammar blob
 (see repair.py). The table is written by Spark's own commit protocol; a lost executor's
 shards are written again and never twice.
 
@@ -27,7 +27,7 @@ from millrace.llm.text_batches import slices, text_column
 from millrace.llm.word_ids import encoder
 from millrace.storage import scratch_path
 
-SHARD = "part long, shard long, start long, n_docs long, n_ids long, grammar binary"
+SHARD = "part long, shard long, start long, n_docs long, n_ids long, first_doc long, last_doc long, grammar binary"
 
 
 def in_id_order(docs: DataFrame) -> DataFrame:
@@ -58,10 +58,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end: int = 2,
             doc_ids, valid = known.fill_null(0).to_numpy(), known.is_valid().to_numpy()
             first = np.concatenate([[0], np.cumsum(sizes)])
             blob = repair.to_bytes(repair.compress(ids, first, doc_ids, valid, len(encoder(vocabulary).ends_word)))
-            row = [part, shard, start, len(sizes), len(ids), blob]
+            ends = [int(x) for x in doc_ids[valid][[0, -1]]] if valid.any() else [None, None]
+            row = [part, shard, start, len(sizes), len(ids), *ends, blob]
             held.clear()
             shard, start = shard + 1, start + len(ids)
-            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if i == 5 else pa.int64()) for i, v in enumerate(row)], ["part", "shard", "start", "n_docs", "n_ids", "grammar"])
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if v is blob else pa.int64()) for v in row], [c.split()[0] for c in SHARD.split(", ")])
 
         for batch in batches:
             for piece in slices(batch, most=4 << 20):
@@ -95,6 +96,24 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_tokens_of(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """(doc_id, ids) of the documents from first to last, both included.
+
+    Shards of other ranges aren't read, and of a shard the wanted documents alone are expanded, by the
+    lengths that are stored beside the rules.
+    """
+    shards = spark.read.schema(SHARD).parquet(path).where((F.col("last_doc") >= first) & (F.col("first_doc") <= last)).select("grammar")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                g = repair.from_bytes(blob.as_buffer())
+                for k in np.flatnonzero(g.valid & (g.doc_ids >= first) & (g.doc_ids <= last)):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(g.doc_ids[k])], pa.int64()), pa.array([repair.ids_at(g, int(k))], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return shards.mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def token_files(docs: DataFrame, vocabulary: str, end: int = 2) -> DataFrame:
     """Writes the files into the scratch folder and reads the documents back."""
     path = scratch_path(docs.sparkSession, "token-files")
