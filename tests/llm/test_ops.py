@@ -225,14 +225,22 @@ def test_line_links_are_those_of_brute_force(spark):
     lines += [[w, w, w] + ["x"] * k for w in ("aa", "bb") for k in range(3, 7)]  # keys that repeat in a line
     lines = [x for x in lines if len(x) >= 4]
     rng.shuffle(lines)
-    root = list(range(len(lines)))
+    root, links = list(range(len(lines))), set()
     for j, b in enumerate(lines):
         for i in range(j):
             if edits(lines[i], b) <= math.floor(max(len(lines[i]), len(b)) * 0.2 + 1e-9):
+                links.add((i, j))
                 lo, hi = sorted((root[i], root[j]))
                 root = [lo if r == hi else r for r in root]
-    out = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs(spark, [" ".join(x) for x in lines])).collect()}
+    table = docs(spark, [" ".join(x) for x in lines])
+    out = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(table, runs=None).collect()}
     assert 60 < sum(out.values()) and out == {i: int(root[i] != i) for i in range(len(lines))}
+    some = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(table).collect()}
+    assert all(some[i] <= out[i] for i in out) and sum(some.values()) >= 0.9 * sum(out.values())
+    met = {r.doc_id: set(r["keys"]) for r in line_dedup.keyed_lines(table).collect()}
+    assert sum(bool(met[i] & met[j]) for i, j in links) >= 0.9 * len(links)
+    every = {r.doc_id: set(r["keys"]) for r in line_dedup.keyed_lines(table, None).collect()}
+    assert all(every[i] & every[j] for i, j in links)
 
 
 def test_the_query_and_the_pipeline_drop_exact_repeats_of_any_length(spark, tmp_path):
