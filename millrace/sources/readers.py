@@ -51,7 +51,7 @@ def _records_of_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
     begins and ends say whether a piece has its record's first and last line.
     """
-    split, within, held, begins, first = None, False, [], True, False
+    split, within, held, begins, first, out = None, False, [], True, False, []
     names = ["file", "block", "begins", "ends", "first", "record"]
 
     def rows(key: tuple, out: list) -> pa.RecordBatch:
@@ -67,7 +67,9 @@ def _records_of_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             key = (split[0], block[k]) if split and split[1] == block[k] and split[0] == file[k].as_py() else (file[k].as_py(), block[k])
             if key != split:
                 if held:
-                    yield rows(split, [(begins, False, first, "\n".join(held))])
+                    out.append((begins, False, first, "\n".join(held)))
+                if out:  # a batch may go on with another split
+                    yield rows(split, out)
                 split, held, within = key, [], batch.column(2)[k].as_py()
                 begins, first, out = not within, key[1] == 0, []
             held.append(line)
