@@ -17,6 +17,21 @@ def token_stream(coded: DataFrame, key: str, end: int) -> DataFrame:
     return coded.select(key, "start", F.posexplode(tokens).alias("at", "token")).select(key, (F.col("start") + F.col("at")).alias("pos"), "token")
 
 
+def stream_pairs(coded: DataFrame, end: int, first: int = 0, last: int | None = None) -> DataFrame:
+    """(pos, a, b) with first <= pos and pos + 1 < last of rows (ids, start): each token and the one after it, over document ends too.
+
+    A document gives the pairs whose second token is its own; before its first token stands the end id of the
+    document before. So pairs are a projection of the documents' rows, and those without a pair in the range aren't opened.
+    """
+    tokens = F.concat("ids", F.array(F.lit(end)))
+    pair = F.transform(tokens, lambda b, i: F.struct(F.when(i == 0, F.lit(end)).otherwise(F.get("ids", i - 1)).alias("a"), b.alias("b")))
+    rows = coded.where(F.col("start") + F.size("ids") > first)
+    rows = rows if last is None else rows.where(F.col("start") < last)
+    pairs = rows.select("start", F.posexplode(pair).alias("at", "pair")).select((F.col("start") + F.col("at") - 1).alias("pos"), "pair.a", "pair.b")
+    pairs = pairs.where(F.col("pos") >= first)
+    return pairs if last is None else pairs.where(F.col("pos") + 1 < last)
+
+
 def stream_split(stream: DataFrame, length: int, share: float = 0.9) -> tuple[DataFrame, DataFrame]:
     cut = int(share * length)
     return stream.where(F.col("pos") < cut), stream.where(F.col("pos") >= cut)

@@ -139,15 +139,16 @@ def exposure_report(spark, d, n=13):
 
 
 def appended_tokens(spark, d):
-    """Documents as a stream of files, one in each micro-batch, appended to a token cache and read back."""
+    """Documents as a stream of files, a quarter in each micro-batch, appended to a token cache and read back."""
     source, cache = scratch_path(spark, "stream-files"), scratch_path(spark, "token-stream")
-    docs = written(read(spark, d, "documents").select("doc_id", "text"), "stream-documents")
-    cuts = [0, *docs.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01), float("inf")]
-    for lo, hi in zip(cuts, cuts[1:], strict=False):  # one file after the other, as they would arrive
-        docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi)).coalesce(1).write.mode("append").parquet(source)
+    docs = read(spark, d, "documents").select("doc_id", "text")
     words = written(encode.word_vocabulary(docs, "text"), "vocabulary")
-    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    tokens.append_tokens(arriving, cache, f"{cache}-checkpoint", words, words.count()).awaitTermination()
+    end = words.count()
+    cuts = [0, *docs.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01), float("inf")]
+    arriving = lambda: spark.readStream.schema(docs.schema).parquet(source)
+    for lo, hi in zip(cuts, cuts[1:], strict=False):  # a part's files arrive together, and the stream goes on from where it stopped
+        docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi)).write.mode("append").parquet(source)
+        tokens.append_tokens(arriving(), cache, f"{cache}-checkpoint", words, end).awaitTermination()
     got = tokens.read_appended(spark, cache)
     return got.groupBy(F.floor(F.col("pos") / 1000).alias("range")).agg(F.count("*").alias("n"), F.sum("token").cast("bigint").alias("total"))
 

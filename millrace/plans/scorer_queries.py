@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.operators import encode, lm, metrics, runs, scorers
 from millrace.plans.inputs import BLOCK, ENCODED, SCORED, SPLIT, encoded, read, scored, split_rows, sql_norm, sql_uniform, sql_words, uniform
-from millrace.plans.lm_queries import STREAM, corpus_stream
+from millrace.plans.lm_queries import STREAM, corpus
 from millrace.storage import scratch_path, written
 
 #: The threshold that a stored model is given after its fit.
@@ -66,9 +66,10 @@ def block_guard(spark, d):
 
 def model_sizes(spark, d):
     """Entries of the vocabularies and of the n-gram models fitted on all documents."""
-    tokens, words, end, _ = corpus_stream(spark, d)
+    coded, words, end, _ = corpus(spark, d)
     chars = read(spark, d, "documents").select(F.explode(text.characters(F.col("text"))).alias("ch")).distinct()
-    counts = lm.bigram_counts(lm.with_next(tokens))
+    pairs = written(lm.bigram_counts(lm.stream_pairs(coded, end))[0], "bigrams")
+    counts = pairs, pairs.select("a").distinct()
     return lm.model_sizes(characters=chars, words=words, unigram=words.select("id").union(spark.range(end, end + 1)), bigram=counts[0], contexts=counts[1])
 
 

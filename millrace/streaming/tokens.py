@@ -23,8 +23,7 @@ def append_tokens(stream: DataFrame, path: str, checkpoint: str, vocabulary: Dat
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         start = written_tokens(spark, path, number)
-        coded = encode.encode_words(batch, key, column, vocabulary)
-        placed = encode.running_offset(coded.withColumn("size", F.size("ids") + 1), "start", "size", key)
+        placed = encode.placed_words(batch, key, column, vocabulary)
         tokens = lm.token_stream(placed, key, end).select((F.col("pos") + start).alias("pos"), F.col("token").cast("int").alias("token"))
         tokens.write.mode("overwrite").parquet(f"{path}/tokens/batch={number}")
         n = spark.read.parquet(f"{path}/tokens/batch={number}").count()
