@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.operators import behaviour, metrics, runs
 from millrace.plans.inputs import CASES, SCORED, cases, read, scored, sql_norm, sql_score, sql_uniform, stand_in_score, uniform
+from millrace.storage import written
 
 T = 0.5
 REPLICATES = 1000
@@ -76,7 +77,7 @@ def metrics_report(spark, d):
 
 def challenge_report(spark, d):
     """The whole challenge report: flagged cases by label, right ones by tag, edits that must not and that may only one way change a decision."""
-    rows, pairs = _scored_cases(spark, d), _pairs(spark, d)
+    rows, pairs = _scored_cases(spark, d), written(_pairs(spark, d).select("edit", "p0", "p1", "same"), "edited-pairs")  # once, for both sections
     return behaviour.report(rows, pairs, T)
 
 
@@ -121,7 +122,7 @@ def perturb(spark, d):
 
 
 def _pairs(spark, d):
-    return behaviour.paired(behaviour.perturb(cases(spark, d)), uniform)
+    return behaviour.edited_pairs(cases(spark, d), uniform)
 
 
 def invariance(spark, d):
