@@ -100,11 +100,24 @@ def random_windows(pairs: DataFrame, first: int, last: int, block: int, count: i
     return pairs.join(places, "pos").select("draw", "at", "a", "b")
 
 
+def pair_uses(pairs: DataFrame, **uses: Column) -> DataFrame:
+    """(a, b, each use): how many of the pairs (pos, a, b) a condition holds for, pairs of no use left out.
+
+    Where a pair is counted and where it is looked up come together in one exchange, and counts need not move again.
+    """
+    return pairs.groupBy("a", "b").agg(*(F.count_if(c).alias(k) for k, c in uses.items())).where(reduce(lambda x, y: x | y, (F.col(k) > 0 for k in uses)))
+
+
+def counted_probabilities(pairs: DataFrame, unigram: DataFrame, contexts: DataFrame) -> DataFrame:
+    """pairs (a, b, c, ...) with p_uni and p_bi in place of their counts c; a context never counted gives p_bi 0."""
+    joined = pairs.join(contexts, "a", "left").join(unigram.select(F.col("token").alias("b"), F.col("prob").alias("p_uni")), "b")
+    return joined.withColumn("p_bi", F.coalesce(F.col("c") / F.col("ca"), F.lit(0.0))).drop("c", "ca")
+
+
 def pair_probabilities(pairs: DataFrame, unigram: DataFrame, counts: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """pairs (a, b, ...) with p_uni and p_bi; a context never counted gives p_bi 0."""
+    """pairs (a, b, ...) with p_uni and p_bi, their counts looked up."""
     ab, a = counts
-    joined = pairs.join(ab, ["a", "b"], "left").join(a, "a", "left").join(unigram.select(F.col("token").alias("b"), F.col("prob").alias("p_uni")), "b")
-    return joined.withColumn("p_bi", F.coalesce(F.col("c") / F.col("ca"), F.lit(0.0))).drop("c", "ca")
+    return counted_probabilities(pairs.join(ab, ["a", "b"], "left"), unigram, a)
 
 
 def likeliest_next(counts: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
