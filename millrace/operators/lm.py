@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Buckets of positions inside a window, as [from, to).
@@ -75,9 +75,33 @@ def bigram_counts(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, pairs.groupBy("a").agg(F.sum("c").alias("ca"))
 
 
-def model_sizes(**parts: DataFrame) -> DataFrame:
-    """(part, n): how many entries each table of a model has."""
-    return reduce(DataFrame.union, (df.agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name, df in parts.items()))
+def word_pairs(docs: DataFrame, key: str, words: Column, seed: int) -> DataFrame:
+    """(a, b): each token of the stream and the one after it, words by their hashes, the end id as null.
+
+    Pairs are a projection of the documents' rows; before a document's first token stands the end id, except in the first document.
+    """
+    first = docs.agg(F.min(key).alias("first"))
+    # cut into words below the generator: above it, that would be done again for each pair
+    rows = docs.where(F.col(key).isNotNull()).select(key, F.explode_outer(F.array(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed))))).alias("ws"))
+    rows = rows.select(key, F.coalesce("ws", F.array().cast("array<bigint>")).alias("ws"))
+    pair = lambda b, i: F.struct(F.get("ws", i - 1).alias("a"), b.alias("b"))
+    pairs = rows.select(key, F.posexplode(F.transform(F.concat("ws", F.array(F.lit(None).cast("bigint"))), pair)).alias("at", "pair"))
+    return pairs.crossJoin(F.broadcast(first)).where((F.col("at") > 0) | (F.col(key) != F.col("first"))).select("pair.a", "pair.b")  # one row
+
+
+def separating_seed(words: DataFrame, column: str) -> int:
+    """A seed by which no two of the given different words have the same hash."""
+    seed = 0
+    while True:
+        sizes = words.agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64(column, F.lit(seed))).alias("hashes")).first()
+        if sizes["n"] == sizes["hashes"]:
+            return seed
+        seed += 1
+
+
+def model_sizes(*counts: DataFrame) -> DataFrame:
+    """(part, n) of rows of counts, a column for each part."""
+    return reduce(DataFrame.union, (df.unpivot([], df.columns, "part", "n") for df in counts))
 
 
 def distinct_pairs(pairs: DataFrame, *by: Column) -> DataFrame:
@@ -85,17 +109,27 @@ def distinct_pairs(pairs: DataFrame, *by: Column) -> DataFrame:
     return pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
 
 
+def random_starts(spark: SparkSession, first: int, last: int, block: int, count: int, seed: int = 0) -> DataFrame:
+    """(draw, start) of `count` windows that begin anywhere in [first, last - block), drawn by hash with replacement."""
+    room = last - first - block - 1
+    if room < 1:
+        raise ValueError(f"a block of {block} doesn't fit into {last - first} tokens")
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return spark.range(count).select(F.col("id").alias("draw"), (F.lit(first) + F.pmod(digest, F.lit(room))).alias("start"))
+
+
+def rows_of_windows(placed: DataFrame, starts: DataFrame, block: int) -> DataFrame:
+    """Rows (size, start, ...) that hold a second token of a pair in any window of `block` pairs from starts (draw, start), each once."""
+    begins = F.broadcast(starts.select(F.col("start").alias("begin")))  # a number for each window of a batch
+    return placed.join(begins, (F.col("start") <= F.col("begin") + block) & (F.col("start") + F.col("size") > F.col("begin") + 1), "left_semi")
+
+
 def random_windows(pairs: DataFrame, first: int, last: int, block: int, count: int, seed: int = 0) -> DataFrame:
     """(draw, at, a, b) of `count` windows over pairs (pos, a, b) that begin anywhere in [first, last - block), drawn by hash with replacement.
 
     Starts are a small table, each joined to the positions it covers; no block, no window.
     """
-    room = last - first - block - 1
-    if room < 1:
-        raise ValueError(f"a block of {block} doesn't fit into {last - first} tokens")
-    spark = pairs.sparkSession
-    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint")
-    starts = spark.range(count).select(F.col("id").alias("draw"), (F.lit(first) + F.pmod(digest, F.lit(room))).alias("start"))
+    starts = random_starts(pairs.sparkSession, first, last, block, count, seed)
     places = starts.select("draw", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("at")).select("draw", "at", (F.col("start") + F.col("at")).alias("pos"))
     return pairs.join(places, "pos").select("draw", "at", "a", "b")
 

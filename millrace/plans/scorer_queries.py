@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.operators import encode, lm, metrics, runs, scorers
 from millrace.plans.inputs import BLOCK, ENCODED, SCORED, SPLIT, encoded, read, scored, split_rows, sql_norm, sql_uniform, sql_words, uniform
-from millrace.plans.lm_queries import STREAM, corpus
+from millrace.plans.lm_queries import STREAM
 from millrace.storage import scratch_path, written
 
 #: The threshold that a stored model is given after its fit.
@@ -65,12 +65,17 @@ def block_guard(spark, d):
 
 
 def model_sizes(spark, d):
-    """Entries of the vocabularies and of the n-gram models fitted on all documents."""
-    coded, words, end, _ = corpus(spark, d)
-    chars = read(spark, d, "documents").select(F.explode(text.characters(F.col("text"))).alias("ch")).distinct()
-    pairs = written(lm.bigram_counts(lm.stream_pairs(coded, end))[0], "bigrams")
-    counts = pairs, pairs.select("a").distinct()
-    return lm.model_sizes(characters=chars, words=words, unigram=words.select("id").union(spark.range(end, end + 1)), bigram=counts[0], contexts=counts[1])
+    """Entries of the vocabularies and of the n-gram models fitted on all documents; none is made where its entries can be told apart without."""
+    docs, ws = read(spark, d, "documents").select("doc_id", "text"), text.words(F.col("text"))
+    chars = docs.select(F.explode(text.characters(F.col("text"))).alias("ch")).distinct()
+    words = written(docs.select(F.explode(ws).alias("token")).distinct(), "words")
+    pairs = lm.word_pairs(docs, "doc_id", ws, lm.separating_seed(words, "token")).distinct()
+    n = F.count("*")
+    successors = pairs.groupBy("a").agg(n.alias("n"))
+    return lm.model_sizes(
+        chars.agg(n.alias("characters")), words.agg(n.alias("words"), (n + 1).alias("unigram")),
+        successors.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bigram"), n.alias("contexts")),
+    )
 
 
 def run_metadata(spark, d):
