@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import behaviour, encode, membership, metrics, runs
+from millrace.operators import behaviour, encode, metrics, runs
 from millrace.plans.dedup_queries import SPLIT_SETS, by_split_sets
 from millrace.plans.inputs import CASES, ENCODED, SCORED, SPLIT, VOCABULARY, cases, encoded, read, scored, split_rows, sql_norm, sql_words
 from millrace.plans.metric_queries import SQL_WILSON
@@ -118,8 +118,8 @@ def failure_lines(spark, d):
 def _seen_shares(spark, d, n):
     """(idx, split, label, train, val): the share of each labelled document's shingles that either part of the corpus has."""
     sets, corpus = by_split_sets(spark, d, n)
-    wanted = sets.select(F.explode("set").alias("h")).distinct()
-    hits = membership.held(corpus, wanted).groupBy("h").agg(F.max("train").alias("train"), F.max("val").alias("val"))
+    # no filter of the messages' shingles goes before: they are as many as the corpus's, and would fill it
+    hits = corpus.groupBy("h").agg(F.max("train").alias("train"), F.max("val").alias("val"))
     each = sets.select("idx", "split", "label", F.explode_outer("set").alias("h")).join(hits, "h", "left")
     share = lambda c: F.coalesce(F.avg(F.when(F.col("h").isNotNull(), F.coalesce(F.col(c), F.lit(0)))), F.lit(0.0))
     return each.groupBy("idx", "split", "label").agg(share("train").alias("train"), share("val").alias("val"))
