@@ -10,16 +10,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from millrace.functions import arrays, text
-from millrace.operators import encode, metrics
-from millrace.storage import scratch_path, written
+from millrace.operators import encode, logistic, metrics
+from millrace.storage import written
 
 
 class Scorer(Protocol):
@@ -48,25 +44,11 @@ def terms(column: str, longest: int = 2):
     return F.concat(ws, pairs) if longest > 1 else ws
 
 
-def as_vectors(df: DataFrame, size: int, slots: str, values: str) -> DataFrame:
-    """df with sparse vectors `features` in place of their slots (ascending) and values.
-
-    Rows are written in the form in which a vector is stored, and read as vectors, so that none goes through
-    Python, and what a fit reads many times is made once.
-    """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, "features")
-    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
-    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), empty(slots, "int").alias("indices"), empty(values, "double").alias("values"))
-    stored = df.withColumn("features", sparse).drop(slots, values)
-    stored.write.parquet(path)
-    return spark.read.schema(StructType([*(f for f in stored.schema if f.name != "features"), StructField("features", VectorUDT())])).parquet(path)
-
-
 class TfIdfBaseline:
     """Sublinear term frequency, smoothed idf, unit rows, class-balanced logistic regression.
 
-    Terms are numbered, not hashed, so none share a column; rows are sparse, so one takes as much room
-    as it has terms. Only the model's weights are as long as the vocabulary.
+    Terms are numbered, not hashed, so none share a column. The model is a table (term, slot, idf, weight) and an
+    intercept; a text is scored by joining its terms, so nothing as long as the vocabulary is broadcast or gathered.
     """
 
     def __init__(self, least: int = 2):
@@ -77,50 +59,45 @@ class TfIdfBaseline:
         each = df.select("idx", F.explode(terms("text")).alias("term")).groupBy("idx", "term").agg(F.count("*").alias("n"))
         return each.select("idx", "term", (1 + F.log("n")).alias("tf"))
 
-    def _vectors(self, df: DataFrame) -> DataFrame:
-        weighted = self._counts(df).join(self.idf, "term").select("idx", "slot", (F.col("tf") * F.col("idf")).alias("x"))
-        cells = F.sort_array(F.collect_list(F.struct("slot", "x")))
-        rows = weighted.groupBy("idx").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), cells.alias("cells"))
-        rows = rows.select("idx", F.col("cells.slot").alias("slots"), F.transform("cells.x", lambda x: x / F.col("norm")).alias("values"))
-        joined = df.join(rows, "idx", "left")
-        return as_vectors(joined.drop("norm"), self.size, "slots", "values")
-
     def fit(self, train: DataFrame, val: DataFrame) -> TfIdfBaseline:
         """train, val: (idx, text, label)."""
         n = train.count()
-        found = self._counts(train).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= self.least)
+        counts = written(self._counts(train), "term-counts")
+        found = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= self.least)
         numbered = encode.ranked(found, "slot", F.col("term").asc())
-        self.idf = written(numbered.select("term", F.col("slot").cast("int").alias("slot"), (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
-        self.size = max(1, self.idf.count())
+        idf = written(numbered.select("term", F.col("slot").cast("int").alias("slot"), (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
         weights = metrics.class_weights(train).select("label", "weight")
-        fitted = LogisticRegression(weightCol="weight", maxIter=50, regParam=1e-3).fit(self._vectors(train).join(F.broadcast(weights), "label"))  # a row for each label
-        path = scratch_path(train.sparkSession, "logistic-model")
-        fitted.write().save(path)
-        self.model = LogisticRegressionModel.load(path)  # without its training summary, which holds the session
+        labelled = train.select("idx", "label").join(F.broadcast(weights), "label")  # a row for each label
+        rows = written(encode.ranked(labelled, "row", F.col("idx").asc()), "fitted-rows")
+        weighted = written(counts.join(idf, "term").select("idx", "slot", (F.col("tf") * F.col("idf")).alias("x")), "weighted-terms")
+        norms = weighted.groupBy("idx").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+        placed = rows.select("idx", "row").join(norms, "idx")
+        fitted, self.intercept = logistic.fit(weighted.join(placed, "idx").select("row", "slot", (F.col("x") / F.col("norm")).alias("x")), rows, 1e-3)
+        self.table = written(idf.join(fitted, "slot").select("term", "slot", "idf", "weight"), "weighted-idf")
         self.threshold = metrics.choose_threshold(self(val)).first()["threshold"]
         return self
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(self._vectors(df))
-        return out.withColumn("prob", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+        x = F.col("tf") * F.col("idf")
+        sums = self._counts(df).join(self.table, "term").groupBy("idx").agg((F.sum(x * F.col("weight")) / F.sqrt(F.sum(x * x))).alias("_sum"))
+        return df.join(sums, "idx", "left").withColumn("prob", 1 / (1 + F.exp(-(F.coalesce("_sum", F.lit(0.0)) + F.lit(self.intercept))))).drop("_sum")
 
     def save(self, path: str) -> None:
-        """A checkpoint: the model, the term table, and the threshold in a row of its own."""
-        self.model.write().overwrite().save(f"{path}/model")
-        self.idf.write.mode("overwrite").parquet(f"{path}/idf")
+        """A checkpoint: the term table, and the intercept and threshold in a row of their own."""
+        self.table.write.mode("overwrite").parquet(f"{path}/terms")
         self.set_threshold(path, self.threshold)
 
     def set_threshold(self, path: str, threshold: float) -> None:
         """Replaces the threshold of a checkpoint; the rest stays as it is."""
         self.threshold = threshold
-        self.idf.sparkSession.createDataFrame([(self.least, self.size, float(threshold))], "least int, size int, threshold double").write.mode("overwrite").parquet(f"{path}/about")
+        self.table.sparkSession.createDataFrame([(self.least, self.intercept, float(threshold))], "least int, intercept double, threshold double").write.mode("overwrite").parquet(f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TfIdfBaseline:
         about = spark.read.parquet(f"{path}/about").first()
         out = cls(about["least"])
-        out.size, out.threshold = about["size"], about["threshold"]
-        out.idf, out.model = spark.read.parquet(f"{path}/idf"), LogisticRegressionModel.load(f"{path}/model")
+        out.intercept, out.threshold = about["intercept"], about["threshold"]
+        out.table = spark.read.parquet(f"{path}/terms")
         return out
 
 
