@@ -148,7 +148,7 @@ def _lowest(at: np.ndarray, slopes: np.ndarray) -> float:
     return float(np.clip(t, at[k - 1], at[k]))
 
 
-def fit(cells: DataFrame, rows: DataFrame, penalty: float, steps: int = 50, tolerance: float = 1e-6) -> tuple[DataFrame, float]:
+def fit(cells: DataFrame, rows: DataFrame, penalty: float, steps: int = 200, tolerance: float = 1e-6) -> tuple[DataFrame, float]:
     """((slot, weight), intercept) for cells (row, slot, x) and rows (row, label, weight), numbered from 0 without gaps.
 
     Minimises the weighted mean of log losses plus penalty / 2 times the squared weights, each times its slot's variance.
