@@ -1,4 +1,6 @@
-"""Words that share a symbol, reading single documents of token files, many ties at a search's bound."""
+"""Words that share a symbol, lines that share a passage alone, reading single documents of token files, many ties at a search's bound."""
+
+import random
 
 from pyspark.sql import functions as F
 
@@ -53,3 +55,35 @@ def test_many_ties_at_the_bound_of_a_search(spark):
     near = [(k + 1, 1, 100 + k) for k in range(5)]
     assert sorted(got[1]) == near and sorted(got[2]) == near
     assert sorted(got[3]) == [(k + 1, 0, 100 + 63 * k) for k in range(5)]
+
+
+def test_lines_that_share_a_passage_alone_have_no_text_read(spark, monkeypatch):
+    rng = random.Random(5)
+    own = lambda i, n: [f"w{i}x{j}" for j in range(n)]
+    passage = ["one", "passage", "of", "many", "lines"]
+    lines = [" ".join([*own(i, 12), *passage, *own(i + 100, 12)]) for i in range(30)]
+    read, texts = [], line_dedup.line_texts
+    monkeypatch.setattr(line_dedup, "line_texts", lambda rows, wanted: read.append(wanted.count()) or texts(rows, wanted))
+    assert {r.n_dropped for r in line_dedup.dedup_lines(docs(spark, lines), runs=None).collect()} == {0} and not read
+    # nothing that may link is left out: words replaced, put in, left out and moved, up to the limit
+    pairs = []
+    for n in range(4, 90, 3):
+        a = [f"v{rng.randrange(60)}" for _ in range(n)]
+        b, most = list(a), (n + n // 5) // 5
+        for _ in range(rng.randrange(most + 1)):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[], [f"v{rng.randrange(60)}"], [b[k], "new"]])
+        pairs.append((" ".join(a), " ".join(b) or "v"))
+    of = lambda t: F.struct(F.size(F.split(t, " ")).alias("n"), *line_dedup.parities(F.transform(F.split(t, " "), lambda w: F.xxhash64(w))))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", of("a").alias("of_a"), of("b").alias("of_b")).select("a", "b", line_dedup.parities_allow("of_a", "of_b").alias("may")).collect()
+    linked = [r for r in got if edits(r.a.split(), r.b.split()) <= max(len(r.a.split()), len(r.b.split())) // 5]
+    assert len(linked) > 15 and all(r.may for r in linked)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
