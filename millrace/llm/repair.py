@@ -54,17 +54,22 @@ def _slots(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
 def _round(seq: np.ndarray, places: np.ndarray, first: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rules, where they apply, symbols put there, places left): pairs begin at places, ascending."""
     bits = min(21, max(8, len(places).bit_length() + 1))
-    slots = _slots(seq[places], seq[places + 1], bits)
-    full = np.bincount(slots, minlength=1 << bits)[slots] >= LEAST
+    left, right = seq[places], seq[places + 1]
+    slots = _slots(left, right, bits).astype(np.int64)  # as numpy's lookups take them
+    full = np.flatnonzero(np.bincount(slots, minlength=1 << bits)[slots] >= LEAST)
     places, slots = places[full], slots[full]
     nothing = np.zeros((0, 2), np.int32), places[:0], places[:0], places
     if not len(places):
         return nothing
-    keys = seq[places].astype(np.int64) << 32 | seq[places + 1]
-    nth = np.arange(len(places))
-    begins = np.concatenate([[True], (keys[1:] != keys[:-1]) | (places[1:] != places[:-1] + 1)])
-    even = (nth - np.maximum.accumulate(np.where(begins, nth, 0))) & 1 == 0  # of a run of one symbol, every other pair
-    at, slots, keys = places[even], slots[even], keys[even]
+    keys = left[full].astype(np.int64) << 32 | right[full]
+    at = places
+    goes_on = np.flatnonzero((keys[1:] == keys[:-1]) & (places[1:] == places[:-1] + 1)) + 1
+    if len(goes_on):  # of a run of one symbol, every other pair
+        nth = np.arange(len(goes_on))
+        begins = np.concatenate([[True], goes_on[1:] != goes_on[:-1] + 1])
+        even = np.ones(len(places), bool)
+        even[goes_on[(nth - np.maximum.accumulate(np.where(begins, nth, 0))) & 1 == 0]] = False
+        at, slots, keys = places[even], slots[even], keys[even]
     ordered = np.sort(keys)
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts = np.diff(np.append(starts, len(ordered)))
@@ -76,8 +81,10 @@ def _round(seq: np.ndarray, places: np.ndarray, first: int, most: int) -> tuple[
     chosen, table = ordered[starts[often]], np.full(1 << bits, -1, np.int32)
     table[_slots(chosen >> 32, chosen & 0xFFFFFFFF, bits)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
     rank = table[slots]
-    mine = (rank >= 0) & (chosen[rank] == keys)
-    at, rank = at[mine], rank[mine]
+    mine = np.flatnonzero(rank >= 0)
+    rank = rank[mine]
+    same = chosen[rank] == keys[mine]
+    at, rank = at[mine[same]], rank[same]
     # of pairs that overlap the more frequent one is merged
     apart = at[1:] > at[:-1] + 1
     best = np.concatenate([[True], apart | (rank[1:] < rank[:-1])]) & np.concatenate([apart | (rank[:-1] <= rank[1:]), [True]])

@@ -1,8 +1,9 @@
 """Token ids of whole texts from a word-end vocabulary of the tokenizers library.
 
 The vocabulary drops white space, folds case and ends every word with its own symbol, so
-the ids of a text are those of its white-space separated chunks, one after the other. Each
-distinct chunk goes through the library once per worker. A text with any character for
+the ids of a text are those of its white-space separated chunks, one after the other. A chunk is
+cut where letters end as well, as the vocabulary's own split always does, so that a word is one
+chunk whatever sign follows it. Each distinct chunk goes through the library once per worker. A text with any character for
 which that split isn't provably the library's own (see SPLITTABLE) goes through whole.
 """
 
@@ -22,6 +23,8 @@ from millrace.llm.text_batches import distinct, list_offsets, ragged
 SPLITTABLE = r"^[\x00-\x1b\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20bf}]*$"
 #: How the vocabulary file splits a chunk: one word-end symbol for each match.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Where letters end within a chunk.
+LETTERS_END = r"(\p{L})([^\s\p{L}])"
 SPECIAL = r"<\|startoftext\|>|<\|endoftext\|>"
 WORD_END = "</w>"
 
@@ -75,7 +78,9 @@ class WordIds:
         lines = [" ".join(chunks[i : i + 256]) for i in range(0, len(chunks), 256)]
         coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
         ids = np.concatenate([np.array(x.ids, dtype=np.int32) for x in coded])
-        pieces = np.fromiter((1 if c.isalpha() else len(PIECES.findall(c)) for c in chunks), np.int64, len(chunks))
+        pieces = np.ones(len(chunks), np.int64)
+        for i in np.flatnonzero(~pc.utf8_is_alpha(pa.array(chunks, pa.large_string())).to_numpy(zero_copy_only=False)).tolist():
+            pieces[i] = len(PIECES.findall(chunks[i]))
         ends = np.flatnonzero(self.ends_word[ids])[np.cumsum(pieces) - 1] + 1
         self._keep(chunks, ids, ends)
 
@@ -83,7 +88,8 @@ class WordIds:
         """(ids of all texts, offsets): text i has ids[offsets[i]:offsets[i + 1]]."""
         plain = pc.and_(pc.match_substring_regex(texts, SPLITTABLE), pc.invert(pc.match_substring_regex(texts, SPECIAL)))
         odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
-        split = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(plain, texts, "")))
+        lower = pc.utf8_lower(pc.if_else(plain, texts, ""))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, LETTERS_END, r"\1 \2"))
         words = split.flatten()
         used = pc.not_equal(words, "")
         at, chunks = distinct(words.filter(used))

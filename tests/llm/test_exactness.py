@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import hamming_search, line_dedup, token_files
 from millrace.llm.queries import WORD_VOCABULARY
+from millrace.llm.word_ids import WordIds
 
 
 def docs(spark, texts):
@@ -87,3 +89,13 @@ def edits(a, b):
         for j, y in enumerate(b):
             last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
     return row[-1]
+
+
+def test_a_word_is_one_chunk_whatever_sign_follows_it():
+    from tokenizers import Tokenizer
+
+    own, fast = Tokenizer.from_file(WORD_VOCABULARY), WordIds(WORD_VOCABULARY)
+    texts = ["Word, word. word; (word) word's WORD!", "don't 'Sam it's.'s a1b2 x-y-z ..'ll é, Ærø. ß? l'été 1,5 ª º¹", "a\x0b,b\x0c.c\td!\n", "word,\xa0word <|endoftext|>, it"]
+    ids, at = fast.encode(pa.array(texts, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [c for c in fast.known if "word" in c] == ["word", "(word"]
