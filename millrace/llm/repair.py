@@ -56,7 +56,7 @@ def _round(seq: np.ndarray, places: np.ndarray, first: int, most: int) -> tuple[
     bits = min(21, max(8, len(places).bit_length() + 1))
     left, right = seq[places], seq[places + 1]
     slots = _slots(left, right, bits).astype(np.int64)  # as numpy's lookups take them
-    full = np.flatnonzero(np.bincount(slots, minlength=1 << bits)[slots] >= LEAST)
+    full = np.flatnonzero((np.bincount(slots, minlength=1 << bits) >= LEAST)[slots])
     places, slots = places[full], slots[full]
     nothing = np.zeros((0, 2), np.int32), places[:0], places[:0], places
     if not len(places):
@@ -80,9 +80,8 @@ def _round(seq: np.ndarray, places: np.ndarray, first: int, most: int) -> tuple[
     # a pair whose slot another pair has, of the same or a higher count, waits for a later round
     chosen, table = ordered[starts[often]], np.full(1 << bits, -1, np.int32)
     table[_slots(chosen >> 32, chosen & 0xFFFFFFFF, bits)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-    rank = table[slots]
-    mine = np.flatnonzero(rank >= 0)
-    rank = rank[mine]
+    mine = np.flatnonzero((table >= 0)[slots])  # bytes first, as most places have no chosen pair
+    rank = table[slots[mine]]
     same = chosen[rank] == keys[mine]
     at, rank = at[mine[same]], rank[same]
     # of pairs that overlap the more frequent one is merged

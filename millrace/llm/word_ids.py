@@ -91,11 +91,11 @@ class WordIds:
         lower = pc.utf8_lower(pc.if_else(plain, texts, ""))
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, LETTERS_END, r"\1 \2"))
         words = split.flatten()
-        used = pc.not_equal(words, "")
-        at, chunks = distinct(words.filter(used))
-        # white space at either end of a text leaves empty chunks, which have no ids
-        kept = np.concatenate([[0], np.cumsum(used.to_numpy(zero_copy_only=False))])
-        bounds = kept[list_offsets(split)].astype(np.int64)
+        used, bounds = pc.not_equal(words, ""), list_offsets(split)
+        if not pc.all(used).as_py():  # white space at either end of a text leaves empty chunks, which have no ids
+            words = words.filter(used)
+            bounds = bounds - np.searchsorted(np.flatnonzero(~used.to_numpy(zero_copy_only=False)), bounds)
+        at, chunks = distinct(words)
         if len(self.known) + len(chunks) > self.most:
             self._forget()
         if new := self._take_over([c for c in chunks if c not in self.known]):
