@@ -14,11 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.storage import written
+from millrace.storage import drop_path, free_shuffles, scratch_path, written
 
+#: Steps after which the rows' numbers are written and read back, so that the shuffles before are freed.
+CUT = 5
 #: Rows of a chunk, cells of a pack (more where a single term has more), and lengths of a step that are tried.
 CHUNK, CELLS, LENGTHS = 1 << 16, 1 << 20, 1e-6 * 1.5 ** np.arange(60)
 PACK = "part int, slots binary, starts binary, scales binary, rows binary, xs binary"
@@ -135,6 +137,13 @@ def _moved(s: dict, t: float) -> dict:
     return s | {"a": s["a"] + t * s["d"], "ka": s["ka"] + t * s["kd"]}
 
 
+def _cut(spark: SparkSession, state: RDD, chunks: int) -> tuple[RDD, str]:
+    """The state read back from a scratch folder, where it depends on no shuffle of the steps before."""
+    path = scratch_path(spark, "fit-state")
+    state.saveAsPickleFile(path)
+    return spark.sparkContext.pickleFile(path).partitionBy(chunks), path
+
+
 def _lowest(at: np.ndarray, slopes: np.ndarray) -> float:
     """Where rising slopes cross zero: lengths as a polynomial of the four slopes around; the last length if none does."""
     k = int(np.argmax(slopes >= 0))  # the first length past the lowest point
@@ -154,18 +163,29 @@ def fit(cells: DataFrame, rows: DataFrame, penalty: float, steps: int = 200, tol
     Minimises the weighted mean of log losses plus penalty / 2 times the squared weights, each times its slot's variance.
     """
     spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt_to = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a step shuffles a number for each row and part, so there are no more parts than work at once
+    parts = min(dealt_to, max(spark.sparkContext.defaultParallelism, 2))
     sums = rows.agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.sum(F.col("weight") ** 2).alias("squares")).first()
     n, total = sums["n"], sums["total"]
     chunks = min(parts, -(-n // CHUNK))
     dealt = cells.join(rows.select("row", "weight"), "row").select("slot", F.col("row").cast("int").alias("row"), "x", "weight")
-    dealt = dealt.repartition(parts, "slot").sortWithinPartitions("slot")
-    packs = written(dealt.mapInArrow(_packs(total, sums["squares"]), PACK), "term-packs").rdd.map(_unpacked).partitionBy(parts)
+    dealt = dealt.repartition(dealt_to, "slot").sortWithinPartitions("slot")
+    kept = scratch_path(spark, "term-packs")
+    packs = written(dealt.mapInArrow(_packs(total, sums["squares"]), PACK), "term-packs", kept).rdd.map(_unpacked).partitionBy(parts)
     numbered = rows.select("row", F.col("label").cast("double"), (F.col("weight") / total)).rdd
     state = numbered.map(lambda r: (r[0] // CHUNK, (r[0] % CHUNK, r[1], r[2]))).groupByKey(chunks).mapValues(_start)
 
-    b, gb, size, db, before, slow, last = 0.0, 0.0, 0.0, 0.0, np.inf, 0, None
-    for _ in range(steps):
+    b, gb, size, db, before, slow, last, path = 0.0, 0.0, 0.0, 0.0, np.inf, 0, None, None
+    for k in range(steps):
+        if k % CUT == 0:
+            old, (state, path) = path, _cut(spark, state, chunks)
+            if last is not None:
+                last.unpersist()
+            last = both = turned = added = surplus = None  # what still names a step keeps its shuffles
+            free_shuffles(spark)
+            if old:
+                drop_path(spark, old)
         surplus = state.mapValues(lambda s, b=b: _surplus(s, b))
         added = _with_packs(surplus, packs, parts, n, _added).reduceByKey(np.add, chunks)
         both = state.join(added, chunks).mapValues(lambda x, b=b: _gradient(*x, b, penalty)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -187,7 +207,10 @@ def fit(cells: DataFrame, rows: DataFrame, penalty: float, steps: int = 200, tol
         t = _lowest(at, slopes)
         state, db, b = turned.mapValues(lambda s, t=t: _moved(s, t)), step_b, b + t * step_b
     # of the penalty's optimum the weights are the rows' numbers a over the terms
-    weights = _with_packs(last.mapValues(lambda x: x[0]["a"]), packs, parts, n, _slot_weights)
+    weights = _with_packs(state.mapValues(lambda s: s["a"]), packs, parts, n, _slot_weights)
     out = written(spark.createDataFrame(weights, "slot int, weight double"), "term-weights")
-    last.unpersist()
+    if last is not None:
+        last.unpersist()
+    for p in (path, kept):
+        drop_path(spark, p)
     return out, float(b)

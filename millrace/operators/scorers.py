@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import arrays, text
 from millrace.operators import encode, logistic, metrics
-from millrace.storage import written
+from millrace.storage import drop_path, free_shuffles, scratch_path, written
 
 
 class Scorer(Protocol):
@@ -61,19 +61,26 @@ class TfIdfBaseline:
 
     def fit(self, train: DataFrame, val: DataFrame) -> TfIdfBaseline:
         """train, val: (idx, text, label)."""
-        n = train.count()
-        counts = written(self._counts(train), "term-counts")
+        n, spark = train.count(), train.sparkSession
+        paths = [scratch_path(spark, name) for name in ("term-counts", "idf", "fitted-rows", "weighted-terms")]
+        counts = written(self._counts(train), "term-counts", paths[0])
+        free_shuffles(spark)
         found = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= self.least)
         numbered = encode.ranked(found, "slot", F.col("term").asc())
-        idf = written(numbered.select("term", F.col("slot").cast("int").alias("slot"), (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+        idf = written(numbered.select("term", F.col("slot").cast("int").alias("slot"), (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "idf", paths[1])
         weights = metrics.class_weights(train).select("label", "weight")
         labelled = train.select("idx", "label").join(F.broadcast(weights), "label")  # a row for each label
-        rows = written(encode.ranked(labelled, "row", F.col("idx").asc()), "fitted-rows")
-        weighted = written(counts.join(idf, "term").select("idx", "slot", (F.col("tf") * F.col("idf")).alias("x")), "weighted-terms")
+        rows = written(encode.ranked(labelled, "row", F.col("idx").asc()), "fitted-rows", paths[2])
+        weighted = written(counts.join(idf, "term").select("idx", "slot", (F.col("tf") * F.col("idf")).alias("x")), "weighted-terms", paths[3])
+        drop_path(spark, paths[0])
+        free_shuffles(spark)
         norms = weighted.groupBy("idx").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
         placed = rows.select("idx", "row").join(norms, "idx")
         fitted, self.intercept = logistic.fit(weighted.join(placed, "idx").select("row", "slot", (F.col("x") / F.col("norm")).alias("x")), rows, 1e-3)
         self.table = written(idf.join(fitted, "slot").select("term", "slot", "idf", "weight"), "weighted-idf")
+        for path in paths[1:]:
+            drop_path(spark, path)
+        free_shuffles(spark)
         self.threshold = metrics.choose_threshold(self(val)).first()["threshold"]
         return self
 
